@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.masking import mask, mask_function_name
-from tablewarden.functions.text import base_name, blank_to_null, is_blank
+from tablewarden.functions.text import blank_to_null, is_blank
 from tablewarden.operators.text_lists import ordered_text
 
 # The identifier limit in bytes and the prefix of generated views.
