@@ -72,7 +72,10 @@ def main():
                 found = None if df.count() >= 0 else "no rows"
         except Exception as e:  # report and go on with the next query
             found = f"{type(e).__name__}: {str(e)[:600]}"
-        n = con.execute(f"SELECT count(*) FROM ({sqls[name]})").fetchall()[0][0] if name in sqls and not (found or "").startswith("Binder") else "-"
+        try:
+            n = con.execute(f"SELECT count(*) FROM ({sqls[name]})").fetchall()[0][0]
+        except Exception:
+            n = "-"
         bad += found is not None
         print(f"{'ok ' if found is None else 'BAD'} {name:34s} {n!s:>8} rows {time.time() - start:6.2f}s {found or ''}", flush=True)
     print("bad:", bad)

@@ -27,7 +27,7 @@ RELATIONS = {
     "view_objects": """
         SELECT c_custkey, c_acctbal, c_mktsegment,
                CASE n_regionkey WHEN 0 THEN 'SVC1' WHEN 1 THEN 'SVC2' WHEN 2 THEN 'SVC3' ELSE 'SVC4' END AS OWNER,
-               CASE c_mktsegment WHEN 'MACHINERY' THEN 'BIN$' WHEN 'FURNITURE' THEN 'TB_META_'
+               CASE c_mktsegment WHEN 'MACHINERY' THEN 'BIN$C' WHEN 'FURNITURE' THEN 'TB_META_C'
                     ELSE 'V_C' END || CAST(c_custkey AS STRING) AS VIEW_NAME
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "real_tables": """
@@ -221,4 +221,6 @@ def oracle(body: str) -> str:
     last = plain.pop("").strip()
     if not plain:
         return last
-    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in plain.items()) + "\n" + last
+    shared = "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in plain.items())
+    # A body that has CTEs of its own goes on with the list.
+    return f"{shared},\n{last[5:]}" if last.startswith("WITH ") else f"{shared}\n{last}"
