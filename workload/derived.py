@@ -182,6 +182,68 @@ RELATIONS = {
         SELECT INDEX_ID, COLUMN_POS, CASE SORT_ORDER WHEN 'ASC' THEN 'U' ELSE 'I' END AS HIST_TYPE,
                'FUNC_EXPRESSION_BACKFILL' AS CHANGE_REASON
         FROM {meta_index_column} WHERE FUNC_EXPRESSION IS NOT NULL AND COLUMN_POS = 1""",
+    # Change requests
+    "req_table_create": """
+        SELECT c_custkey AS request_id, c_custkey AS request_seq,
+               CASE WHEN c_acctbal < -500 THEN ' ' ELSE 'new service' END AS reason,
+               CASE WHEN c_acctbal > 5000 THEN 'E' || CAST(c_nationkey AS STRING) END AS emp_id,
+               'svc' || CAST(c_nationkey AS STRING) AS schema,
+               CASE c_mktsegment WHEN 'MACHINERY' THEN 'bad-' ELSE ' cust' END || CAST(c_custkey AS STRING) AS tableName,
+               CASE WHEN c_acctbal > 0 THEN 'it''s ' || c_name END AS logicalName, c_acctbal > 8000 AS viewYn,
+               'UNASSIGNED' AS serviceCd, 'Y5' AS retentionPeriodCd, c_mktsegment = 'BUILDING' AS viewGenYn,
+               c_mktsegment <> 'FURNITURE' AS pkSeqGenYn, c_name AS name, c_mktsegment AS segment,
+               CASE WHEN c_acctbal > 9500 THEN '5' END AS balLength
+        FROM {customer}""",
+    "req_table_drop": """
+        SELECT o_orderkey AS request_id, o_orderkey AS request_seq, 'cleanup' AS reason,
+               CASE WHEN o_orderpriority <> '2-HIGH' THEN 'E1' END AS emp_id,
+               lower(OWNER) AS schema, lower(TABLE_NAME) AS tableName,
+               CASE WHEN o_totalprice < 200000 THEN 'HARD' WHEN o_totalprice < 400000 THEN 'SOFT' END AS mode
+        FROM {objects} WHERE o_orderstatus <> 'O'""",
+    "req_column": """
+        SELECT l_orderkey AS request_id, l_partkey AS request_seq, 'wish' AS reason, 'E1' AS emp_id,
+               lower(OWNER) AS schema, lower(TABLE_NAME) AS tableName, lower(COLUMN_NAME) AS colName,
+               ord, flag, st, qty, disc, tax, ship
+        FROM {column_objects} JOIN {objects} ON l_orderkey = o_orderkey WHERE ship BETWEEN 1995 AND 1998""",
+    "req_column_add": """
+        SELECT request_id, request_seq, reason, emp_id, schema, tableName, colName,
+               CASE WHEN tax = 0 THEN CAST(20 + ord AS STRING) END AS columnOrder,
+               CASE flag WHEN 'A' THEN 'NUMBER' WHEN 'N' THEN 'VARCHAR2' ELSE 'DATE' END AS dataType,
+               CASE WHEN flag <> 'A' OR disc = 10 THEN CAST(qty AS STRING) END AS dataLength,
+               CASE flag WHEN 'A' THEN CAST(qty AS STRING) END AS dataPrecision,
+               st = 'O' AS nullableYn, qty > 48 AS ukYn
+        FROM {req_column} WHERE ship <= 1996""",
+    "req_column_modify": """
+        SELECT request_id, request_seq, reason, emp_id, schema, tableName, colName,
+               CAST(qty + 100 AS STRING) AS dataLength, st = 'O' AS nullableYn, flag = 'R' AS pciYn,
+               CASE WHEN flag <> 'N' THEN 'HIGH' END AS sensitivityCd, false AS encryptionYn, true AS maskingYn,
+               CASE WHEN disc > 5 THEN 'FULL' END AS maskingRuleCd, CASE disc WHEN 4 THEN 'PLANNED' END AS statusCd, tax
+        FROM {req_column} WHERE ship = 1997""",
+    "req_column_drop": """
+        SELECT request_id, request_seq, CASE flag WHEN 'A' THEN 'unused' ELSE 'wish' END AS reason, emp_id,
+               schema, tableName, colName, CASE WHEN flag <> 'N' THEN 'HARD' ELSE 'SOFT' END AS mode
+        FROM {req_column} WHERE ship >= 1997""",
+    "req_index_create": """
+        SELECT o_orderkey AS request_id, o_orderkey AS request_seq, 'tuning' AS reason, 'E1' AS emp_id,
+               lower(OWNER) AS schema, lower(TABLE_NAME) AS tableName,
+               CASE WHEN o_totalprice < 100000 THEN 'my' || CAST(o_orderkey AS STRING) END AS indexName,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 'UNIQUE' WHEN '2-HIGH' THEN 'BITMAP' ELSE 'NORMAL' END AS indexTypeCd,
+               'SEARCH' AS purposeCd,
+               CASE WHEN o_totalprice > 450000 THEN 'a b c' ELSE 'c' || CAST(o_orderkey AS STRING) || ', d  desc , e x,f' END AS indexColumns,
+               CASE WHEN o_totalprice > 250000 THEN 'ts_idx' END AS tablespaceName
+        FROM {objects} WHERE o_orderstatus = 'F'""",
+    "req_index_drop": """
+        SELECT l_orderkey AS request_id, l_orderkey AS request_seq, 'unused' AS reason, 'E1' AS emp_id,
+               lower(OWNER) AS schema, CASE WHEN flag = 'A' THEN lower(TABLE_NAME) END AS tableName,
+               lower(INDEX_NAME) AS indexName
+        FROM {index_objects} JOIN {objects} ON l_orderkey = o_orderkey WHERE ship BETWEEN 1998 AND 1999""",
+    "req_sequence": """
+        SELECT p_partkey AS request_id, p_partkey AS request_seq, 'keys' AS reason, 'E1' AS emp_id,
+               CASE WHEN p_size <= 15 THEN 'svc1' WHEN p_size <= 30 THEN 'svc2' ELSE 'svc9' END AS schema,
+               'p' || CAST(p_partkey AS STRING) AS seqName, p_type, p_size,
+               CASE WHEN p_size > 40 THEN 'no table' WHEN p_size > 20 THEN 'tb_x' END AS usedForTable,
+               CASE WHEN p_size > 10 THEN CAST(p_size AS STRING) END AS incrementBy
+        FROM {part}""",
 }
 
 
