@@ -13,10 +13,10 @@ from tablewarden.functions.types import render_type
 from tablewarden.operators.filters import conform
 from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id, next_ordinals
-from tablewarden.operators.joins import in_set, not_in
+from tablewarden.operators.joins import as_is, in_set, not_in
 from tablewarden.plans.changes.common import (
-    OUT_OF_USE, Change, audit, begin, changed, find_object, find_table, patch, reject_repeats,
-    settle, statements, with_errors, with_request,
+    OUT_OF_USE, Change, audit, begin, changed, find_object, find_table, is_small, patch,
+    reject_repeats, settle, statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, INDEX, INDEX_COLUMN
 
@@ -80,11 +80,13 @@ def _on(flag: str):
 
 def column_add(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """New columns; without an order they go behind the table's last one, in request order."""
+    small = is_small(requests)
     rows = with_errors(_named(requests, "column_add"), [*_name_checks(), _size_check()])
     rows = rows.withColumn("nullableYn", F.coalesce("nullableYn", F.lit(True)))
-    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"])
-    rows = find_object(rows, main["column"], _KEY, "colName", expected=False)
-    good, rejects = settle(rows.withColumn("_order", number_or_null(F.col("columnOrder"))))
+    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"], small)
+    rows = find_object(rows, main["column"], _KEY, "colName", expected=False, small=small)
+    batch = settle(rows.withColumn("_order", number_or_null(F.col("columnOrder"))), small)
+    good = batch.good
     given = good.filter(F.col("_order").isNotNull())
     taken = main["column"].select("TABLE_ID", "COLUMN_ORDER").unionByName(
         given.select("TABLE_ID", F.col("_order").alias("COLUMN_ORDER"))
@@ -136,7 +138,7 @@ def column_add(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
                 (_on("pkYn"), primary), (_on("ukYn"), unique), (_on("fkYn"), foreign),
             ],
         ),
-        rejects=rejects,
+        rejects=batch.rejects,
         append={"column": conform(columns, COLUMN.schema)},
         history={"column": snapshot(columns, COLUMN, "I", F.col("reason"), F.col("_actor"), as_of)},
     )
@@ -188,14 +190,16 @@ def _patches() -> dict:
 def column_modify(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """Columns patched field by field. The flags and the sensitivity are always written, so a
     request must state them."""
+    small = is_small(requests)
     stated = [*ALWAYS_WRITTEN.values(), "sensitivityCd"]
     rows = with_errors(
         _named(requests, "column_modify"),
         [*_name_checks(), _size_check(), *[check_present(f, F.col(f).cast("string")) for f in stated]],
     )
-    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"])
-    good, rejects = settle(find_object(rows, main["column"], _KEY, "colName", expected=True))
-    patched = patch(main["column"], good, _KEY, _patches(), as_of)
+    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"], small)
+    batch = settle(find_object(rows, main["column"], _KEY, "colName", expected=True, small=small), small)
+    good = batch.good
+    patched = patch(main["column"], good, _KEY, _patches(), as_of, batch.side)
     alter, default, comment, primary, unique, foreign = _pieces()
     kind = F.when(~is_blank(F.col("dataType")), F.concat(F.lit(" "), _type())).otherwise(F.lit(""))
     modify = F.concat(
@@ -210,7 +214,7 @@ def column_modify(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Cha
                 (_on("pkYn"), primary), (_on("ukYn"), unique), (_on("fkYn"), foreign),
             ],
         ),
-        rejects=rejects,
+        rejects=batch.rejects,
         replace={"column": patched.select(*COLUMN.names)},
         history={
             "column": snapshot(changed(patched), COLUMN, "U", F.col("_reason"), F.col("_actor"), as_of)
@@ -219,7 +223,7 @@ def column_modify(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Cha
 
 
 def emptied_indexes(
-    indexes: DataFrame, index_columns: DataFrame, dropped: DataFrame
+    indexes: DataFrame, index_columns: DataFrame, dropped: DataFrame, side=as_is
 ) -> DataFrame:
     """Indexes of the tables concerned that have no column left, with reason and actor.
 
@@ -228,13 +232,13 @@ def emptied_indexes(
     """
     request = F.struct("request_seq", "reason", "_actor")
     concerned = dropped.groupBy("TABLE_ID").agg(F.min(request).alias("_first"))
-    candidates = indexes.join(concerned, "TABLE_ID")
+    candidates = indexes.join(side(concerned), "TABLE_ID")
     entries = index_columns.select("INDEX_ID", "COLUMN_NAME").join(
         candidates.select("INDEX_ID", "TABLE_ID"), "INDEX_ID"
     )
     gone = dropped.select("TABLE_ID", "COLUMN_NAME", request.alias("_by"))
     left = (
-        entries.join(gone, ["TABLE_ID", "COLUMN_NAME"], "left")
+        entries.join(side(gone), ["TABLE_ID", "COLUMN_NAME"], "left")
         .groupBy("INDEX_ID")
         .agg(
             F.count(F.when(F.col("_by").isNull(), 1)).alias("_left"),
@@ -252,28 +256,29 @@ def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_his
 
     Index entries get no history unless ``full_history`` asks for it.
     """
+    small = is_small(requests)
     rows = _named(requests, "column_drop")
     rows = with_errors(rows, _name_checks())
-    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"])
-    good, rejects = settle(find_object(rows, main["column"], _KEY, "colName", expected=True))
+    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"], small)
+    batch = settle(find_object(rows, main["column"], _KEY, "colName", expected=True, small=small), small)
+    good = batch.good
     is_soft = F.coalesce(F.col("mode") == "SOFT", F.lit(False))
     soft, hard = good.filter(is_soft), good.filter(~is_soft)
     patched = patch(
-        main["column"], soft, _KEY, {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of
+        main["column"], soft, _KEY, {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of, batch.side
     )
     dropped = hard.select(
         "TABLE_ID", F.col("_column").alias("COLUMN_NAME"), "request_seq", "reason", "_actor"
     )
+    by_column = batch.side(dropped.select("TABLE_ID", "COLUMN_NAME", "reason", "_actor"))
     same = {"TABLE_ID": "TABLE_ID", "COLUMN_NAME": "COLUMN_NAME"}
-    emptied = emptied_indexes(main["index"], main["index_column"], dropped)
-    on_tables = in_set(main["index"], dropped, {"TABLE_ID": "TABLE_ID"}).select("INDEX_ID", "TABLE_ID")
+    emptied = emptied_indexes(main["index"], main["index_column"], dropped, batch.side)
+    on_tables = in_set(main["index"], dropped, {"TABLE_ID": "TABLE_ID"}, side=batch.side).select("INDEX_ID", "TABLE_ID")
     lost = (
         main["index_column"].join(on_tables, "INDEX_ID")
-        .join(dropped.select("TABLE_ID", "COLUMN_NAME", "reason", "_actor"), ["TABLE_ID", "COLUMN_NAME"])
-    )
-    removed = main["column"].join(
-        dropped.select("TABLE_ID", "COLUMN_NAME", "reason", "_actor"), ["TABLE_ID", "COLUMN_NAME"]
+        .join(by_column, ["TABLE_ID", "COLUMN_NAME"])
     )
+    removed = main["column"].join(by_column, ["TABLE_ID", "COLUMN_NAME"])
     history = {
         "index": snapshot(emptied, INDEX, "D", F.col("reason"), F.col("_actor"), as_of),
         "column": snapshot(
@@ -291,9 +296,9 @@ def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_his
     )
     return Change(
         ddl=statements(good, [(~is_soft, drop)]),
-        rejects=rejects,
+        rejects=batch.rejects,
         replace={
-            "column": not_in(patched.select(*COLUMN.names), dropped, same, unique=True),
+            "column": not_in(patched.select(*COLUMN.names), dropped, same, unique=True, side=batch.side),
             "index_column": not_in(main["index_column"], lost, entry, unique=True),
             "index": not_in(main["index"], emptied, {"INDEX_ID": "INDEX_ID"}, unique=True),
         },

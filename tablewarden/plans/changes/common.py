@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tablewarden.functions.names import ERROR_TYPE, check_present, errors, problem
 from tablewarden.operators.history import with_history_ids
 from tablewarden.operators.ids import last_id
-from tablewarden.operators.joins import resolve_ids
+from tablewarden.operators.joins import as_is, in_set, resolve_ids
 from tablewarden.session import durable
 from tablewarden.sources.catalog import tidy_requests
 from tablewarden.sources.registry import publish, read_all
 
 UNKNOWN_ACTOR = "UNKNOWN"
+# A request's joined fields are limited by the registry's column sizes to a few kilobytes.
+BROADCAST_REQUESTS = 10_000
 OUT_OF_USE = "DEPRECATED"
 _ON_TABLE = {"_schema": "SCHEMA_NAME", "_table": "TABLE_NAME"}
 
@@ -38,6 +40,21 @@ def begin(requests: DataFrame, kind: str) -> DataFrame:
     return rows.withColumn("_actor", F.coalesce("emp_id", F.lit(UNKNOWN_ACTOR)))
 
 
+def is_small(requests: DataFrame) -> bool:
+    """Whether the number of requests is within the bound for a broadcast; counts no further."""
+    return requests.limit(BROADCAST_REQUESTS + 1).count() <= BROADCAST_REQUESTS
+
+
+def asked_for(registry: DataFrame, rows: DataFrame, on: dict[str, str], small: bool) -> DataFrame:
+    """The registry rows that a small batch can refer to, found without shuffling the registry.
+
+    For a large batch that is the whole registry, which the join to follow shuffles once.
+    """
+    if not small:
+        return registry
+    return in_set(registry, rows, {b: a for a, b in on.items()}, side=F.broadcast)
+
+
 def with_errors(rows: DataFrame, checks: list[Column], more: Column | None = None) -> DataFrame:
     """Rows with the list of all their errors; a request without a reason is always in error."""
     found = errors(check_present("reason", F.col("reason")), *checks)
@@ -67,17 +84,18 @@ def reject_repeats(rows: DataFrame, key: list[str]) -> DataFrame:
     return marked.select(*rows.columns)
 
 
-def find_table(rows: DataFrame, tables: DataFrame) -> DataFrame:
+def find_table(rows: DataFrame, tables: DataFrame, small: bool) -> DataFrame:
     """Rows with the TABLE_ID of the table they name; an unknown table is an error."""
-    found = resolve_ids(rows, tables, _ON_TABLE, "TABLE_ID")
+    found = resolve_ids(rows, asked_for(tables, rows, _ON_TABLE, small), _ON_TABLE, "TABLE_ID")
     return add_error(found, F.col("TABLE_ID").isNull(), "tableName", F.col("_table"), "unknown")
 
 
 def find_object(
-    rows: DataFrame, registry: DataFrame, on: dict[str, str], field_name: str, expected: bool
+    rows: DataFrame, registry: DataFrame, on: dict[str, str], field_name: str, expected: bool,
+    small: bool,
 ) -> DataFrame:
     """Error for a missing object (``expected``) or for one that is already there."""
-    known = registry.select(
+    known = asked_for(registry, rows, on, small).select(
         F.lit(True).alias("_found"), *[F.col(b).alias(f"_of{a}") for a, b in on.items()]
     )
     joined = rows.join(known, [F.col(a) == F.col(f"_of{a}") for a in on], "left")
@@ -88,12 +106,29 @@ def find_object(
     return marked.select(*rows.columns)
 
 
-def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good requests and rejects. The screened requests are written once, because the rows,
-    history and statements all go back to them, and screening joins the registry."""
+@dataclass(frozen=True)
+class Batch:
+    """Screened requests of one batch."""
+
+    good: DataFrame
+    rejects: DataFrame
+    small: bool
+
+    def side(self, rows: DataFrame) -> DataFrame:
+        """Rows made from the good requests, one each, as a side of a join with the registry.
+
+        A batch whose counted requests stay within the bound is broadcast, so that the registry is
+        not shuffled to change a few rows of it; a larger batch is joined by shuffling both sides.
+        """
+        return F.broadcast(rows) if self.small else rows
+
+
+def settle(rows: DataFrame, small: bool) -> Batch:
+    """The good requests and the rejects. The screened requests are written once, because the
+    rows, history and statements all go back to them, and screening joins the registry."""
     kept = durable(rows)
-    good = kept.filter(F.size("errors") == 0)
-    return good, kept.filter(F.size("errors") > 0).select("request_id", "request_seq", "errors")
+    rejects = kept.filter(F.size("errors") > 0).select("request_id", "request_seq", "errors")
+    return Batch(kept.filter(F.size("errors") == 0), rejects, small)
 
 
 def audit(rows: DataFrame, as_of) -> DataFrame:
@@ -118,12 +153,18 @@ def with_request(rows: DataFrame, entity) -> DataFrame:
 
 
 def patch(
-    main: DataFrame, good: DataFrame, on: dict[str, str], fields: dict[str, tuple[Column, Column]], as_of
+    main: DataFrame,
+    good: DataFrame,
+    on: dict[str, str],
+    fields: dict[str, tuple[Column, Column]],
+    as_of,
+    side=as_is,
 ) -> DataFrame:
     """Main rows, rewritten where a request names them.
 
     ``fields`` maps a column to (when to write it, its value), both over the request's columns.
     The rows keep ``_reason`` and ``_actor`` of their request, NULL where there was none.
+    ``side`` may mark the requests for broadcast.
     """
     key = list(on)
     new = good.select(
@@ -132,7 +173,7 @@ def patch(
         F.col("_actor"),
         *[F.when(cond, F.struct(value.alias("v"))).alias(f"_new_{c}") for c, (cond, value) in fields.items()],
     )
-    joined = main.join(new, [F.col(on[k]) == F.col(f"_of{k}") for k in key], "left")
+    joined = main.join(side(new), [F.col(on[k]) == F.col(f"_of{k}") for k in key], "left")
     hit = F.col("_actor").isNotNull()
     types = {f.name: f.dataType for f in main.schema.fields}
     changes = {

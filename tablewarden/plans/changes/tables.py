@@ -16,7 +16,7 @@ from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id
 from tablewarden.operators.joins import not_in
 from tablewarden.plans.changes.common import (
-    OUT_OF_USE, Change, audit, begin, changed, find_object, find_table, patch,
+    OUT_OF_USE, Change, audit, begin, changed, find_object, find_table, is_small, patch,
     reject_repeats, settle, statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, INDEX, INDEX_COLUMN, SEQUENCE, TABLE
@@ -44,7 +44,7 @@ def _column_errors():
     return F.filter(F.flatten(F.transform(F.col("columns"), check)), lambda e: e.isNotNull())
 
 
-def _screen_create(requests: DataFrame, tables: DataFrame) -> DataFrame:
+def _screen_create(requests: DataFrame, tables: DataFrame, small: bool) -> DataFrame:
     rows = begin(requests, "table_create").withColumns(
         {
             "_schema": F.upper("schema"),
@@ -65,7 +65,7 @@ def _screen_create(requests: DataFrame, tables: DataFrame) -> DataFrame:
     )
     rows = reject_repeats(rows, ["_schema", "_table"])
     return find_object(
-        rows, tables, {"_schema": "SCHEMA_NAME", "_table": "TABLE_NAME"}, "tableName", expected=False
+        rows, tables, {"_schema": "SCHEMA_NAME", "_table": "TABLE_NAME"}, "tableName", expected=False, small=small
     )
 
 
@@ -157,7 +157,8 @@ def _create_statements(good: DataFrame) -> DataFrame:
 
 def table_create(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """New tables with their columns, and a key sequence where the key is one NUMBER column."""
-    screened = _screen_create(requests, main["table"])
+    small = is_small(requests)
+    screened = _screen_create(requests, main["table"], small)
     key_columns = F.filter("columns", lambda c: F.coalesce(c["pkYn"], F.lit(False)))
     key = F.upper(F.get(key_columns, F.lit(0))["colName"])
     wanted = (
@@ -177,7 +178,8 @@ def table_create(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Chan
             F.lit(f"\n  {KEY_SEQUENCE_OPTIONS};"),
         ),
     )
-    good, rejects = settle(screened)
+    batch = settle(screened, small)
+    good = batch.good
     placed = assign_ids(good, "TABLE_ID", last_id(main["table"], "TABLE_ID"), ["_schema", "_table"])
     kept = ["reason", "_actor", *AUDIT_COLUMNS]
     tables = audit(placed, as_of).select(
@@ -255,7 +257,7 @@ def table_create(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Chan
     parts = {"table": (TABLE, tables), "column": (COLUMN, columns), "sequence": (SEQUENCE, sequences)}
     return Change(
         ddl=_create_statements(good),
-        rejects=rejects,
+        rejects=batch.rejects,
         append={n: conform(rows, e.schema) for n, (e, rows) in parts.items()},
         history={
             n: snapshot(with_request(rows, e), e, "I", F.col("reason"), F.col("_actor"), as_of)
@@ -269,6 +271,7 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
 
     Sequences stay: they name their table but do not belong to it.
     """
+    small = is_small(requests)
     rows = begin(requests, "table_drop").withColumns(
         {"_schema": F.upper("schema"), "_table": ensure_prefix(F.col("tableName"), "TB")}
     )
@@ -281,14 +284,15 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
             F.when(~known_mode, problem("mode", F.col("mode"), "value")),
         ],
     )
-    rows = find_table(reject_repeats(rows, ["_schema", "_table"]), main["table"])
-    good, rejects = settle(rows)
+    rows = find_table(reject_repeats(rows, ["_schema", "_table"]), main["table"], small)
+    batch = settle(rows, small)
+    good = batch.good
     soft, hard = good.filter("mode = 'SOFT'"), good.filter("mode = 'HARD'")
     patched = patch(
         main["table"], soft, {"TABLE_ID": "TABLE_ID"},
-        {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of,
+        {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of, batch.side,
     )
-    gone = hard.select("TABLE_ID", "reason", "_actor")
+    gone = batch.side(hard.select("TABLE_ID", "reason", "_actor"))
     removed = {
         "table": main["table"].join(gone, "TABLE_ID"),
         "column": main["column"].join(gone, "TABLE_ID"),
@@ -307,9 +311,9 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
     ).unionByName(history["table"])
     on_table = {"TABLE_ID": "TABLE_ID"}
     replace = {
-        "table": not_in(patched.select(*TABLE.names), gone, on_table, unique=True),
-        "column": not_in(main["column"], gone, on_table, unique=True),
-        "index": not_in(main["index"], gone, on_table, unique=True),
+        "table": not_in(patched.select(*TABLE.names), hard, on_table, unique=True, side=batch.side),
+        "column": not_in(main["column"], hard, on_table, unique=True, side=batch.side),
+        "index": not_in(main["index"], hard, on_table, unique=True, side=batch.side),
         "index_column": not_in(
             main["index_column"], removed["index"], {"INDEX_ID": "INDEX_ID"}, unique=True
         ),
@@ -317,7 +321,7 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
     drop = F.concat(F.lit("DROP TABLE "), F.concat_ws(".", "_schema", "_table"), F.lit(";"))
     return Change(
         ddl=statements(good, [(F.col("mode") == "HARD", drop)]),
-        rejects=rejects, replace=replace, history=history,
+        rejects=batch.rejects, replace=replace, history=history,
     )
 
 
