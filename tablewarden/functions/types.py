@@ -37,9 +37,8 @@ def render_type(
     )
 
 
-_ITEM = r"(?i)\A(\S+)(?:\s+(ASC|DESC))?\z".replace(r"\s", WHITESPACE).replace(
-    r"\S", WHITESPACE.replace("[", "[^", 1)
-)
+_SPACE = rf"[{WHITESPACE}]"
+_ITEM = rf"(?i)\A([^{WHITESPACE}]+)(?:{_SPACE}+(ASC|DESC))?\z"
 
 
 def parse_index_columns(items: Column) -> Column:

@@ -72,9 +72,10 @@ def add_error(rows: DataFrame, failed: Column, field_name: str, value: Column, r
 
 def reject_repeats(rows: DataFrame, key: list[str]) -> DataFrame:
     """Only the earliest good request per object goes on; a batch changes an object once."""
-    good = rows.filter(F.size("errors") == 0)
-    earliest = good.groupBy(*[F.col(k).alias(f"_of{k}") for k in key]).agg(
-        F.min("request_seq").alias("_earliest")
+    # The test stays inside the aggregate: as a filter it would be pushed below the error list
+    # and evaluate all the checks twice.
+    earliest = rows.groupBy(*[F.col(k).alias(f"_of{k}") for k in key]).agg(
+        F.min(F.when(F.size("errors") == 0, F.col("request_seq"))).alias("_earliest")
     )
     same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in key]
     joined = rows.join(earliest, same, "left")
