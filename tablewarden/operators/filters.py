@@ -35,12 +35,14 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     )
 
 
-def conform(df: DataFrame, schema) -> DataFrame:
-    """Columns of ``schema`` in its order; columns that the frame lacks are typed NULLs."""
+def conform(df: DataFrame, schema, defaults: dict[str, object] | None = None) -> DataFrame:
+    """Columns of ``schema`` in its order; one that the frame lacks takes its default or a typed
+    NULL. As in a database, a NULL that the frame does carry stays NULL."""
     have = set(df.columns)
+    given = defaults or {}
     return df.select(
         [
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            (F.col(f.name) if f.name in have else F.lit(given.get(f.name))).cast(f.dataType).alias(f.name)
             for f in schema.fields
         ]
     )

@@ -66,6 +66,11 @@ RELATIONS = {
                CASE WHEN flag = 'A' AND tax > 0 THEN tax END AS DATA_SCALE,
                CASE st WHEN 'O' THEN 'Y' ELSE 'N' END AS NULLABLE
         FROM {column_objects} JOIN {objects} ON l_orderkey = o_orderkey WHERE ship <> 1996""",
+    "char_columns": """
+        SELECT OWNER, TABLE_NAME, COLUMN_NAME, COLUMN_ID, DATA_TYPE, DATA_LENGTH * 4 AS DATA_LENGTH, DATA_PRECISION, DATA_SCALE, NULLABLE,
+               CASE DATA_TYPE WHEN 'VARCHAR2' THEN 'C' END AS CHAR_USED,
+               CASE DATA_TYPE WHEN 'VARCHAR2' THEN DATA_LENGTH END AS CHAR_LENGTH
+        FROM {real_columns}""",
     "meta_column": """
         SELECT l_partkey AS COLUMN_ID, l_orderkey + 1 AS TABLE_ID, COLUMN_NAME, ord AS COLUMN_ORDER,
                CASE WHEN disc >= 9 THEN 'CHAR' WHEN flag = 'A' THEN 'NUMBER' WHEN flag = 'N' THEN 'VARCHAR2' ELSE 'DATE' END AS DATA_TYPE,
