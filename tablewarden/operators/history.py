@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden.operators.filters import conform
 from tablewarden.operators.ids import assign_ids
 from tablewarden.operators.joins import not_in
 from tablewarden.schemas import Entity
@@ -32,6 +33,13 @@ def snapshot(rows: DataFrame, entity: Entity, op: str, reason, actor, as_of) ->
     )
 
 
+def snapshot_values(
+    values: DataFrame, entity: Entity, op: str, reason: str, actor: str, as_of
+) -> DataFrame:
+    """History rows of values that are given directly; columns that are not given are NULL."""
+    return snapshot(conform(values, entity.schema), entity, op, reason, actor, as_of)
+
+
 def with_history_ids(rows: DataFrame, last: int) -> DataFrame:
     """History rows with dense ids after ``last``, in no particular order."""
     numbered = assign_ids(rows, "HIST_ID", last)

@@ -56,3 +56,32 @@ def test_drift_with_copies_on_the_source_side(hot, keys):
     want += [(r.k, r.k % 5, r.kind, "MISMATCH") for r in data if r.k < 900 and r.k % 4 and r.k % 5 != r.kind]
     want += [(r.k, None, r.kind, "MISSING_IN_META") for r in data if r.k >= 900]
     assert rows(one) == sorted(want, key=repr)
+
+
+@pytest.fixture
+def eager_skew_join(spark):
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_keys_are_split_by_the_guards_and_lookups(spark, eager_skew_join):
+    hot = spark.range(0, 200000, 1, 8).select(
+        F.when(F.col("id") < 70000, 7).otherwise(F.col("id") % 9973).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    keys = spark.range(5000).select(F.col("id").alias("k"))
+    guard = joins.not_in(hot, keys, {"k": "k"}).select("k", "v").groupBy().agg(F.max("v"), F.count("*"))
+    lookup = joins.resolve_ids(hot, keys.select("k", (F.col("k") + 1).alias("TABLE_ID")), {"k": "k"}, "TABLE_ID").groupBy().agg(
+        F.max("v"), F.count("TABLE_ID"))
+    for df in (guard, lookup):
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()

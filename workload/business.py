@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.names import check_name, errors
-from tablewarden.functions.text import cut, ensure_prefix, join_text, trim_all
+from tablewarden.functions.text import (
+    cut, ensure_prefix, join_text, number_or_null, sql_quote, trim_all, yes_no,
+)
 from tablewarden.functions.types import parse_index_columns, render_type
 from tablewarden.operators import history, integrity
 from tablewarden.operators.backfill import phase_counts
@@ -484,3 +486,17 @@ def next_ordinal(spark, sf_dir):
     return next_ordinals(
         asked, turns.filter("role <> 'user'"), ["conv_id"], "turn", ["turn"], "new_order"
     )
+
+
+@query("""
+    SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'NULL' ELSE '''' || replace(text, '''', '''''') || '''' END AS quoted,
+           CASE WHEN lang IN ('en', 'fr') THEN 'Y' ELSE 'N' END AS flag,
+           TRY_CAST(source AS INTEGER) AS source_number, CAST(n_chars AS INTEGER) AS n_chars
+    FROM {documents}""")
+def form_values(spark, sf_dir):
+    flag = F.when(F.col("lang") == "en", "y").when(F.col("lang") == "fr", "Y").when(F.col("lang") == "de", "")
+    return given(spark, sf_dir, "documents").select(
+        "doc_id", sql_quote(F.col("text")).alias("quoted"), yes_no(flag).alias("flag"),
+        number_or_null(F.col("source")).alias("source_number"),
+        number_or_null(F.concat(F.lit(" "), "n_chars")).alias("n_chars"),
+    )
