@@ -117,14 +117,21 @@ def masked_view_ddl(tables: DataFrame, columns: DataFrame, view_name: str | None
     return listed.select("SCHEMA_NAME", "TABLE_NAME", ddl.alias("DDL"))
 
 
+# Fixed value: the largest column order that the registry can hold, so no table has more columns.
+_MOST_COLUMNS = 9999
+
+
 def _column_list(meta: DataFrame) -> list:
-    # The columns of one table: at most 9999, the largest column order the registry can hold.
-    return (
+    """The active columns of one table, in order; a list that one table cannot have is refused."""
+    rows = (
         meta.filter(F.col("STATUS_CD") == "ACTIVE")
         .select("COLUMN_NAME", "COLUMN_ORDER", "PCI_YN", "MASKING_YN", "MASKING_RULE_CD")
         .orderBy("COLUMN_ORDER", "COLUMN_NAME")
-        .collect()
+        .take(_MOST_COLUMNS + 1)
     )
+    if len(rows) > _MOST_COLUMNS:
+        raise ValueError("the columns of a single table are wanted")
+    return rows
 
 
 def _actual(df: DataFrame) -> dict[str, str]:

@@ -93,7 +93,7 @@ def column_add(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
     )
     open_ended = next_ordinals(
         good.filter(F.col("_order").isNull()), taken, ["TABLE_ID"], "COLUMN_ORDER",
-        ["request_seq"], "COLUMN_ORDER",
+        ["request_seq", "request_id"], "COLUMN_ORDER",
     )
     placed = given.withColumn("COLUMN_ORDER", F.col("_order")).unionByName(open_ended)
     columns = audit(placed, as_of).select(

@@ -41,8 +41,8 @@ def begin(requests: DataFrame, kind: str) -> DataFrame:
 
 
 def is_small(requests: DataFrame) -> bool:
-    """Whether the number of requests is within the bound for a broadcast; counts no further."""
-    return requests.limit(BROADCAST_REQUESTS + 1).count() <= BROADCAST_REQUESTS
+    """Whether the number of requests is within the bound for a broadcast."""
+    return requests.count() <= BROADCAST_REQUESTS
 
 
 def asked_for(registry: DataFrame, rows: DataFrame, on: dict[str, str], small: bool) -> DataFrame:
@@ -72,15 +72,16 @@ def add_error(rows: DataFrame, failed: Column, field_name: str, value: Column, r
 
 def reject_repeats(rows: DataFrame, key: list[str]) -> DataFrame:
     """Only the earliest good request per object goes on; a batch changes an object once."""
+    turn = F.struct("request_seq", "request_id")
     # The test stays inside the aggregate: as a filter it would be pushed below the error list
     # and evaluate all the checks twice.
     earliest = rows.groupBy(*[F.col(k).alias(f"_of{k}") for k in key]).agg(
-        F.min(F.when(F.size("errors") == 0, F.col("request_seq"))).alias("_earliest")
+        F.min(F.when(F.size("errors") == 0, turn)).alias("_earliest")
     )
     same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in key]
     joined = rows.join(earliest, same, "left")
     marked = add_error(
-        joined, F.col("request_seq") > F.col("_earliest"), "request", F.col(key[-1]), "duplicate"
+        joined, turn > F.col("_earliest"), "request", F.col(key[-1]), "duplicate"
     )
     return marked.select(*rows.columns)
 

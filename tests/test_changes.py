@@ -265,6 +265,13 @@ def test_sequences(ask, main):
     assert rows(done.history["sequence"], "HIST_TYPE", "SEQUENCE_NAME") == [("D", "SEQ_A")]
 
 
+def test_requests_with_one_turn_go_by_their_id(ask, main):
+    done = changes.sequence_create(main, ask(
+        "sequence_create", dict(seqName="t", request_seq=1, emp_id="first"), dict(seqName="SEQ_T", request_seq=1)), AS_OF)
+    assert reasons(done) == {2: [("request", "duplicate")]}
+    assert rows(done.append["sequence"], "CREATED_BY") == [("first",)]
+
+
 def test_batch_is_published_with_its_history(spark, ask, main, tmp_path):
     root = str(tmp_path)
     publish(spark, root, AS_OF, append=main)
