@@ -15,10 +15,10 @@ from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id, next_ordinals
 from tablewarden.operators.joins import as_is, in_set, not_in
 from tablewarden.plans.changes.common import (
-    OUT_OF_USE, Change, audit, begin, changed, find_object, find_table, is_small, patch,
+    OUT_OF_USE, Batch, Change, audit, begin, changed, find_object, find_table, is_small, patch,
     reject_repeats, settle, statements, with_errors, with_request,
 )
-from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, INDEX, INDEX_COLUMN
+from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, ENTITIES
 
 _KEY = {"TABLE_ID": "TABLE_ID", "_column": "COLUMN_NAME"}
 
@@ -250,6 +250,27 @@ def emptied_indexes(
     return emptied.select(*indexes.columns, by["reason"].alias("reason"), by["_actor"].alias("_actor"))
 
 
+def _removal(main: dict[str, DataFrame], dropped: DataFrame, batch: Batch):
+    """Columns, index entries and emptied indexes that go, with reason and actor, and the index
+    rows that stay."""
+    by_column = batch.side(dropped.select("TABLE_ID", "COLUMN_NAME", "reason", "_actor"))
+    concerned = in_set(main["index"], dropped, {"TABLE_ID": "TABLE_ID"}, side=batch.side)
+    lost = main["index_column"].join(concerned.select("INDEX_ID", "TABLE_ID"), "INDEX_ID").join(
+        by_column, ["TABLE_ID", "COLUMN_NAME"]
+    )
+    removed = {
+        "column": main["column"].join(by_column, ["TABLE_ID", "COLUMN_NAME"]),
+        "index": emptied_indexes(main["index"], main["index_column"], dropped, batch.side),
+        "index_column": lost,
+    }
+    entry = {"INDEX_ID": "INDEX_ID", "COLUMN_POS": "COLUMN_POS"}
+    rest = {
+        "index_column": not_in(main["index_column"], lost, entry, unique=True),
+        "index": not_in(main["index"], removed["index"], {"INDEX_ID": "INDEX_ID"}, unique=True),
+    }
+    return removed, rest
+
+
 def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_history: bool = False) -> Change:
     """Columns put out of use (SOFT), or removed with their index entries and the indexes that
     are left without any (every other mode). Remaining index positions keep their numbers.
@@ -267,29 +288,22 @@ def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_his
     patched = patch(
         main["column"], soft, _KEY, {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of, batch.side
     )
-    dropped = hard.select(
-        "TABLE_ID", F.col("_column").alias("COLUMN_NAME"), "request_seq", "reason", "_actor"
-    )
-    by_column = batch.side(dropped.select("TABLE_ID", "COLUMN_NAME", "reason", "_actor"))
-    same = {"TABLE_ID": "TABLE_ID", "COLUMN_NAME": "COLUMN_NAME"}
-    emptied = emptied_indexes(main["index"], main["index_column"], dropped, batch.side)
-    on_tables = in_set(main["index"], dropped, {"TABLE_ID": "TABLE_ID"}, side=batch.side).select("INDEX_ID", "TABLE_ID")
-    lost = (
-        main["index_column"].join(on_tables, "INDEX_ID")
-        .join(by_column, ["TABLE_ID", "COLUMN_NAME"])
-    )
-    removed = main["column"].join(by_column, ["TABLE_ID", "COLUMN_NAME"])
-    history = {
-        "index": snapshot(emptied, INDEX, "D", F.col("reason"), F.col("_actor"), as_of),
-        "column": snapshot(
-            changed(patched), COLUMN, "U", F.col("_reason"), F.col("_actor"), as_of
-        ).unionByName(snapshot(removed, COLUMN, "D", F.col("reason"), F.col("_actor"), as_of)),
-    }
-    if full_history:
-        history["index_column"] = snapshot(
-            lost, INDEX_COLUMN, "D", F.col("reason"), F.col("_actor"), as_of
+    updated = snapshot(changed(patched), COLUMN, "U", F.col("_reason"), F.col("_actor"), as_of)
+    replace, history = {"column": patched.select(*COLUMN.names)}, {"column": updated}
+    if not hard.isEmpty():
+        dropped = hard.select(
+            "TABLE_ID", F.col("_column").alias("COLUMN_NAME"), "request_seq", "reason", "_actor"
         )
-    entry = {"INDEX_ID": "INDEX_ID", "COLUMN_POS": "COLUMN_POS"}
+        removed, rest = _removal(main, dropped, batch)
+        deleted = {
+            n: snapshot(rows, ENTITIES[n], "D", F.col("reason"), F.col("_actor"), as_of)
+            for n, rows in removed.items() if full_history or n != "index_column"
+        }
+        history = deleted | {"column": updated.unionByName(deleted["column"])}
+        same = {"TABLE_ID": "TABLE_ID", "COLUMN_NAME": "COLUMN_NAME"}
+        replace = rest | {
+            "column": not_in(replace["column"], dropped, same, unique=True, side=batch.side)
+        }
     drop = F.concat(
         F.lit("ALTER TABLE "), F.concat_ws(".", "_schema", "_table"),
         F.lit(" DROP COLUMN "), "_column", F.lit(";"),
@@ -297,10 +311,6 @@ def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_his
     return Change(
         ddl=statements(good, [(~is_soft, drop)]),
         rejects=batch.rejects,
-        replace={
-            "column": not_in(patched.select(*COLUMN.names), dropped, same, unique=True, side=batch.side),
-            "index_column": not_in(main["index_column"], lost, entry, unique=True),
-            "index": not_in(main["index"], emptied, {"INDEX_ID": "INDEX_ID"}, unique=True),
-        },
+        replace=replace,
         history=history,
     )

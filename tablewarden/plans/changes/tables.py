@@ -16,10 +16,10 @@ from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id
 from tablewarden.operators.joins import not_in
 from tablewarden.plans.changes.common import (
-    OUT_OF_USE, Change, audit, begin, changed, find_object, find_table, is_small, patch,
+    OUT_OF_USE, Batch, Change, audit, begin, changed, find_object, find_table, is_small, patch,
     reject_repeats, settle, statements, with_errors, with_request,
 )
-from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, INDEX, INDEX_COLUMN, SEQUENCE, TABLE
+from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, ENTITIES, SEQUENCE, TABLE
 
 # Options of a sequence that is created for a single-column NUMBER key.
 KEY_SEQUENCE_OPTIONS = "START WITH 1\n  INCREMENT BY 1\n  NOCYCLE\n  CACHE 20\n  NOORDER"
@@ -266,6 +266,23 @@ def table_create(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Chan
     )
 
 
+def _removal(main: dict[str, DataFrame], hard: DataFrame, batch: Batch):
+    """Rows that go with their tables, with the request's reason and actor, and the children that stay."""
+    gone = batch.side(hard.select("TABLE_ID", "reason", "_actor"))
+    removed = {n: main[n].join(gone, "TABLE_ID") for n in ("table", "column", "index")}
+    removed["index_column"] = main["index_column"].join(
+        removed["index"].select("INDEX_ID", "reason", "_actor"), "INDEX_ID"
+    )
+    on_table = {"TABLE_ID": "TABLE_ID"}
+    rest = {
+        n: not_in(main[n], hard, on_table, unique=True, side=batch.side) for n in ("column", "index")
+    }
+    rest["index_column"] = not_in(
+        main["index_column"], removed["index"], {"INDEX_ID": "INDEX_ID"}, unique=True
+    )
+    return removed, rest
+
+
 def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """Tables put out of use (SOFT), or removed with columns, indexes and index columns (HARD).
 
@@ -292,32 +309,20 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
         main["table"], soft, {"TABLE_ID": "TABLE_ID"},
         {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of, batch.side,
     )
-    gone = batch.side(hard.select("TABLE_ID", "reason", "_actor"))
-    removed = {
-        "table": main["table"].join(gone, "TABLE_ID"),
-        "column": main["column"].join(gone, "TABLE_ID"),
-        "index": main["index"].join(gone, "TABLE_ID"),
-    }
-    removed["index_column"] = main["index_column"].join(
-        removed["index"].select("INDEX_ID", "reason", "_actor"), "INDEX_ID"
-    )
-    entities = {"table": TABLE, "column": COLUMN, "index": INDEX, "index_column": INDEX_COLUMN}
-    history = {
-        n: snapshot(rows, entities[n], "D", F.col("reason"), F.col("_actor"), as_of)
-        for n, rows in removed.items()
-    }
-    history["table"] = snapshot(
-        changed(patched), TABLE, "U", F.col("_reason"), F.col("_actor"), as_of
-    ).unionByName(history["table"])
-    on_table = {"TABLE_ID": "TABLE_ID"}
-    replace = {
-        "table": not_in(patched.select(*TABLE.names), hard, on_table, unique=True, side=batch.side),
-        "column": not_in(main["column"], hard, on_table, unique=True, side=batch.side),
-        "index": not_in(main["index"], hard, on_table, unique=True, side=batch.side),
-        "index_column": not_in(
-            main["index_column"], removed["index"], {"INDEX_ID": "INDEX_ID"}, unique=True
-        ),
-    }
+    updated = snapshot(changed(patched), TABLE, "U", F.col("_reason"), F.col("_actor"), as_of)
+    replace, history = {"table": patched.select(*TABLE.names)}, {"table": updated}
+    if not hard.isEmpty():
+        removed, rest = _removal(main, hard, batch)
+        deleted = {
+            n: snapshot(rows, ENTITIES[n], "D", F.col("reason"), F.col("_actor"), as_of)
+            for n, rows in removed.items()
+        }
+        history = deleted | {"table": updated.unionByName(deleted["table"])}
+        replace = rest | {
+            "table": not_in(
+                replace["table"], hard, {"TABLE_ID": "TABLE_ID"}, unique=True, side=batch.side
+            )
+        }
     drop = F.concat(F.lit("DROP TABLE "), F.concat_ws(".", "_schema", "_table"), F.lit(";"))
     return Change(
         ddl=statements(good, [(F.col("mode") == "HARD", drop)]),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions import types
 from tablewarden.functions.names import check_name, errors
 from tablewarden.functions.text import (
     cut, ensure_prefix, join_text, number_or_null, sql_quote, trim_all, yes_no,
 )
-from tablewarden.functions.types import parse_index_columns, render_type
 from tablewarden.operators import history, integrity
 from tablewarden.operators.backfill import phase_counts
 from tablewarden.operators.drift import Attribute, attr_diff
@@ -22,23 +21,10 @@ from tablewarden.operators.views import masked_view
 from tablewarden.plans.changes.common import patch
 from tablewarden.plans.load import index_type
 from tablewarden.schemas import Column, Entity
-from workload.derived import given, oracle
+from workload.derived import collector, given
 
 AS_OF = "2024-01-01 00:00:00"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that must give the same rows."""
-
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLES[function.__name__] = oracle(sql)
-        return function
-
-    return register
+query, QUERIES, ORACLES = collector()
 
 
 def _new_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,7 +437,7 @@ def parse_column_list(spark, sf_dir):
     listed = F.replace("p_name", F.lit(" "), F.lit(", "))
     listed = F.regexp_replace(listed, r"\b(widget|ring)\b", "$1 desc")
     return given(spark, sf_dir, "part").select(
-        "p_partkey", F.posexplode(parse_index_columns(listed)).alias("pos", "c")
+        "p_partkey", F.posexplode(types.parse_index_columns(listed)).alias("pos", "c")
     ).select(
         "p_partkey", (F.col("pos") + 1).alias("column_pos"),
         F.col("c.name").alias("column_name"), F.col("c.sort").alias("sort_order"),
@@ -462,20 +448,16 @@ def parse_column_list(spark, sf_dir):
     SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 'VARCHAR2(' || p_size || ')' WHEN p_type = 'PROMO' THEN 'CHAR(1)'
                            WHEN p_type = 'LARGE' THEN 'NUMBER(' || p_size || ',2)' ELSE p_type END AS type_text
     FROM {part}""")
-def render_types(spark, sf_dir):
+def render_type(spark, sf_dir):
     kind = (
         F.when(F.col("p_type") == "SMALL", "varchar2").when(F.col("p_type") == "PROMO", "char")
         .when(F.col("p_type") == "LARGE", "number").otherwise(F.col("p_type"))
     )
     size = F.when(F.col("p_type") != "PROMO", F.col("p_size"))
-    text = render_type(kind, size, F.col("p_size"), F.lit(2))
+    text = types.render_type(kind, size, F.col("p_size"), F.lit(2))
     return given(spark, sf_dir, "part").select("p_partkey", text.alias("type_text"))
 
 
-QUERIES["render_type"] = QUERIES.pop("render_types")
-ORACLES["render_type"] = ORACLES.pop("render_types")
-
-
 @query("""
     SELECT conv_id, turn, CAST(coalesce((SELECT max(turn) FROM {conversations} o WHERE o.conv_id = u.conv_id AND role <> 'user'), 0)
            + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS new_order

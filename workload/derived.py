@@ -291,3 +291,20 @@ def oracle(body: str) -> str:
     shared = "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in plain.items())
     # A body that has CTEs of its own goes on with the list.
     return f"{shared},\n{last[5:]}" if last.startswith("WITH ") else f"{shared}\n{last}"
+
+
+def collector():
+    """A decorator that registers queries under their names, with the SQL that must give the same
+    rows, and the two dictionaries that it fills."""
+    queries: dict = {}
+    oracles: dict[str, str] = {}
+
+    def query(sql: str):
+        def register(function):
+            queries[function.__name__] = function
+            oracles[function.__name__] = oracle(sql)
+            return function
+
+        return register
+
+    return query, queries, oracles

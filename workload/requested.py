@@ -11,20 +11,9 @@ from tablewarden.operators.filters import conform
 from tablewarden.plans import changes
 from tablewarden.schemas import ENTITIES
 from workload.business import AS_OF
-from workload.derived import oracle, relation
+from workload.derived import collector, relation
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLES[function.__name__] = oracle(sql)
-        return function
-
-    return register
+query, QUERIES, ORACLES = collector()
 
 
 def registry(spark: SparkSession, sf_dir: str, *entities: str) -> dict[str, DataFrame]:
