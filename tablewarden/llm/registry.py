@@ -1,9 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import language_id
+from . import exact_dedup, language_id, token_codec
 
 QUERIES = {
+    "op2_token_codec": token_codec.query,
+    "op5_exact_dedup": exact_dedup.query,
     "op10_language_id": language_id.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.SQL,
+}
