@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,9 +62,11 @@ def fingerprints(parts: list[bytes]) -> dict[str, np.ndarray]:
 _CHUNK = "uid long, doc_id long, pos int, text_sha256 string, n_bytes long, h1 long, shift1 long, h2 long, shift2 long"
 
 
-def _hash_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hash_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
-        yield frame[["uid", "doc_id", "pos", "text_sha256"]].assign(**fingerprints(encoded(frame["chunk"])))
+        found = fingerprints(encoded(frame["chunk"].to_pylist()))
+        names = ["uid", "doc_id", "pos", "text_sha256"]
+        yield pa.RecordBatch.from_arrays([*(frame[n] for n in names), *map(pa.array, found.values())], [*names, *found])
 
 
 def _combined(k: int) -> Column:
@@ -88,7 +90,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", normalised(F.col("text")).alias("norm")).select(
         F.monotonically_increasing_id().alias("uid"), "doc_id", "norm", F.sha2("norm", 256).alias("text_sha256")
     )
-    hashed = chunked(texts, "uid", "doc_id", "text_sha256").mapInPandas(_hash_batches, _CHUNK)
+    hashed = chunked(texts, "uid", "doc_id", "text_sha256").mapInArrow(_hash_batches, _CHUNK)
     chunks = F.array_sort(F.collect_list(F.struct("pos", "n_bytes", "h1", "shift1", "h2", "shift2")))
     return (
         hashed.groupBy("uid", "doc_id", "text_sha256").agg(F.sum("n_bytes").alias("n_bytes"), chunks.alias("chunks"))
@@ -138,7 +140,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     come last; of repeated rows exactly one stays). Rows with equal fingerprints are compared with the first
     of their group chunk by chunk; those that differ are grouped by their own digest instead.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     prints = stage(fingerprint_table(docs), "prints")
     alike = stage(groups_of(prints, KEY), "alike")
     members = prints.join(alike, KEY).select(

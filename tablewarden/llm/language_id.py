@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,24 +133,27 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     probability. Null texts and texts without a letter get ``und`` and 0; of equals the first name wins."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            names, scores = shared.value.predict(frame["text"].tolist())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": names, "score": scores})
+            names, scores = shared.value.predict(frame["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [frame["doc_id"], pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"]
+            )
 
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(batches, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose text has a letter and a language of at least ``least`` probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            names, scores = shared.value.predict(frame["text"].tolist())
-            yield frame[[n != UNDETERMINED and s >= least for n, s in zip(names, scores)]]
+            names, scores = shared.value.predict(frame["text"].to_pylist())
+            yield frame.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInPandas(batches, docs.schema)
+    return docs.mapInArrow(batches, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, token_codec
+from . import exact_dedup, language_id, packing, token_codec, token_store
 
 QUERIES = {
+    "op1_token_store": token_store.query,
     "op2_token_codec": token_codec.query,
+    "op3_packing": packing.query,
     "op5_exact_dedup": exact_dedup.query,
     "op10_language_id": language_id.query,
 }

@@ -8,8 +8,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -74,24 +74,25 @@ def codec(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Codec:
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids binary): the token ids of each whole text as little-endian unsigned 32-bit integers."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for frame in frames:
-            ids = [c.encode(t).astype("<u4").tobytes() if isinstance(t, str) else b"" for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids})
+            ids = [c.encode(t).astype("<u4").tobytes() if t else b"" for t in frame["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([frame["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids, decoded binary): the raw bytes that the ids stand for."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for frame in frames:
-            yield frame.assign(decoded=[c.decode_bytes(np.frombuffer(ids, "<u4")) for ids in frame["ids"]])
+            texts = [c.decode_bytes(np.frombuffer(ids, "<u4")) for ids in frame["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(batches, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id long, ids binary, decoded binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
