@@ -1,15 +1,17 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, packing, token_codec, token_store
+from . import exact_dedup, language_id, packing, token_codec, token_store, warc
 
 QUERIES = {
     "op1_token_store": token_store.query,
     "op2_token_codec": token_codec.query,
     "op3_packing": packing.query,
+    "op4_warc": warc.query,
     "op5_exact_dedup": exact_dedup.query,
     "op10_language_id": language_id.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
