@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, packing, token_codec, token_store, warc
+from . import exact_dedup, language_id, main_text, packing, token_codec, token_store, vector_search, warc
 
 QUERIES = {
     "op1_token_store": token_store.query,
@@ -8,10 +8,13 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_warc": warc.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_main_text": main_text.query,
+    "op7_vector_search": vector_search.query,
     "op10_language_id": language_id.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_vector_search": vector_search.SQL,
     "op4_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
