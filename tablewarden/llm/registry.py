@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, main_text, packing, suffix_dedup, token_codec, token_store, vector_search, warc
+from . import exact_dedup, language_id, main_text, minhash_forest, packing, suffix_dedup, token_codec, token_store, vector_search, warc
 
 QUERIES = {
     "op1_token_store": token_store.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op6_main_text": main_text.query,
     "op7_vector_search": vector_search.query,
+    "op8_minhash_forest": minhash_forest.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_language_id": language_id.query,
 }
