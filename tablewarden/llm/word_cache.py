@@ -8,33 +8,61 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-KEPT_WORDS = 600_000
-# Letters whose Unicode class is the same in every version of the tables.
+# Words kept in each of two generations; a full one becomes the older, whose words are taken over when met again.
+KEPT_WORDS = 650_000
+# Letters whose Unicode class and lower case are the same in every version of the tables.
 _LAST_LETTER = "ɏ"
 _STOPS = (",", ".")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The vocabulary's letter for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return dict(zip(plain, plain)) | {b: 256 + k for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _plain(word: str) -> bool:
+    """Letters only, of the well-known alphabets and composed: one match, and nothing to normalise but case."""
+    return word.isalpha() and (word.isascii() or (max(word) <= _LAST_LETTER and "İ" not in word))
+
+
 class _Words(dict):
     """Word -> bytes of its ids; words not yet met are encoded by ``_new``."""
 
     def __init__(self, library: Tokenizer):
         super().__init__()
-        self._library = library
+        self._library, self._merge = library, library.model.tokenize
+        self._older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def match_ids(self, match: str) -> bytes:
+        """Of text that is known to be one match of the library's pattern and normalised."""
+        if not match.isascii() or match[0] == " ":
+            match = match.encode().decode("latin-1").translate(_LETTERS)
+        found = [t.id for t in self._merge(match)]
+        return struct.pack(f"<{len(found)}I", *found)
+
     def _new(self, word: str) -> bytes:
         raise NotImplementedError
 
     def __missing__(self, word: str) -> bytes:
-        found = self._new(word)
+        found = self._older.get(word)
+        if found is None:
+            found = self._new(word)
         if len(self) >= KEPT_WORDS:
+            self._older = dict(self)
             self.clear()
         self[word] = found
         return found
@@ -42,13 +70,15 @@ class _Words(dict):
 
 def _stopped(word: str) -> bool:
     """A letter and then one stop at the end: always two matches."""
-    return len(word) > 1 and word[-1] in _STOPS and word[-2] <= _LAST_LETTER and word[-2].lower().isalpha()
+    return len(word) > 1 and word[-1] in _STOPS and _plain(word[-2])
 
 
 class _Starts(_Words):
     """Words as they stand at the start of a text or line."""
 
     def _new(self, word: str) -> bytes:
+        if _plain(word):
+            return self.match_ids(word)
         if _stopped(word):
             return self[word[:-1]] + self[word[-1]]
         return self.ids(word)
@@ -62,11 +92,13 @@ class _Spaced(_Words):
         self._starts = starts
 
     def _new(self, word: str) -> bytes:
+        if _plain(word):
+            return self.match_ids(" " + word)
+        if _stopped(word):
+            return self[word[:-1]] + self._starts[word[-1]]
         before, line, after = word.partition("\n")
         if line and before and after and not before[-1].isspace() and not after[0].isspace():
             return self[before] + self._starts["\n"] + self._starts[after]
-        if _stopped(word):
-            return self[word[:-1]] + self._starts[word[-1]]
         return self.ids(" " + word)
 
 
@@ -74,11 +106,11 @@ class _Bare(_Words):
     """Words of a vocabulary that drops white space and lower-cases."""
 
     def _new(self, word: str) -> bytes:
+        if _plain(word):
+            lower = word.lower()
+            return self.match_ids(word) if lower == word else self[lower]
         if _stopped(word):
             return self[word[:-1]] + self[word[-1]]
-        lower = word.lower()
-        if lower != word and word.isascii():
-            return self[lower]
         return self.ids(word)
 
 
