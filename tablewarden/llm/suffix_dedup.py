@@ -126,41 +126,54 @@ class Windows:
             ])
 
 
-_BLOCK = "block long, ids binary, lengths binary, texts binary"
+_BLOCK = "block long, ids binary, lengths binary, texts binary, rest binary"
 
 
-def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows of ``block_bytes`` of text or one longer text: ids (null as the largest), byte lengths, packed texts."""
+def blocks(docs: DataFrame, keep: list[str], block_bytes: int) -> DataFrame:
+    """Rows of ``block_bytes`` of text or one longer text: ids (null as the largest), byte lengths (negative for
+    a null text), packed texts, and the columns to keep as an Arrow stream."""
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, n = [], [], 0, 0
+        ids, lengths, texts, rest, size, n = [], [], [], [], 0, 0
         task = TaskContext.get().partitionId()
-        schema = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "lengths", "texts"))])
+        schema = pa.schema([("block", pa.int64()), *((c.split()[0], pa.binary()) for c in _BLOCK.split(", ")[1:])])
 
         def block() -> pa.RecordBatch:
-            row = [task << 32 | n, np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes()]
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, [*row, zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]))], schema)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                for part in rest:
+                    out.write_batch(part)
+            packed = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            row = [task << 32 | n, np.array(ids, np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), packed, sink.getvalue().to_pybytes()]
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema)
 
         for frame in frames:
-            for doc_id, text in zip(frame["doc_id"].to_pylist(), frame["text"].to_pylist()):
+            first = 0
+            kept = frame.drop_columns(["own_id", "own_text"])
+            for at, (doc_id, text) in enumerate(zip(frame["own_id"].to_pylist(), frame["own_text"].to_pylist())):
                 data = text.encode() if text else b""
                 if texts and size + len(data) > block_bytes:
+                    rest.append(kept.slice(first, at - first))
                     yield block()
-                    ids, texts, size, n = [], [], 0, n + 1
+                    ids, lengths, texts, rest, size, n, first = [], [], [], [], 0, n + 1, at
                 ids.append(_NO_ID if doc_id is None else doc_id)
+                lengths.append(-1 if text is None else len(data))
                 texts.append(data)
                 size += len(data)
+            rest.append(kept.slice(first))
         if texts:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, _BLOCK)
+    own = [F.col("doc_id").cast("long").alias("own_id"), F.col("text").alias("own_text")]
+    return docs.select(*(docs[c] for c in keep), *own).mapInArrow(batches, _BLOCK)
 
 
 class Block:
     def __init__(self, row: dict, n_buckets: int):
         self.ids = np.frombuffer(row["ids"], np.int64)
         lengths = np.frombuffer(row["lengths"], np.int64)
-        bounds = np.append(0, np.cumsum(lengths))
+        self.null = lengths < 0
+        bounds = np.append(0, np.cumsum(np.maximum(lengths, 0)))
         data = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=int(bounds[-1]) + 1) if bounds[-1] else b""
         self.parse = Parse(np.frombuffer(data, np.uint8), bounds)
         p = self.parse
@@ -305,10 +318,10 @@ def _joined_lists(answers: DataFrame, prefix: str) -> DataFrame:
     ).select("block", F.col("a.keys").alias(f"{prefix}_keys"), F.col("a.docs").alias(f"{prefix}_docs"))
 
 
-def _solved(docs: DataFrame, block_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int]:
+def _solved(docs: DataFrame, keep: list[str], block_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int]:
     """The blocks with what other blocks told them, and the number of buckets."""
     n_buckets = parts_for(text_bytes(docs), bucket_bytes)
-    held = stage(blocks(docs, block_bytes), "blocks", "none")
+    held = stage(blocks(docs, keep, block_bytes), "blocks", "none")
     entries = held.mapInPandas(_announce_triggers(n_buckets), _ENTRIES)
     told = stage(entries.groupBy("bucket").applyInPandas(_compare_triggers, _ANSWERS), "triggers", "none")
     lists = _joined_lists(told, "t")
@@ -318,27 +331,28 @@ def _solved(docs: DataFrame, block_bytes: int, bucket_bytes: int) -> tuple[DataF
     return held.join(both, "block", "left"), n_buckets
 
 
-def _applied(docs: DataFrame, schema: str, made, block_bytes: int, bucket_bytes: int) -> DataFrame:
-    """One row per document from ``made(text bytes, removed flags)``."""
-    solved, n_buckets = _solved(docs, block_bytes, bucket_bytes)
-    names = [c.split()[0] for c in schema.split(", ")]
+def _applied(docs: DataFrame, keep: list[str], schema: str, made, block_bytes: int, bucket_bytes: int) -> DataFrame:
+    """For each row the columns to keep and those that ``made(text bytes, removed flags, null)`` gives."""
+    solved, n_buckets = _solved(docs, keep, block_bytes, bucket_bytes)
+    fields = [c.split() for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string()}
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for row in frame.to_dict("records"):
+            for row in frame.to_pylist():
                 b = Block(row, n_buckets)
-                gone = _removed(b, _told(row["t_keys"], row["t_docs"]), _told(row["w_keys"], row["w_docs"]))
-                out = [
-                    (int(i), i == _NO_ID, *made(b.parse.buffer[s:e], gone[s:e]))
-                    for i, s, e in zip(b.ids, b.parse.bounds[:-1], b.parse.bounds[1:])
-                ]
-                yield pd.DataFrame(out, columns=["doc_id", "absent", *names])
+                gone = _removed(b, _told(*(row[c] for c in ("t_keys", "t_docs"))), _told(*(row[c] for c in ("w_keys", "w_docs"))))
+                edges = zip(b.parse.bounds[:-1], b.parse.bounds[1:], b.null)
+                found = zip(*(made(b.parse.buffer[s:e], gone[s:e], null) for s, e, null in edges))
+                rest = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks().to_batches()[0]
+                columns = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(found, fields)]
+                yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, *(n for n, _ in fields)])
 
-    found = solved.mapInPandas(batches, f"doc_id long, absent boolean, {schema}")
-    return found.select(F.when(~F.col("absent"), F.col("doc_id")).alias("doc_id"), *names)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(docs[c] for c in keep)).schema]
+    return solved.mapInArrow(batches, ", ".join([*kept, schema]))
 
 
-def _digest(data: np.ndarray, gone: np.ndarray) -> tuple:
+def _digest(data: np.ndarray, gone: np.ndarray, null: bool) -> tuple:
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]) if len(gone) else 0
     return len(data), int(np.count_nonzero(gone)), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
@@ -350,16 +364,18 @@ def repeated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int
     Null texts are empty; null ids come after all others and never make each other smaller; rows that repeat an
     id are one document, none smaller than another.
     """
-    return _applied(docs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", _digest, block_bytes, bucket_bytes)
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return _applied(docs.select("doc_id", "text"), ["doc_id"], schema, _digest, block_bytes, bucket_bytes)
 
 
-def _rest(data: np.ndarray, gone: np.ndarray) -> tuple:
-    return (data[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else data.tobytes().decode(),)
+def _rest(data: np.ndarray, gone: np.ndarray, null: bool) -> tuple:
+    return (None if null else data[~gone].tobytes().decode("utf-8", "ignore"),)
 
 
-def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, text) with the remaining bytes of each text; of a character cut apart nothing stays."""
-    return _applied(docs, "text string", _rest, block_bytes, bucket_bytes)
+def replaced(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows with all their columns, each text without its removed bytes; of a character cut apart nothing stays."""
+    keep = [c for c in docs.columns if c != "text"]
+    return _applied(docs, keep, "text string", _rest, block_bytes, bucket_bytes).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,10 @@ def test_a_long_text_is_parsed_in_pieces(spark, monkeypatch):
 
 
 def test_rest_of_texts_and_empty_table(spark):
-    docs = spark.createDataFrame([(1, "y" * 60), (2, "zz" + "y" * 60), (3, None)], "doc_id long, text string")
-    assert {tuple(r) for r in suffix_dedup.without_repeats(docs).collect()} == {(1, "y" * 60), (2, "zz"), (3, "")}
+    schema = "doc_id long, text string, block string, ids array<int>, rest long"
+    rows = [(1, "y" * 60, "a", [1], None), (2, "zz" + "y" * 60, None, None, 5), (3, None, "c", [], 6), (None, "é" * 60, "d", [2], 7)]
+    docs = spark.createDataFrame(rows, schema)
+    got = {tuple(r) for r in suffix_dedup.replaced(docs).select("doc_id", "text", "block", "rest").collect()}
+    assert got == {(1, "y" * 60, "a", None), (2, "zz", None, 5), (3, None, "c", 6), (None, "é" * 60, "d", 7)}
+    assert suffix_dedup.replaced(docs).schema.simpleString() == docs.schema.simpleString()
     assert suffix_dedup.repeated(docs.limit(0)).count() == 0
