@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that a task turns into numpy arrays at once.
 SLICE_BYTES = 2 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it wherever they run.
+
+    Needed before a function is handed to Spark, which notes then what its workers get.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        if package.is_dir():
+            name = f"{tempfile.mkdtemp(prefix='ship-')}/{package.name}-{context.applicationId}"
+            context.addPyFile(shutil.make_archive(name, "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``; only a local session without it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -106,6 +125,3 @@ def stretch_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     length = (end - start).astype(np.uint64)
     return mix64((h[end] - h[start]) * down[start] + length * np.uint64(0xD6E8FEB86659FD93))
 
-
-def columns_of(df: DataFrame, *names: str) -> list[Column]:
-    return [df[n] for n in names]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, joined, slices, stage
+from .common import encoded, joined, ship, slices, stage
 
 # A fingerprint is a polynomial in the bytes, modulo two primes; values stay below 2**31.
 PRIMES = (2147483647, 2147483629)
@@ -140,6 +140,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     come last; of repeated rows exactly one stays). Rows with equal fingerprints are compared with the first
     of their group chunk by chunk; those that differ are grouped by their own digest instead.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     prints = stage(fingerprint_table(docs), "prints")
     alike = stage(groups_of(prints, KEY), "alike")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import ship, slices
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -103,6 +103,7 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
     The counts are summed on the executors; what reaches the driver is one number per language and
     bucket, whatever the number of documents. Too many languages for ``MODEL_BYTES`` are refused.
     """
+    ship(docs.sparkSession)
     counted = (
         docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
         .mapInPandas(_count_batches, "lang string, bucket int, n long")
@@ -131,6 +132,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for each row: the likeliest language by the text alone and its posterior
     probability. Null texts and texts without a letter get ``und`` and 0; of equals the first name wins."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +148,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose text has a letter and a language of at least ``least`` probability."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

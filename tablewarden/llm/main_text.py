@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship
+
 # Common function words of some languages.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he i this are or his from at which but have an had they "
@@ -205,6 +207,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html); null html gives an empty text."""
+    ship(pages.sparkSession)
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:

@@ -2,12 +2,11 @@
 
 Each tree of the forest orders all documents by DEPTH minima of its own hash functions. Neighbours with the
 longest common prefix are candidates: each document is paired with the next WIDTH ones of its order with which
-it shares at least the first minimum. Where more documents share a prefix than that window reaches, they form
-a dense region; there the prefix that counts is extended one minimum at a time until the region is small
-enough, and at every depth on the way each document is also paired with the region's centre, the document whose
-labels are the most common ones over all trees. Candidates whose signatures agree too little for the wanted
-similarity are dropped; the others are confirmed on full sets, first enough of them to connect what is
-connected, then all that still would join two components.
+it shares at least the first minimum, so the prefix that counts grows with the density of a region. Candidates
+whose signatures agree too little for the wanted similarity are dropped; the others are confirmed on full sets,
+first enough of them to connect what is connected, then all that still would join two components. Where more
+documents share a prefix than the window reaches, each is at last compared with the most central ones of its
+region that it is not connected with: copies of one text that differ too much from each other meet there.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoded, joined, mix64, parts_for, prefix_hash, slices, stage, stretch_hash
+from .common import encoded, joined, mix64, parts_for, prefix_hash, ship, slices, stage, stretch_hash
 
 WORDS = 5
 PERCENT = 75
@@ -32,6 +31,7 @@ WIDTH = 8
 # Of the TREES * DEPTH minima so many agree at least. At a similarity of 0.75 each agrees with that chance, so a
 # true pair falls below it less than once in ten million.
 AGREEMENT = 30
+CENTRES = 24
 ROWS_PER_PART = 200_000
 
 
@@ -196,51 +196,61 @@ def _along(trees: DataFrame, n_parts: int) -> DataFrame:
     return found.where("part < 0").select("a", "b", "agree").unionByName(seams)
 
 
-def _towards_centres(trees: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, agree): each document of a dense region with the region's centre, at depths one and two."""
+def _trees(classes: DataFrame) -> DataFrame:
+    return classes.select("node", "signature").mapInPandas(_grow, _TREE_ROW)
+
+
+def neighbours(classes: DataFrame) -> DataFrame:
+    """(a, b, agree), a < b: neighbouring classes (node, signature) of all trees, each pair once."""
+    pairs = _along(_trees(classes), parts_for(classes.count() * TREES, ROWS_PER_PART))
+    return stage(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+
+
+def _with_centres(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        n = frame["centres"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(frame)), n)
+        centres = [c for held in frame["centres"] for c in held]
+        node, root = (frame[c].to_numpy(np.int64)[row] for c in ("node", "root"))
+        other, other_root = (np.array([c[k] for c in centres], np.int64) for k in ("node", "root"))
+        far = np.flatnonzero((root != other_root) & (node != other))
+        if len(far):
+            mine = _briefs(frame["brief"])[row[far]]
+            agree = _agree(mine, _briefs(pd.Series([centres[k]["brief"] for k in far])))
+            far = far[agree >= AGREEMENT]
+            a, b = node[far], other[far]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def towards_centres(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): for dense regions, at depths one and two, each class with those of the region's CENTRES most
+    central ones that it has no connection with yet. ``roots``: (node, root) of what is connected.
+
+    A class is the more central, the more classes share its full labels. The centres of a region are a bounded
+    list, which each of its rows meets by a join that may be split; the rows never meet each other.
+    """
     labels = [f"p{d}" for d in range(1, DEPTH + 1)]
-    narrow = trees.select("tree", *labels, "node")
-    dense = stage(narrow.groupBy("tree", "p1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDTH + 1).select("tree", "p1"), "dense")
-    rows = stage(narrow.join(dense, ["tree", "p1"]), "dense-rows")
+    trees = _trees(classes)
+    dense = stage(trees.groupBy("tree", "p1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDTH + 1).select("tree", "p1"), "dense")
+    rows = stage(trees.join(dense, ["tree", "p1"]), "dense-rows")
     like = stage(rows.groupBy("tree", *labels).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "like")
-    weight = stage(rows.join(like, ["tree", *labels]).groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    weighed = stage(
-        rows.join(weight, "node", "left").withColumn("rank", F.struct(F.coalesce("weight", F.lit(0)).alias("w"), (-F.col("node")).alias("n"))),
+    weight = stage(
+        rows.join(like, ["tree", *labels]).groupBy("node").agg(F.sum("n").alias("weight")).join(roots, "node", "full"), "weights"
+    )
+    rows = stage(
+        rows.join(weight, "node", "left").select(
+            "tree", "p1", "p2", "node", "brief", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("root", "node").alias("root")
+        ),
         "weighed",
     )
     found = None
     for region in (["tree", "p1"], ["tree", "p1", "p2"]):
-        centres = stage(
-            weighed.groupBy(*region).agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("size")).where(F.col("size") > WIDTH + 1)
-            .select(*region, (-F.col("top.n")).alias("centre")),
-            "centres",
-        )
-        pairs = weighed.join(centres, region).where(F.col("node") != F.col("centre")).select(
-            F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
-        )
-        found = pairs if found is None else found.union(pairs)
-    found = stage(found.distinct(), "star")
-    signed = classes.select("node", "signature")
-    both = (
-        found.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("s")), "a")
-        .join(signed.select(F.col("node").alias("b"), F.col("signature").alias("t")), "b")
-    )
-
-    def agreeing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            s, t = (np.frombuffer(b"".join(frame[c]), np.uint32).reshape(len(frame), -1) for c in ("s", "t"))
-            out = frame[["a", "b"]].assign(agree=_agree(s, t).astype(np.int32))
-            yield out[out["agree"] >= AGREEMENT]
-
-    return both.mapInPandas(agreeing, _PAIR)
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, agree), a < b: pairs of classes (node, signature) to confirm, each once."""
-    n_parts = parts_for(classes.count() * TREES, ROWS_PER_PART)
-    trees = classes.select("node", "signature").mapInPandas(_grow, _TREE_ROW)
-    pairs = _along(trees, n_parts).unionByName(_towards_centres(trees, classes))
-    return stage(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+        order = Window.partitionBy(*region).orderBy(F.desc("weight"), "node")
+        top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRES)
+        centres = stage(top.groupBy(*region).agg(F.collect_list(F.struct("node", "root", "brief")).alias("centres")), "centres")
+        pairs = rows.select(*region, "node", "root", "brief").join(centres, region).mapInPandas(_with_centres, "a long, b long")
+        found = pairs if found is None else found.unionByName(pairs)
+    return stage(found.distinct(), "to-centres")
 
 
 def _low48(hashes: np.ndarray) -> bytes:
@@ -323,22 +333,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Rows with equal sets form one class; null, empty and blank texts have no shingles and no links. A
     component's id is its smallest doc_id (null ids count only where there is no other).
     """
+    ship(docs.sparkSession)
     signed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED), "signed")
     classes = stage(
         signed.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.min("signature").alias("signature"))
         .select(F.monotonically_increasing_id().alias("node"), "name", "least", "signature"),
         "classes",
     )
-    pairs = candidates(classes)
+    pairs = neighbours(classes)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stage(_sets(docs, classes.join(nodes, "node").select("node", "least", "name")), "sets", "none")
     # First the likeliest pair of every node; then whatever would still join two components.
     ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("node"))
     likely = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    sure = stage(confirmed(likely, sets), "confirmed")
-    roots = stage(components(sure), "roots")
-    more = stage(confirmed(stage(_rooted(pairs, roots), "open"), sets), "confirmed")
-    linked = components(sure.unionByName(more))
+    links = stage(confirmed(likely, sets), "confirmed")
+    roots = stage(components(links), "roots")
+    links = stage(links.unionByName(confirmed(stage(_rooted(pairs, roots), "open"), sets)), "confirmed")
+    roots = stage(components(links), "roots")
+    far = towards_centres(classes, roots)
+    ends = far.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    missing = stage(classes.join(ends.join(sets, "node", "left_anti"), "node").select("node", "least", "name"), "missing")
+    if not missing.isEmpty():
+        sets = sets.unionByName(stage(_sets(docs, missing), "sets", "none"))
+    links = stage(links.unionByName(confirmed(far, sets)), "confirmed")
+    linked = components(links)
     known = classes.select("name", "node", "least").join(stage(linked, "linked"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = stage(known, "known")
     ids = stage(known.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import ship, stage
 from .word_cache import word_level
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -183,6 +183,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capa
     Null text is empty and takes one token, the end id. What the driver gets is one count per length; the
     plan it makes from them has a bounded number of slots whatever the number of pieces.
     """
+    ship(docs.sparkSession)
     made = stage(pieces(docs, tokenizer, end_id, capacity), "pieces")
     per_task = stage(made.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = np.zeros(capacity + 1, np.int64)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, mix64, parts_for, prefix_hash, stage, stretch_hash, text_bytes
+from .common import joined, mix64, parts_for, prefix_hash, ship, stage, stretch_hash, text_bytes
 
 WINDOW = 50
 K = 18
@@ -320,6 +320,7 @@ def _joined_lists(answers: DataFrame, prefix: str) -> DataFrame:
 
 def _solved(docs: DataFrame, keep: list[str], block_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int]:
     """The blocks with what other blocks told them, and the number of buckets."""
+    ship(docs.sparkSession)
     n_buckets = parts_for(text_bytes(docs), bucket_bytes)
     held = stage(blocks(docs, keep, block_bytes), "blocks", "none")
     entries = held.mapInPandas(_announce_triggers(n_buckets), _ENTRIES)

@@ -15,6 +15,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECE_CHARS = 1 << 16
 # The library's pattern engine recurses over white space; longer runs go by another way.
@@ -73,6 +75,7 @@ def codec(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Codec:
 
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids binary): the token ids of each whole text as little-endian unsigned 32-bit integers."""
+    ship(docs.sparkSession)
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -85,6 +88,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
 
 def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids, decoded binary): the raw bytes that the ids stand for."""
+    ship(encoded.sparkSession)
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, shared_path, stage, text_bytes
+from .common import parts_for, shared_path, ship, stage, text_bytes
 from .word_cache import byte_level
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -165,6 +165,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     order of their names hold the documents in order. Each file is one task's row, written and committed by
     Spark; a lost task is written anew.
     """
+    ship(docs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = byte_level(tokenizer).encode, np.array([end_id], "<u4").tobytes()
@@ -193,6 +194,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files alone; start counts the ids of all documents before."""
+    ship(spark)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import ship, stage
 
 SCALE = 256
 K = 5
@@ -179,6 +179,7 @@ def top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K) -> DataFrame
     row that repeats an id is another row. Each block of queries meets the candidates in groups of
     BLOCKS_PER_TASK blocks; a task keeps k rows for each of its queries, whatever it reads.
     """
+    ship(vectors.sparkSession)
     rows = stage(
         vectors.where("vec_id IS NOT NULL").select(
             F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")

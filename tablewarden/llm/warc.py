@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, stage
+from .common import shared_path, ship, stage
 
 MAGIC = "WARC/1.0\r\n"
 GAP = "\r\n\r\n"
@@ -217,6 +217,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Payloads that hold the magic lie in several segments; those few are read again and put together by record.
     """
+    ship(spark)
     found = stage(_segments(spark, path).mapInArrow(_candidates, _SEGMENT), "segments")
     sizes = found.groupBy("path", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
