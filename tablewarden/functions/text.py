@@ -42,13 +42,10 @@ def sql_quote(value: Column) -> Column:
 
 
 def yes_no(value: Column, default: str = "N") -> Column:
-    """Flag letter of a boolean or a text; blank takes the default, other text is ``N``."""
+    """Flag letter of a boolean or of the text ``y``; blank takes the default, all else is ``N``."""
     text = F.upper(value.cast("string"))
-    return (
-        F.when(is_blank(text), F.lit(default))
-        .when(text.isin("TRUE", "Y"), F.lit("Y"))
-        .otherwise(F.lit("N"))
-    )
+    yes = F.when(F.typeof(value) == "boolean", text == "TRUE").otherwise(text == "Y")
+    return F.when(is_blank(text), F.lit(default)).when(yes, F.lit("Y")).otherwise(F.lit("N"))
 
 
 def flag_letter(value: Column) -> Column:

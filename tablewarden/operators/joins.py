@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def as_is(rows: DataFrame) -> DataFrame:
-    return rows
-
-
 def _keys(df: DataFrame, on: dict[str, str], unique: bool) -> DataFrame:
     # Renamed, so that both sides may stem from one frame.
     keys = df.select([F.col(b).alias(f"_of_{a}") for a, b in on.items()])
@@ -21,25 +17,24 @@ def _same(on: dict[str, str]) -> list[Column]:
 
 
 def not_in(
-    source: DataFrame, registry: DataFrame, on: dict[str, str], unique: bool = False, side=as_is
+    source: DataFrame, registry: DataFrame, on: dict[str, str], unique: bool = False
 ) -> DataFrame:
     """Source rows whose key is not in the registry; a NULL key is never there.
 
     ``on`` maps source columns to registry columns. Unless the registry's keys are declared
     unique, they are made distinct first: the map-side part of that keeps a key with many copies
-    from reaching one task, and the join reuses the partitioning of the distinct. ``side`` may
-    mark the keys for broadcast where their number is known to be small.
+    from reaching one task, and the join reuses the partitioning of the distinct.
     """
     keys = _keys(registry, on, unique)
-    return source.join(side(keys), _same(on), "left_anti")
+    return source.join(keys, _same(on), "left_anti")
 
 
 def in_set(
-    source: DataFrame, members: DataFrame, on: dict[str, str], unique: bool = False, side=as_is
+    source: DataFrame, members: DataFrame, on: dict[str, str], unique: bool = False
 ) -> DataFrame:
     """Source rows whose key is among the members."""
     keys = _keys(members, on, unique)
-    return source.join(side(keys), _same(on), "left_semi")
+    return source.join(keys, _same(on), "left_semi")
 
 
 def membership_flags(

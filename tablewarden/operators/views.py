@@ -117,21 +117,16 @@ def masked_view_ddl(tables: DataFrame, columns: DataFrame, view_name: str | None
     return listed.select("SCHEMA_NAME", "TABLE_NAME", ddl.alias("DDL"))
 
 
-# Fixed value: the largest column order that the registry can hold, so no table has more columns.
-_MOST_COLUMNS = 9999
-
-
-def _column_list(meta: DataFrame) -> list:
-    """The active columns of one table, in order; a list that one table cannot have is refused."""
-    rows = (
-        meta.filter(F.col("STATUS_CD") == "ACTIVE")
+def _column_list(df: DataFrame, meta: DataFrame) -> list:
+    """The active described columns that the table has, in order: a projection's names are in the driver anyway."""
+    own = [c.upper() for c in df.columns]
+    return (
+        meta.filter((F.col("STATUS_CD") == "ACTIVE") & F.upper("COLUMN_NAME").isin(own))
         .select("COLUMN_NAME", "COLUMN_ORDER", "PCI_YN", "MASKING_YN", "MASKING_RULE_CD")
+        .dropDuplicates(["COLUMN_NAME"])
         .orderBy("COLUMN_ORDER", "COLUMN_NAME")
-        .take(_MOST_COLUMNS + 1)
+        .collect()
     )
-    if len(rows) > _MOST_COLUMNS:
-        raise ValueError("the columns of a single table are wanted")
-    return rows
 
 
 def _actual(df: DataFrame) -> dict[str, str]:
@@ -145,7 +140,7 @@ def masked_view(df: DataFrame, meta: DataFrame) -> DataFrame:
     """
     have = _actual(df)
     shown = []
-    for c in _column_list(meta):
+    for c in _column_list(df, meta):
         name = have[c.COLUMN_NAME.upper()]
         flagged = c.MASKING_YN == "Y" and c.MASKING_RULE_CD
         shown.append((mask(F.col(name), c.MASKING_RULE_CD) if flagged else F.col(name)).alias(name))
@@ -155,4 +150,4 @@ def masked_view(df: DataFrame, meta: DataFrame) -> DataFrame:
 def restricted_view(df: DataFrame, meta: DataFrame) -> DataFrame:
     """The data table without its columns that hold personal data."""
     have = _actual(df)
-    return df.select([have[c.COLUMN_NAME.upper()] for c in _column_list(meta) if c.PCI_YN == "N"])
+    return df.select([have[c.COLUMN_NAME.upper()] for c in _column_list(df, meta) if c.PCI_YN == "N"])

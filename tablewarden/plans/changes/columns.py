@@ -13,9 +13,9 @@ from tablewarden.functions.types import render_type
 from tablewarden.operators.filters import conform
 from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id, next_ordinals
-from tablewarden.operators.joins import as_is, in_set, not_in
+from tablewarden.operators.joins import in_set, not_in
 from tablewarden.plans.changes.common import (
-    OUT_OF_USE, Batch, Change, audit, begin, changed, find_object, find_table, is_small, patch,
+    OUT_OF_USE, Change, audit, begin, changed, find_object, find_table, patch,
     reject_repeats, settle, statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, ENTITIES
@@ -80,12 +80,11 @@ def _on(flag: str):
 
 def column_add(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """New columns; without an order they go behind the table's last one, in request order."""
-    small = is_small(requests)
     rows = with_errors(_named(requests, "column_add"), [*_name_checks(), _size_check()])
     rows = rows.withColumn("nullableYn", F.coalesce("nullableYn", F.lit(True)))
-    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"], small)
-    rows = find_object(rows, main["column"], _KEY, "colName", expected=False, small=small)
-    batch = settle(rows.withColumn("_order", number_or_null(F.col("columnOrder"))), small)
+    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"])
+    rows = find_object(rows, main["column"], _KEY, "colName", expected=False)
+    batch = settle(rows.withColumn("_order", number_or_null(F.col("columnOrder"))))
     good = batch.good
     given = good.filter(F.col("_order").isNotNull())
     taken = main["column"].select("TABLE_ID", "COLUMN_ORDER").unionByName(
@@ -190,16 +189,15 @@ def _patches() -> dict:
 def column_modify(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """Columns patched field by field. The flags and the sensitivity are always written, so a
     request must state them."""
-    small = is_small(requests)
     stated = [*ALWAYS_WRITTEN.values(), "sensitivityCd"]
     rows = with_errors(
         _named(requests, "column_modify"),
         [*_name_checks(), _size_check(), *[check_present(f, F.col(f).cast("string")) for f in stated]],
     )
-    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"], small)
-    batch = settle(find_object(rows, main["column"], _KEY, "colName", expected=True, small=small), small)
+    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"])
+    batch = settle(find_object(rows, main["column"], _KEY, "colName", expected=True))
     good = batch.good
-    patched = patch(main["column"], good, _KEY, _patches(), as_of, batch.side)
+    patched = patch(main["column"], good, _KEY, _patches(), as_of)
     alter, default, comment, primary, unique, foreign = _pieces()
     kind = F.when(~is_blank(F.col("dataType")), F.concat(F.lit(" "), _type())).otherwise(F.lit(""))
     modify = F.concat(
@@ -223,7 +221,7 @@ def column_modify(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Cha
 
 
 def emptied_indexes(
-    indexes: DataFrame, index_columns: DataFrame, dropped: DataFrame, side=as_is
+    indexes: DataFrame, index_columns: DataFrame, dropped: DataFrame
 ) -> DataFrame:
     """Indexes of the tables concerned that have no column left, with reason and actor.
 
@@ -232,13 +230,13 @@ def emptied_indexes(
     """
     request = F.struct("request_seq", "reason", "_actor")
     concerned = dropped.groupBy("TABLE_ID").agg(F.min(request).alias("_first"))
-    candidates = indexes.join(side(concerned), "TABLE_ID")
+    candidates = indexes.join(concerned, "TABLE_ID")
     entries = index_columns.select("INDEX_ID", "COLUMN_NAME").join(
         candidates.select("INDEX_ID", "TABLE_ID"), "INDEX_ID"
     )
     gone = dropped.select("TABLE_ID", "COLUMN_NAME", request.alias("_by"))
     left = (
-        entries.join(side(gone), ["TABLE_ID", "COLUMN_NAME"], "left")
+        entries.join(gone, ["TABLE_ID", "COLUMN_NAME"], "left")
         .groupBy("INDEX_ID")
         .agg(
             F.count(F.when(F.col("_by").isNull(), 1)).alias("_left"),
@@ -250,17 +248,17 @@ def emptied_indexes(
     return emptied.select(*indexes.columns, by["reason"].alias("reason"), by["_actor"].alias("_actor"))
 
 
-def _removal(main: dict[str, DataFrame], dropped: DataFrame, batch: Batch):
+def _removal(main: dict[str, DataFrame], dropped: DataFrame):
     """Columns, index entries and emptied indexes that go, with reason and actor, and the index
     rows that stay."""
-    by_column = batch.side(dropped.select("TABLE_ID", "COLUMN_NAME", "reason", "_actor"))
-    concerned = in_set(main["index"], dropped, {"TABLE_ID": "TABLE_ID"}, side=batch.side)
+    by_column = dropped.select("TABLE_ID", "COLUMN_NAME", "reason", "_actor")
+    concerned = in_set(main["index"], dropped, {"TABLE_ID": "TABLE_ID"})
     lost = main["index_column"].join(concerned.select("INDEX_ID", "TABLE_ID"), "INDEX_ID").join(
         by_column, ["TABLE_ID", "COLUMN_NAME"]
     )
     removed = {
         "column": main["column"].join(by_column, ["TABLE_ID", "COLUMN_NAME"]),
-        "index": emptied_indexes(main["index"], main["index_column"], dropped, batch.side),
+        "index": emptied_indexes(main["index"], main["index_column"], dropped),
         "index_column": lost,
     }
     entry = {"INDEX_ID": "INDEX_ID", "COLUMN_POS": "COLUMN_POS"}
@@ -273,20 +271,20 @@ def _removal(main: dict[str, DataFrame], dropped: DataFrame, batch: Batch):
 
 def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_history: bool = False) -> Change:
     """Columns put out of use (SOFT), or removed with their index entries and the indexes that
-    are left without any (every other mode). Remaining index positions keep their numbers.
+    are left without any (HARD). Remaining index positions keep their numbers.
 
     Index entries get no history unless ``full_history`` asks for it.
     """
-    small = is_small(requests)
     rows = _named(requests, "column_drop")
-    rows = with_errors(rows, _name_checks())
-    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"], small)
-    batch = settle(find_object(rows, main["column"], _KEY, "colName", expected=True, small=small), small)
+    known_mode = F.coalesce(F.col("mode").isin("SOFT", "HARD"), F.lit(False))
+    rows = with_errors(rows, [*_name_checks(), F.when(~known_mode, problem("mode", F.col("mode"), "value"))])
+    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"])
+    batch = settle(find_object(rows, main["column"], _KEY, "colName", expected=True))
     good = batch.good
     is_soft = F.coalesce(F.col("mode") == "SOFT", F.lit(False))
     soft, hard = good.filter(is_soft), good.filter(~is_soft)
     patched = patch(
-        main["column"], soft, _KEY, {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of, batch.side
+        main["column"], soft, _KEY, {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of
     )
     updated = snapshot(changed(patched), COLUMN, "U", F.col("_reason"), F.col("_actor"), as_of)
     replace, history = {"column": patched.select(*COLUMN.names)}, {"column": updated}
@@ -294,7 +292,7 @@ def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_his
         dropped = hard.select(
             "TABLE_ID", F.col("_column").alias("COLUMN_NAME"), "request_seq", "reason", "_actor"
         )
-        removed, rest = _removal(main, dropped, batch)
+        removed, rest = _removal(main, dropped)
         deleted = {
             n: snapshot(rows, ENTITIES[n], "D", F.col("reason"), F.col("_actor"), as_of)
             for n, rows in removed.items() if full_history or n != "index_column"
@@ -302,7 +300,7 @@ def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_his
         history = deleted | {"column": updated.unionByName(deleted["column"])}
         same = {"TABLE_ID": "TABLE_ID", "COLUMN_NAME": "COLUMN_NAME"}
         replace = rest | {
-            "column": not_in(replace["column"], dropped, same, unique=True, side=batch.side)
+            "column": not_in(replace["column"], dropped, same, unique=True)
         }
     drop = F.concat(
         F.lit("ALTER TABLE "), F.concat_ws(".", "_schema", "_table"),

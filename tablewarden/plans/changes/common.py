@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 from tablewarden.functions.names import ERROR_TYPE, check_present, errors, problem
 from tablewarden.operators.history import with_history_ids
 from tablewarden.operators.ids import last_id
-from tablewarden.operators.joins import as_is, in_set, resolve_ids
+from tablewarden.operators.joins import in_set, resolve_ids
 from tablewarden.session import durable
 from tablewarden.sources.catalog import tidy_requests
 from tablewarden.sources.registry import publish, read_all
 
 UNKNOWN_ACTOR = "UNKNOWN"
-# A request's joined fields are limited by the registry's column sizes to a few kilobytes.
-BROADCAST_REQUESTS = 10_000
 OUT_OF_USE = "DEPRECATED"
 _ON_TABLE = {"_schema": "SCHEMA_NAME", "_table": "TABLE_NAME"}
 
@@ -35,44 +33,43 @@ class Change:
 
 
 def begin(requests: DataFrame, kind: str) -> DataFrame:
-    """Tidied requests with the actor filled in."""
-    rows = tidy_requests(requests, kind)
+    """Tidied requests with the actor filled in, written once: screening goes back to them several times."""
+    rows = durable(tidy_requests(requests, kind))
     return rows.withColumn("_actor", F.coalesce("emp_id", F.lit(UNKNOWN_ACTOR)))
 
 
-def is_small(requests: DataFrame) -> bool:
-    """Whether the number of requests is within the bound for a broadcast."""
-    return requests.count() <= BROADCAST_REQUESTS
+def asked_for(registry: DataFrame, rows: DataFrame, on: dict[str, str]) -> DataFrame:
+    """The registry rows that a batch can refer to.
 
-
-def asked_for(registry: DataFrame, rows: DataFrame, on: dict[str, str], small: bool) -> DataFrame:
-    """The registry rows that a small batch can refer to, found without shuffling the registry.
-
-    For a large batch that is the whole registry, which the join to follow shuffles once.
+    Spark knows the bytes of the requests and broadcasts their keys where these are few, so that the
+    registry is not shuffled; else this join shuffles it by the key that the next one needs as well.
     """
-    if not small:
-        return registry
-    return in_set(registry, rows, {b: a for a, b in on.items()}, side=F.broadcast)
+    return in_set(registry, rows, {b: a for a, b in on.items()})
 
 
 def with_errors(rows: DataFrame, checks: list[Column], more: Column | None = None) -> DataFrame:
-    """Rows with the list of all their errors; a request without a reason is always in error."""
-    found = errors(check_present("reason", F.col("reason")), *checks)
+    """Rows with the list of all their errors; a request needs a reason, an id and its turn."""
+    stated = [check_present(f, F.col(f).cast("string")) for f in ("reason", "request_id", "request_seq")]
+    found = errors(*stated, *checks)
     if more is not None:
         found = F.concat(found, more.cast(ERROR_TYPE))
     return rows.withColumn("errors", found)
 
 
 def add_error(rows: DataFrame, failed: Column, field_name: str, value: Column, rule: str) -> DataFrame:
-    """Rows with one more error where ``failed`` holds and nothing was wrong before."""
-    clean = F.size("errors") == 0
+    """Rows with one more error where ``failed`` holds."""
     one = F.array(problem(field_name, value, rule)).cast(ERROR_TYPE)
-    return rows.withColumn("errors", F.when(clean & failed, one).otherwise(F.col("errors")))
+    return rows.withColumn("errors", F.when(failed, F.concat("errors", one)).otherwise(F.col("errors")))
 
 
 def reject_repeats(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Only the earliest good request per object goes on; a batch changes an object once."""
+    """Only the earliest good request per object goes on; a batch changes an object once. Requests that
+    share their id and turn are all in error, so the earliest is one request."""
     turn = F.struct("request_seq", "request_id")
+    met = rows.groupBy(F.col("request_id").alias("_id"), F.col("request_seq").alias("_seq")).agg(F.count(F.lit(1)).alias("_n"))
+    names = rows.columns
+    rows = rows.join(met.where("_n > 1"), (F.col("request_id") == F.col("_id")) & (F.col("request_seq") == F.col("_seq")), "left")
+    rows = add_error(rows, F.col("_n").isNotNull(), "request_id", F.col("request_id"), "duplicate").select(*names)
     # The test stays inside the aggregate: as a filter it would be pushed below the error list
     # and evaluate all the checks twice.
     earliest = rows.groupBy(*[F.col(k).alias(f"_of{k}") for k in key]).agg(
@@ -80,24 +77,22 @@ def reject_repeats(rows: DataFrame, key: list[str]) -> DataFrame:
     )
     same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in key]
     joined = rows.join(earliest, same, "left")
-    marked = add_error(
-        joined, turn > F.col("_earliest"), "request", F.col(key[-1]), "duplicate"
-    )
+    later = (F.size("errors") == 0) & (turn > F.col("_earliest"))
+    marked = add_error(joined, later, "request", F.col(key[-1]), "duplicate")
     return marked.select(*rows.columns)
 
 
-def find_table(rows: DataFrame, tables: DataFrame, small: bool) -> DataFrame:
+def find_table(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Rows with the TABLE_ID of the table they name; an unknown table is an error."""
-    found = resolve_ids(rows, asked_for(tables, rows, _ON_TABLE, small), _ON_TABLE, "TABLE_ID")
+    found = resolve_ids(rows, asked_for(tables, rows, _ON_TABLE), _ON_TABLE, "TABLE_ID")
     return add_error(found, F.col("TABLE_ID").isNull(), "tableName", F.col("_table"), "unknown")
 
 
 def find_object(
-    rows: DataFrame, registry: DataFrame, on: dict[str, str], field_name: str, expected: bool,
-    small: bool,
+    rows: DataFrame, registry: DataFrame, on: dict[str, str], field_name: str, expected: bool
 ) -> DataFrame:
     """Error for a missing object (``expected``) or for one that is already there."""
-    known = asked_for(registry, rows, on, small).select(
+    known = asked_for(registry, rows, on).select(
         F.lit(True).alias("_found"), *[F.col(b).alias(f"_of{a}") for a, b in on.items()]
     )
     joined = rows.join(known, [F.col(a) == F.col(f"_of{a}") for a in on], "left")
@@ -114,23 +109,14 @@ class Batch:
 
     good: DataFrame
     rejects: DataFrame
-    small: bool
-
-    def side(self, rows: DataFrame) -> DataFrame:
-        """Rows made from the good requests, one each, as a side of a join with the registry.
-
-        A batch whose counted requests stay within the bound is broadcast, so that the registry is
-        not shuffled to change a few rows of it; a larger batch is joined by shuffling both sides.
-        """
-        return F.broadcast(rows) if self.small else rows
 
 
-def settle(rows: DataFrame, small: bool) -> Batch:
+def settle(rows: DataFrame) -> Batch:
     """The good requests and the rejects. The screened requests are written once, because the
     rows, history and statements all go back to them, and screening joins the registry."""
     kept = durable(rows)
     rejects = kept.filter(F.size("errors") > 0).select("request_id", "request_seq", "errors")
-    return Batch(kept.filter(F.size("errors") == 0), rejects, small)
+    return Batch(kept.filter(F.size("errors") == 0), rejects)
 
 
 def audit(rows: DataFrame, as_of) -> DataFrame:
@@ -160,13 +146,11 @@ def patch(
     on: dict[str, str],
     fields: dict[str, tuple[Column, Column]],
     as_of,
-    side=as_is,
 ) -> DataFrame:
     """Main rows, rewritten where a request names them.
 
     ``fields`` maps a column to (when to write it, its value), both over the request's columns.
     The rows keep ``_reason`` and ``_actor`` of their request, NULL where there was none.
-    ``side`` may mark the requests for broadcast.
     """
     key = list(on)
     new = good.select(
@@ -175,7 +159,7 @@ def patch(
         F.col("_actor"),
         *[F.when(cond, F.struct(value.alias("v"))).alias(f"_new_{c}") for c, (cond, value) in fields.items()],
     )
-    joined = main.join(side(new), [F.col(on[k]) == F.col(f"_of{k}") for k in key], "left")
+    joined = main.join(new, [F.col(on[k]) == F.col(f"_of{k}") for k in key], "left")
     hit = F.col("_actor").isNotNull()
     types = {f.name: f.dataType for f in main.schema.fields}
     changes = {

@@ -13,7 +13,7 @@ from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id
 from tablewarden.operators.joins import not_in
 from tablewarden.plans.changes.common import (
-    Change, add_error, asked_for, audit, begin, find_object, find_table, is_small, reject_repeats,
+    Change, add_error, asked_for, audit, begin, find_object, find_table, reject_repeats,
     settle, statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, INDEX, INDEX_COLUMN
@@ -30,7 +30,6 @@ def index_create(main: dict[str, DataFrame], requests: DataFrame, as_of, full_hi
     """New indexes with one row per parsed column. Items that do not parse drop out, and a
     request is rejected when none is left. History covers the header, with ``full_history``
     also the columns."""
-    small = is_small(requests)
     rows = begin(requests, "index_create").withColumns(
         {
             "_schema": F.upper("schema"),
@@ -56,9 +55,9 @@ def index_create(main: dict[str, DataFrame], requests: DataFrame, as_of, full_hi
         ],
         F.filter(listed, lambda e: e.isNotNull()),
     )
-    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_index"]), main["table"], small)
+    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_index"]), main["table"])
     rows = find_object(
-        rows, main["index"], {"TABLE_ID": "TABLE_ID", "_index": "INDEX_NAME"}, "indexName", expected=False, small=small
+        rows, main["index"], {"TABLE_ID": "TABLE_ID", "_index": "INDEX_NAME"}, "indexName", expected=False
     )
     items = F.transform(
         "_columns",
@@ -78,7 +77,7 @@ def index_create(main: dict[str, DataFrame], requests: DataFrame, as_of, full_hi
         option("TABLESPACE", "tablespaceName"), option("INITRANS", "iniTrans"),
         option("PCTFREE", "pctFree"), F.lit(";"),
     )
-    batch = settle(rows.withColumn("_ddl", ddl), small)
+    batch = settle(rows.withColumn("_ddl", ddl))
     good = batch.good
     placed = assign_ids(good, "INDEX_ID", last_id(main["index"], "INDEX_ID"), ["TABLE_ID", "_index"])
     headers = audit(placed, as_of).select(
@@ -118,7 +117,6 @@ def index_create(main: dict[str, DataFrame], requests: DataFrame, as_of, full_hi
 
 def index_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_history: bool = False) -> Change:
     """Indexes removed with their columns. Without a table the name counts in every table."""
-    small = is_small(requests)
     rows = begin(requests, "index_drop").withColumns(
         {
             "_schema": F.upper("schema"),
@@ -136,7 +134,7 @@ def index_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_hist
     )
     rows = reject_repeats(rows, ["_schema", "_table", "_index"])
     named_tables = asked_for(
-        main["table"], rows, {"_schema": "SCHEMA_NAME", "_table": "TABLE_NAME"}, small
+        main["table"], rows, {"_schema": "SCHEMA_NAME", "_table": "TABLE_NAME"}
     )
     ids = named_tables.select(
         "TABLE_ID", F.col("SCHEMA_NAME").alias("_schema"), F.col("TABLE_NAME").alias("_table")
@@ -145,20 +143,20 @@ def index_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_hist
     unknown = F.col("_table").isNotNull() & F.col("TABLE_ID").isNull()
     rows = add_error(rows, unknown, "tableName", F.col("_table"), "unknown")
     # Any index of that name, in the named table or anywhere.
-    known = asked_for(main["index"], rows, {"_index": "INDEX_NAME"}, small)
+    known = asked_for(main["index"], rows, {"_index": "INDEX_NAME"})
     by_table = known.select("TABLE_ID", F.col("INDEX_NAME").alias("_index"), F.lit(True).alias("_in_table"))
     by_name = known.select(F.col("INDEX_NAME").alias("_index")).distinct().withColumn("_anywhere", F.lit(True))
     rows = rows.join(by_table, ["TABLE_ID", "_index"], "left").join(by_name, "_index", "left")
     there = F.when(F.col("_table").isNull(), F.col("_anywhere")).otherwise(F.col("_in_table"))
     rows = add_error(rows, there.isNull(), "indexName", F.col("_index"), "unknown")
-    batch = settle(rows.drop("_in_table", "_anywhere"), small)
+    batch = settle(rows.drop("_in_table", "_anywhere"))
     good = batch.good
     request = F.struct("request_seq", "reason", "_actor").alias("_by")
     named = good.filter(F.col("_table").isNotNull()).select("TABLE_ID", F.col("_index").alias("INDEX_NAME"), request)
     loose = good.filter(F.col("_table").isNull()).select(F.col("_index").alias("INDEX_NAME"), request)
     index_keys = main["index"].select("INDEX_ID", "TABLE_ID", "INDEX_NAME")
-    hits = index_keys.join(batch.side(named), ["TABLE_ID", "INDEX_NAME"]).select("INDEX_ID", "_by").unionByName(
-        index_keys.join(batch.side(loose), "INDEX_NAME").select("INDEX_ID", "_by")
+    hits = index_keys.join(named, ["TABLE_ID", "INDEX_NAME"]).select("INDEX_ID", "_by").unionByName(
+        index_keys.join(loose, "INDEX_NAME").select("INDEX_ID", "_by")
     )
     # Two requests may meet in one index: the earlier one removes it.
     gone = hits.groupBy("INDEX_ID").agg(F.min("_by").alias("_by")).select(

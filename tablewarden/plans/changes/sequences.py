@@ -12,7 +12,7 @@ from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id
 from tablewarden.operators.joins import not_in
 from tablewarden.plans.changes.common import (
-    Change, audit, begin, changed, find_object, is_small, patch, reject_repeats, settle,
+    Change, audit, begin, changed, find_object, patch, reject_repeats, settle,
     statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, SEQUENCE
@@ -66,12 +66,11 @@ FORM_DEFAULTS = {"incrementBy": "1", "startWith": "1", "cacheSize": "20"}
 
 def sequence_create(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """New sequences; increment and start default to 1, the cache to 20."""
-    small = is_small(requests)
     rows = with_errors(_named(requests, "sequence_create"), [*_name_checks(), *_use_checks()])
     rows = reject_repeats(rows, ["_schema", "_sequence"])
-    rows = find_object(rows, main["sequence"], _KEY, "seqName", expected=False, small=small)
+    rows = find_object(rows, main["sequence"], _KEY, "seqName", expected=False)
     rows = rows.withColumns({f: F.coalesce(F.col(f), F.lit(v)) for f, v in FORM_DEFAULTS.items()})
-    batch = settle(rows.withColumn("_ddl", _ddl("CREATE")), small)
+    batch = settle(rows.withColumn("_ddl", _ddl("CREATE")))
     good = batch.good
     placed = assign_ids(
         good, "SEQUENCE_ID", last_id(main["sequence"], "SEQUENCE_ID"), ["_schema", "_sequence"]
@@ -113,10 +112,9 @@ def sequence_alter(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Ch
 
     The two switches are written when touched, the statement when any of its fields was.
     """
-    small = is_small(requests)
     rows = with_errors(_named(requests, "sequence_alter"), [*_name_checks(), *_use_checks()])
     rows = reject_repeats(rows, ["_schema", "_sequence"])
-    rows = find_object(rows, main["sequence"], _KEY, "seqName", expected=True, small=small)
+    rows = find_object(rows, main["sequence"], _KEY, "seqName", expected=True)
     touched = F.coalesce(F.col("touched"), F.array().cast("array<string>"))
     rows = rows.withColumns(
         {
@@ -124,7 +122,7 @@ def sequence_alter(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Ch
             "_ddl_changed": F.arrays_overlap(touched, F.array(*[F.lit(f) for f in DDL_FIELDS])),
         }
     )
-    batch = settle(rows, small)
+    batch = settle(rows)
     good = batch.good
     stated = {
         "PURPOSE_CD": F.col("purposeCd"),
@@ -144,7 +142,7 @@ def sequence_alter(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Ch
     fields["CYCLE_YN"] = (F.array_contains(touched, "cycleYn"), yes_no(F.col("cycleYn")))
     fields["ORDER_YN"] = (F.array_contains(touched, "orderYn"), yes_no(F.col("orderYn")))
     fields["CREATE_DDL"] = (F.col("_ddl_changed"), F.col("_ddl"))
-    patched = patch(main["sequence"], good, _KEY, fields, as_of, batch.side)
+    patched = patch(main["sequence"], good, _KEY, fields, as_of)
     return Change(
         ddl=statements(good, [(F.col("_ddl_changed"), F.col("_ddl"))]),
         rejects=batch.rejects,
@@ -159,16 +157,14 @@ def sequence_alter(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Ch
 
 def sequence_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """Sequences removed, with their last state as history."""
-    small = is_small(requests)
     rows = with_errors(_named(requests, "sequence_drop"), _name_checks())
     rows = reject_repeats(rows, ["_schema", "_sequence"])
-    batch = settle(find_object(rows, main["sequence"], _KEY, "seqName", expected=True, small=small), small)
+    batch = settle(find_object(rows, main["sequence"], _KEY, "seqName", expected=True))
     good = batch.good
     gone = good.select(
         F.col("_schema").alias("SCHEMA_NAME"), F.col("_sequence").alias("SEQUENCE_NAME"), "reason", "_actor"
     )
     same = {"SCHEMA_NAME": "SCHEMA_NAME", "SEQUENCE_NAME": "SEQUENCE_NAME"}
-    gone = batch.side(gone)
     removed = main["sequence"].join(gone, list(same))
     drop = F.concat(F.lit("DROP SEQUENCE "), F.concat_ws(".", "_schema", "_sequence"), F.lit(";"))
     return Change(

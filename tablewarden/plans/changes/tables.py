@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.masking import mask_function_name
-from tablewarden.functions.names import check_name, check_present, problem
+from tablewarden.functions.names import ERROR_TYPE, check_name, check_present, problem
 from tablewarden.functions.text import (
     base_name, ensure_prefix, is_blank, number_or_null, sql_quote, yes_no,
 )
@@ -16,7 +16,7 @@ from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id
 from tablewarden.operators.joins import not_in
 from tablewarden.plans.changes.common import (
-    OUT_OF_USE, Batch, Change, audit, begin, changed, find_object, find_table, is_small, patch,
+    OUT_OF_USE, Change, add_error, audit, begin, changed, find_object, find_table, patch,
     reject_repeats, settle, statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, ENTITIES, SEQUENCE, TABLE
@@ -41,10 +41,16 @@ def _column_errors():
             F.when(sized, problem(place, column["colName"], "number_length")),
         )
 
-    return F.filter(F.flatten(F.transform(F.col("columns"), check)), lambda e: e.isNotNull())
+    names = F.transform("columns", lambda c: F.upper(c["colName"]))
+    again = F.transform(
+        F.array_distinct(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1)),
+        lambda n: problem("columns", n, "duplicate"),
+    )
+    found = F.filter(F.flatten(F.transform(F.col("columns"), check)), lambda e: e.isNotNull())
+    return F.concat(found.cast(ERROR_TYPE), again.cast(ERROR_TYPE))
 
 
-def _screen_create(requests: DataFrame, tables: DataFrame, small: bool) -> DataFrame:
+def _screen_create(requests: DataFrame, tables: DataFrame) -> DataFrame:
     rows = begin(requests, "table_create").withColumns(
         {
             "_schema": F.upper("schema"),
@@ -65,7 +71,7 @@ def _screen_create(requests: DataFrame, tables: DataFrame, small: bool) -> DataF
     )
     rows = reject_repeats(rows, ["_schema", "_table"])
     return find_object(
-        rows, tables, {"_schema": "SCHEMA_NAME", "_table": "TABLE_NAME"}, "tableName", expected=False, small=small
+        rows, tables, {"_schema": "SCHEMA_NAME", "_table": "TABLE_NAME"}, "tableName", expected=False
     )
 
 
@@ -155,10 +161,20 @@ def _create_statements(good: DataFrame) -> DataFrame:
     )
 
 
+def _one_sequence_each(rows: DataFrame) -> DataFrame:
+    """Of the good requests of a batch that would make the same key sequence, only the earliest stays good."""
+    turn = F.struct("request_seq", "request_id")
+    wanted = rows.filter(F.col("_sequence").isNotNull()).groupBy(
+        F.col("_schema").alias("_in"), F.col("_sequence").alias("_named")
+    ).agg(F.min(F.when(F.size("errors") == 0, turn)).alias("_earliest"))
+    joined = rows.join(wanted, (F.col("_schema") == F.col("_in")) & (F.col("_sequence") == F.col("_named")), "left")
+    later = (F.size("errors") == 0) & (turn > F.col("_earliest"))
+    return add_error(joined, later, "pkSeqGenYn", F.col("_sequence"), "duplicate").select(*rows.columns)
+
+
 def table_create(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """New tables with their columns, and a key sequence where the key is one NUMBER column."""
-    small = is_small(requests)
-    screened = _screen_create(requests, main["table"], small)
+    screened = _screen_create(requests, main["table"])
     key_columns = F.filter("columns", lambda c: F.coalesce(c["pkYn"], F.lit(False)))
     key = F.upper(F.get(key_columns, F.lit(0))["colName"])
     wanted = (
@@ -178,7 +194,11 @@ def table_create(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Chan
             F.lit(f"\n  {KEY_SEQUENCE_OPTIONS};"),
         ),
     )
-    batch = settle(screened, small)
+    # The key sequence must be new, in the registry and in the batch.
+    screened = find_object(
+        screened, main["sequence"], {"_schema": "SCHEMA_NAME", "_sequence": "SEQUENCE_NAME"}, "pkSeqGenYn", expected=False
+    )
+    batch = settle(_one_sequence_each(screened))
     good = batch.good
     placed = assign_ids(good, "TABLE_ID", last_id(main["table"], "TABLE_ID"), ["_schema", "_table"])
     kept = ["reason", "_actor", *AUDIT_COLUMNS]
@@ -247,10 +267,6 @@ def table_create(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Chan
         F.col("_sequence_ddl").alias("CREATE_DDL"),
         F.lit("ACTIVE").alias("STATUS_CD"),
     )
-    sequences = not_in(
-        sequences, main["sequence"],
-        {"SCHEMA_NAME": "SCHEMA_NAME", "SEQUENCE_NAME": "SEQUENCE_NAME"}, unique=True,
-    )
     sequences = assign_ids(
         sequences, "SEQUENCE_ID", last_id(main["sequence"], "SEQUENCE_ID"), ["SCHEMA_NAME", "SEQUENCE_NAME"]
     )
@@ -266,16 +282,16 @@ def table_create(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Chan
     )
 
 
-def _removal(main: dict[str, DataFrame], hard: DataFrame, batch: Batch):
+def _removal(main: dict[str, DataFrame], hard: DataFrame):
     """Rows that go with their tables, with the request's reason and actor, and the children that stay."""
-    gone = batch.side(hard.select("TABLE_ID", "reason", "_actor"))
+    gone = hard.select("TABLE_ID", "reason", "_actor")
     removed = {n: main[n].join(gone, "TABLE_ID") for n in ("table", "column", "index")}
     removed["index_column"] = main["index_column"].join(
         removed["index"].select("INDEX_ID", "reason", "_actor"), "INDEX_ID"
     )
     on_table = {"TABLE_ID": "TABLE_ID"}
     rest = {
-        n: not_in(main[n], hard, on_table, unique=True, side=batch.side) for n in ("column", "index")
+        n: not_in(main[n], hard, on_table, unique=True) for n in ("column", "index")
     }
     rest["index_column"] = not_in(
         main["index_column"], removed["index"], {"INDEX_ID": "INDEX_ID"}, unique=True
@@ -288,7 +304,6 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
 
     Sequences stay: they name their table but do not belong to it.
     """
-    small = is_small(requests)
     rows = begin(requests, "table_drop").withColumns(
         {"_schema": F.upper("schema"), "_table": ensure_prefix(F.col("tableName"), "TB")}
     )
@@ -301,18 +316,18 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
             F.when(~known_mode, problem("mode", F.col("mode"), "value")),
         ],
     )
-    rows = find_table(reject_repeats(rows, ["_schema", "_table"]), main["table"], small)
-    batch = settle(rows, small)
+    rows = find_table(reject_repeats(rows, ["_schema", "_table"]), main["table"])
+    batch = settle(rows)
     good = batch.good
     soft, hard = good.filter("mode = 'SOFT'"), good.filter("mode = 'HARD'")
     patched = patch(
         main["table"], soft, {"TABLE_ID": "TABLE_ID"},
-        {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of, batch.side,
+        {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of,
     )
     updated = snapshot(changed(patched), TABLE, "U", F.col("_reason"), F.col("_actor"), as_of)
     replace, history = {"table": patched.select(*TABLE.names)}, {"table": updated}
     if not hard.isEmpty():
-        removed, rest = _removal(main, hard, batch)
+        removed, rest = _removal(main, hard)
         deleted = {
             n: snapshot(rows, ENTITIES[n], "D", F.col("reason"), F.col("_actor"), as_of)
             for n, rows in removed.items()
@@ -320,7 +335,7 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
         history = deleted | {"table": updated.unionByName(deleted["table"])}
         replace = rest | {
             "table": not_in(
-                replace["table"], hard, {"TABLE_ID": "TABLE_ID"}, unique=True, side=batch.side
+                replace["table"], hard, {"TABLE_ID": "TABLE_ID"}, unique=True
             )
         }
     drop = F.concat(F.lit("DROP TABLE "), F.concat_ws(".", "_schema", "_table"), F.lit(";"))

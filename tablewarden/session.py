@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,20 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and go on from the written rows.
+    """Write ``df`` once as Parquet and go on from the written rows.
 
-    Needed where two branches must see the same row positions, also after an executor is lost.
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session
-    without one gets a folder of its own.
+    Needed where two branches must see the same row positions, also after an executor is lost; and
+    Spark knows the bytes of what it reads back, and chooses joins with it by them. The folder is in
+    the one the cluster names in ``spark.checkpoint.dir``; only a local session without one gets a
+    folder of its own.
     """
     session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = session.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-            shared = tempfile.mkdtemp(prefix="tablewarden-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    shared = session.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not session.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        shared = tempfile.mkdtemp(prefix="tablewarden-")
+        session.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/work/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)

@@ -233,7 +233,7 @@ def test_index_drop(ask, main):
         dict(tableName="b", indexName="ix_z"), dict(tableName="a", indexName="ix_z"),
         dict(indexName="ix_none"), dict(tableName="none", indexName="ix_x")), AS_OF)
     assert reasons(done) == {
-        3: [("indexName", "unknown")], 5: [("indexName", "unknown")], 6: [("tableName", "unknown")]}
+        3: [("indexName", "unknown")], 5: [("indexName", "unknown")], 6: [("indexName", "unknown"), ("tableName", "unknown")]}
     assert rows(done.replace["index"], "INDEX_ID") == [(2,), (3,)]
     assert rows(done.replace["index_column"], "INDEX_ID") == [(2,), (2,)]
     assert rows(done.history["index"], "INDEX_ID", "CHANGE_REASON") == [(1, "all"), (4, "all"), (5, "why")]
@@ -286,3 +286,43 @@ def test_batch_is_published_with_its_history(spark, ask, main, tmp_path):
     after, history = read_all(spark, root)
     assert rows(after["table"], "TABLE_ID") == [(2,)]
     assert rows(history["column"], "HIST_ID") == [(1,), (2,), (3,), (4,)]
+
+
+def test_requests_need_an_own_id_and_turn(ask, main):
+    done = changes.column_drop(main, ask(
+        "column_drop", dict(tableName="a", colName="x", mode="SOFT", request_id=1, request_seq=1),
+        dict(tableName="a", colName="x", mode="SOFT", request_id=1, request_seq=1),
+        dict(tableName="a", colName="y", mode="SOFT", request_id=None, request_seq=None),
+        dict(tableName="a", colName="z", mode="sofft", request_id=4, request_seq=4)), AS_OF)
+    found = sorted(((r.request_id, sorted((e.field, e.rule) for e in r.errors)) for r in done.rejects.collect()), key=repr)
+    assert found == [
+        (1, [("request_id", "duplicate")]), (1, [("request_id", "duplicate")]), (4, [("mode", "value")]),
+        (None, [("request_id", "required"), ("request_seq", "required")])]
+    assert rows(done.replace["column"], "COLUMN_ID", "STATUS_CD") == [(i, "ACTIVE") for i in (1, 2, 3, 4)]
+
+
+def test_all_errors_of_a_request_are_listed(ask, main):
+    done = changes.column_drop(main, ask(
+        "column_drop", dict(tableName="none", colName="x", mode="HARD", reason=" ")), AS_OF)
+    assert reasons(done) == {1: [("colName", "unknown"), ("reason", "required"), ("tableName", "unknown")]}
+
+
+def test_table_create_refuses_repeated_columns_and_sequence_clashes(ask, main):
+    names = T.StructType.fromDDL(REQUESTS["table_create"])["columns"].dataType.elementType.names
+
+    def table(name, *columns):
+        return dict(tableName=name, columns=[tuple(c.get(n) for n in names) for c in columns],
+                    serviceCd="SVC_PAY", retentionPeriodCd="Y5")
+
+    def key(name):
+        return col(name, "NUMBER", pkYn=True)
+
+    taken = main | {"sequence": main["sequence"].selectExpr(*[
+        f"'SEQ_OLD_K' AS {c}" if c == "SEQUENCE_NAME" else c for c in main["sequence"].columns])}
+    done = changes.table_create(taken, ask(
+        "table_create", table("twice", col("c"), col("C"), col("d")), table("old", key("k")),
+        table("a_b", key("c")), table("a", col("x")), table("a2", key("k")), table("n_b", key("c_d")), table("n_b_c", key("d"))), AS_OF)
+    assert reasons(done) == {
+        1: [("columns", "duplicate")], 2: [("pkSeqGenYn", "exists")], 4: [("tableName", "exists")],
+        7: [("pkSeqGenYn", "duplicate")]}
+    assert rows(done.append["sequence"], "SEQUENCE_NAME") == [("SEQ_A2_K",), ("SEQ_A_B_C",), ("SEQ_N_B_C_D",)]

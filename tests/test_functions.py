@@ -21,9 +21,10 @@ def test_trim_takes_all_whitespace(spark):
 
 
 def test_yes_no(spark):
-    for value, want in [("y", "Y"), ("Y", "Y"), ("true", "Y"), ("x", "N"), ("", "N"), (None, "N")]:
+    for value, want in [("y", "Y"), ("Y", "Y"), ("true", "N"), ("x", "N"), ("", "N"), (None, "N")]:
         assert one(spark, text.yes_no(F.col("v")), v=value) == want
     assert one(spark, text.yes_no(F.col("v"), "Y"), v=None) == "Y"
+    assert [one(spark, text.yes_no(F.lit(v))) for v in (True, False)] == ["Y", "N"]
 
 
 def test_number(spark):
@@ -90,3 +91,16 @@ def test_masks(spark):
     assert m("FULL", "x") == "********"
     assert m("OTHER", "x") == "********"
     assert m("FULL", None) is None
+
+
+def test_values_that_do_not_fit_their_mask_are_hidden_whole(spark):
+    from tablewarden.functions.masking import mask
+
+    whole = "********"
+    for rule, value, want in [
+        ("PHONE", "010-1234-5678", "010-****-5678"), ("PHONE", "+82 10 1234 5678", whole), ("EMAIL", "ann@x.org", "a****@x.org"),
+        ("EMAIL", "no-at-sign", whole), ("CARD", "1234567890", "******7890"), ("CARD", "1234", whole), ("NAME", "Kim", "K**"),
+        ("NAME", "K", whole), ("ADDR", "Seoul Mapo 1", "Seoul ****"), ("ADDR", "Seoul", whole), ("RRN", "900101-1234567", "900101********"),
+        ("RRN", "900101", whole), ("FULL", "x", whole), ("NAME", "", whole), ("CARD", None, None), ("ODD", "x", whole),
+    ]:
+        assert one(spark, mask(F.col("v"), rule), v=value) == want, (rule, value)

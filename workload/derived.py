@@ -238,7 +238,7 @@ RELATIONS = {
                CASE WHEN o_totalprice > 250000 THEN 'ts_idx' END AS tablespaceName
         FROM {objects} WHERE o_orderstatus = 'F'""",
     "req_index_drop": """
-        SELECT l_orderkey AS request_id, l_orderkey AS request_seq, 'unused' AS reason, 'E1' AS emp_id,
+        SELECT l_orderkey AS request_id, l_suppkey AS request_seq, 'unused' AS reason, 'E1' AS emp_id,
                lower(OWNER) AS schema, CASE WHEN flag = 'A' THEN lower(TABLE_NAME) END AS tableName,
                lower(INDEX_NAME) AS indexName
         FROM {index_objects} JOIN {objects} ON l_orderkey = o_orderkey WHERE ship BETWEEN 1998 AND 1999""",
