@@ -19,6 +19,7 @@ from .word_cache import byte_level
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
+KEPT_WORDS = 650_000
 SHARD_TEXT_BYTES = 16 << 20
 SHARD_TOKENS = 8 << 20
 
@@ -168,7 +169,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     ship(docs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = byte_level(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = byte_level(tokenizer, KEPT_WORDS).encode, np.array([end_id], "<u4").tobytes()
         ids, doc_ids, lengths, n = [], [], [], 0
         for frame in frames:
             for doc_id, absent, text in zip(frame["doc_id"], frame["absent"], frame["text"]):

@@ -14,8 +14,9 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-# Words kept in each of two generations; a full one becomes the older, whose words are taken over when met again.
-KEPT_WORDS = 650_000
+# Words kept in each of two generations, a few hundred bytes each; a full generation becomes the older one, whose
+# words are taken over when met again.
+KEPT_WORDS = 250_000
 # Letters whose Unicode class and lower case are the same in every version of the tables.
 _LAST_LETTER = "ɏ"
 _STOPS = (",", ".")
@@ -39,8 +40,9 @@ def _plain(word: str) -> bool:
 class _Words(dict):
     """Word -> bytes of its ids; words not yet met are encoded by ``_new``."""
 
-    def __init__(self, library: Tokenizer):
+    def __init__(self, library: Tokenizer, kept: int):
         super().__init__()
+        self._kept = kept
         self._library, self._merge = library, library.model.tokenize
         self._older: dict[str, bytes] = {}
 
@@ -61,7 +63,7 @@ class _Words(dict):
         found = self._older.get(word)
         if found is None:
             found = self._new(word)
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= self._kept:
             self._older = dict(self)
             self.clear()
         self[word] = found
@@ -87,8 +89,8 @@ class _Starts(_Words):
 class _Spaced(_Words):
     """Words with the one space before them; a lone line break inside is a match of its own."""
 
-    def __init__(self, library: Tokenizer, starts: _Starts):
-        super().__init__(library)
+    def __init__(self, library: Tokenizer, kept: int, starts: _Starts):
+        super().__init__(library, kept)
         self._starts = starts
 
     def _new(self, word: str) -> bytes:
@@ -123,10 +125,10 @@ _BLANKS = re.compile("[\x20\x09-\x0d]+")
 class ByteLevel:
     """Byte-level BPE: a match begins before every single space that a visible character follows."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int):
         library = _library(path)
-        self._starts = _Starts(library)
-        self._spaced = _Spaced(library, self._starts)
+        self._starts = _Starts(library, kept)
+        self._spaced = _Spaced(library, kept, self._starts)
 
     def encode(self, text: str) -> bytes:
         words = _SAFE.split(text) if _ODD.search(text) or text.endswith(" ") else text.split(" ")
@@ -136,8 +138,8 @@ class ByteLevel:
 class WordLevel:
     """BPE with word ends: white space only separates."""
 
-    def __init__(self, path: str):
-        self._words = _Bare(_library(path))
+    def __init__(self, path: str, kept: int):
+        self._words = _Bare(_library(path), kept)
 
     def encode(self, text: str) -> bytes:
         words = _BLANKS.split(text) if _CONTROL.search(text) else text.split()
@@ -152,10 +154,10 @@ def _library(path: str) -> Tokenizer:
 
 
 @lru_cache(maxsize=4)
-def byte_level(path: str) -> ByteLevel:
-    return ByteLevel(path)
+def byte_level(path: str, kept: int = KEPT_WORDS) -> ByteLevel:
+    return ByteLevel(path, kept)
 
 
 @lru_cache(maxsize=4)
-def word_level(path: str) -> WordLevel:
-    return WordLevel(path)
+def word_level(path: str, kept: int = KEPT_WORDS) -> WordLevel:
+    return WordLevel(path, kept)
