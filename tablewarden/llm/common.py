@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +20,20 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+# Rows of an Arrow batch; Spark's own default suits short rows, not texts.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that their Python workers can import it wherever they run.
+    """Send this package to the executors once, so that their Python workers can import it wherever they run,
+    and have them get BATCH_ROWS rows at a time unless the session asks for another number than the default.
 
     Needed before a function is handed to Spark, which notes then what its workers get.
     """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parent.parent
@@ -33,6 +43,24 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+def frugal(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function over a partition's batches, giving freed memory back to the system when it ends: Python
+    workers live on for the next tasks, also those of other operators."""
+
+    @wraps(batches)
+    def run(frames: Iterator) -> Iterator:
+        try:
+            yield from batches(frames)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``; only a local session without it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, joined, ship, slices, stage
+from .common import encoded, frugal, joined, ship, slices, stage
 
 # A fingerprint is a polynomial in the bytes, modulo two primes; values stay below 2**31.
 PRIMES = (2147483647, 2147483629)
@@ -90,7 +90,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", normalised(F.col("text")).alias("norm")).select(
         F.monotonically_increasing_id().alias("uid"), "doc_id", "norm", F.sha2("norm", 256).alias("text_sha256")
     )
-    hashed = chunked(texts, "uid", "doc_id", "text_sha256").mapInArrow(_hash_batches, _CHUNK)
+    hashed = chunked(texts, "uid", "doc_id", "text_sha256").mapInArrow(frugal(_hash_batches), _CHUNK)
     chunks = F.array_sort(F.collect_list(F.struct("pos", "n_bytes", "h1", "shift1", "h2", "shift2")))
     return (
         hashed.groupBy("uid", "doc_id", "text_sha256").agg(F.sum("n_bytes").alias("n_bytes"), chunks.alias("chunks"))

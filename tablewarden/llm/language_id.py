@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import frugal, ship, slices
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 MODEL_BYTES = 256 << 20
+# Characters that a worker turns into n-grams at once: about a hundred bytes of arrays for each.
+SLICE_CHARS = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -47,8 +49,8 @@ def gram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = h[:size] * np.uint32(0x01000193) + (points[order - 1 :] + np.uint32(order)) * np.uint32(0x9E3779B1)
         if order in ORDERS:
             inside = row[order - 1 :] == row[:size]
-            buckets.append(((h[inside] * np.uint32(0x85EBCA77)) >> np.uint32(16)).astype(np.int64))
-            rows.append(row[:size][inside])
+            buckets.append(((h[inside] * np.uint32(0x85EBCA77)) >> np.uint32(16)).astype(np.int32))
+            rows.append(row[:size][inside].astype(np.int32))
     return np.concatenate(buckets), np.concatenate(rows), n_letters
 
 
@@ -62,7 +64,7 @@ def _count_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 raise ValueError("more languages than the model may hold")
             docs[lang] = docs.get(lang, 0) + len(group)
             texts = group["text"].tolist()
-            for i, j in slices([len(t) for t in texts]):
+            for i, j in slices([len(t) for t in texts], SLICE_CHARS):
                 held += np.bincount(gram_rows(texts[i:j])[0], minlength=BUCKETS)
     for lang, held in counts.items():
         used = np.flatnonzero(held)
@@ -80,15 +82,12 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [], np.zeros(len(texts))
         clean = [t if isinstance(t, str) else "" for t in texts]
-        for i, j in slices([len(t) for t in clean]):
+        for i, j in slices([len(t) for t in clean], SLICE_CHARS):
             buckets, rows, n_letters = gram_rows(clean[i:j])
-            total = np.stack(
-                [np.bincount(rows, weights=p[buckets], minlength=j - i) for p in self.log_p]
-                or [np.zeros(j - i)]
-            )
             if not self.langs:
                 names += [UNDETERMINED] * (j - i)
                 continue
+            total = np.stack([np.bincount(rows, weights=p[buckets], minlength=j - i) for p in self.log_p])
             total += self.prior[:, None]
             best = total.argmax(axis=0)
             share = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
@@ -106,7 +105,7 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
     ship(docs.sparkSession)
     counted = (
         docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-        .mapInPandas(_count_batches, "lang string, bucket int, n long")
+        .mapInPandas(frugal(_count_batches), "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         .toPandas()
     )
@@ -143,7 +142,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(batches, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(frugal(batches), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -156,7 +155,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             names, scores = shared.value.predict(frame["text"].to_pylist())
             yield frame.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(frugal(batches), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

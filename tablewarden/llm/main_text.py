@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import frugal, ship
 
 # Common function words of some languages.
 STOP_WORDS = frozenset(
@@ -218,7 +218,7 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(batches, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(frugal(batches), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoded, joined, mix64, parts_for, prefix_hash, ship, slices, stage, stretch_hash
+from .common import encoded, frugal, joined, mix64, parts_for, prefix_hash, ship, slices, stage, stretch_hash
 
 WORDS = 5
 PERCENT = 75
@@ -185,7 +185,7 @@ def _along(trees: DataFrame, n_parts: int) -> DataFrame:
     """(a, b, agree): candidates between neighbours in the order of every tree, over all partitions."""
     labels = [f"p{d}" for d in range(1, DEPTH + 1)]
     ordered = trees.repartitionByRange(n_parts, "tree", *labels, "node").sortWithinPartitions("tree", *labels, "node")
-    found = stage(ordered.mapInPandas(_neighbours, _ALONG), "along")
+    found = stage(ordered.mapInPandas(frugal(_neighbours), _ALONG), "along")
     edges = found.where("part >= 0")
     # Partitions without rows have no seam: number those that have, one row each.
     used = edges.select("part").distinct().withColumn("number", F.row_number().over(Window.orderBy("part")))
@@ -197,7 +197,7 @@ def _along(trees: DataFrame, n_parts: int) -> DataFrame:
 
 
 def _trees(classes: DataFrame) -> DataFrame:
-    return classes.select("node", "signature").mapInPandas(_grow, _TREE_ROW)
+    return classes.select("node", "signature").mapInPandas(frugal(_grow), _TREE_ROW)
 
 
 def neighbours(classes: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def towards_centres(classes: DataFrame, roots: DataFrame) -> DataFrame:
         order = Window.partitionBy(*region).orderBy(F.desc("weight"), "node")
         top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRES)
         centres = stage(top.groupBy(*region).agg(F.collect_list(F.struct("node", "root", "brief")).alias("centres")), "centres")
-        pairs = rows.select(*region, "node", "root", "brief").join(centres, region).mapInPandas(_with_centres, "a long, b long")
+        pairs = rows.select(*region, "node", "root", "brief").join(centres, region).mapInPandas(frugal(_with_centres), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
     return stage(found.distinct(), "to-centres")
 
@@ -277,7 +277,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["least"])).select("node", "name", "text")
-    return found.mapInArrow(batches, "node long, n long, shingles binary").dropDuplicates(["node"])
+    return found.mapInArrow(frugal(batches), "node long, n long, shingles binary").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     first = sets.select(F.col("node").alias("a"), F.col("n"), F.col("shingles").alias("s"))
     second = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("t"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").mapInPandas(batches, "a long, b long")
+    return pairs.select("a", "b").join(first, "a").join(second, "b").mapInPandas(frugal(batches), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -334,7 +334,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     component's id is its smallest doc_id (null ids count only where there is no other).
     """
     ship(docs.sparkSession)
-    signed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED), "signed")
+    signed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(_sign), _SIGNED), "signed")
     classes = stage(
         signed.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.min("signature").alias("signature"))
         .select(F.monotonically_increasing_id().alias("node"), "name", "least", "signature"),

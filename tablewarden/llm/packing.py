@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import frugal, ship, stage
 from .word_cache import word_level
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -174,7 +174,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, ca
             made = [pa.array(c, k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays([frame["doc_id"].take(pa.array(at)), *made], _PIECE_NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, _PIECE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(batches), _PIECE)
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
@@ -215,7 +215,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capa
             )
 
     return ranked.mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        frugal(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 

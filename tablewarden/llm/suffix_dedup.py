@@ -30,13 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, mix64, parts_for, prefix_hash, ship, stage, stretch_hash, text_bytes
+from .common import frugal, joined, mix64, parts_for, prefix_hash, ship, stage, stretch_hash, text_bytes
 
 WINDOW = 50
 K = 18
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
-SLICE = 1 << 20
+SLICE = 1 << 18
+SORTED_AT_ONCE = 1 << 16
 _RUN = WINDOW - K + 1  # rolling hashes in a window
 _NO_ID = np.iinfo(np.int64).max  # a null doc_id comes after all others
 _DIFFER = np.iinfo(np.int64).min
@@ -106,24 +107,46 @@ class Parse:
         return self.first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
 
 
+def _hashes(buffer: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at these starts."""
+    out = np.zeros(len(start), np.uint64)
+    order = np.argsort(start)
+    edges = np.searchsorted(start[order], np.arange(0, len(buffer) + SLICE, SLICE))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        if b > a:
+            at = start[order[a:b]] - k * SLICE
+            h = prefix_hash(buffer[k * SLICE : k * SLICE + int(at[-1]) + WINDOW])
+            out[order[a:b]] = stretch_hash(h, at, at + WINDOW)
+    return out
+
+
 class Windows:
-    """The distinct windows among some starts, in the order of their bytes: hash and smallest document of each."""
-
-    def __init__(self, buffer: np.ndarray, start: np.ndarray, doc: np.ndarray):
-        self.hash, self.least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.of = np.zeros(len(start), np.int64)  # which distinct window each start has
-        if len(start):
-            rows = np.lib.stride_tricks.sliding_window_view(buffer, WINDOW)[start]
-            order = np.argsort(np.ascontiguousarray(rows).view(f"V{WINDOW}").ravel(), kind="stable")
+    """The distinct windows of some triggers of a block: hash and smallest document of each, and all their places.
+
+    Equal windows have equal triggers, so the suffixes are sorted for some triggers at a time.
+    """
+
+    def __init__(self, parse: Parse, chosen: np.ndarray, doc: np.ndarray):
+        chosen = chosen[np.argsort(parse.key[chosen], kind="stable")]
+        self.start, owner = parse.windows_of(chosen)
+        self.doc = doc[owner]
+        self.of = np.zeros(len(owner), np.int64)  # which distinct window each place has
+        key, first, least, found = parse.key[owner], [], [], 0
+        at = 0
+        while at < len(owner):
+            end = min(len(owner), at + SORTED_AT_ONCE)
+            end = int(np.searchsorted(key, key[end - 1], "right"))
+            start = self.start[at:end]
+            rows = np.lib.stride_tricks.sliding_window_view(parse.buffer, WINDOW)[start]
+            order = np.argsort(rows.view(f"V{WINDOW}").ravel(), kind="stable")
             rows = rows[order]
-            new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
-            self.of[order] = np.cumsum(new) - 1
-            begin = np.flatnonzero(new)
-            self.least = np.minimum.reduceat(doc[order], begin)
-            self.hash = np.concatenate([
-                stretch_hash(prefix_hash(rows[a].ravel()), np.arange(len(a)) * WINDOW, np.arange(1, len(a) + 1) * WINDOW)
-                for a in np.array_split(begin, -(-len(begin) // 20_000))
-            ])
+            begin = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
+            self.of[at + order] = found + np.repeat(np.arange(len(begin)), np.diff(np.append(begin, end - at)))
+            first.append(start[order[begin]])
+            least.append(np.minimum.reduceat(self.doc[at:end][order], begin))
+            found, at = found + len(begin), end
+        self.hash = _hashes(parse.buffer, np.concatenate([np.zeros(0, np.int64), *first]))
+        self.least = np.concatenate([np.zeros(0, np.int64), *least])
 
 
 _BLOCK = "block long, ids binary, lengths binary, texts binary, rest binary"
@@ -165,7 +188,7 @@ def blocks(docs: DataFrame, keep: list[str], block_bytes: int) -> DataFrame:
             yield block()
 
     own = [F.col("doc_id").cast("long").alias("own_id"), F.col("text").alias("own_text")]
-    return docs.select(*(docs[c] for c in keep), *own).mapInArrow(batches, _BLOCK)
+    return docs.select(*(docs[c] for c in keep), *own).mapInArrow(frugal(batches), _BLOCK)
 
 
 class Block:
@@ -286,8 +309,7 @@ def _announce_windows(n_buckets: int):
             for row in frame.to_dict("records"):
                 b = Block(row, n_buckets)
                 told = _look_up(b.bucket.astype(np.uint64) << np.uint64(32) | b.name, _told(row["t_keys"], row["t_docs"]), _NO_ID)
-                start, owner = b.parse.windows_of(np.flatnonzero((told == _DIFFER)[b.group]))
-                w = Windows(b.parse.buffer, start, b.doc[owner])
+                w = Windows(b.parse, np.flatnonzero((told == _DIFFER)[b.group]), b.doc)
                 bucket = ((w.hash >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
                 yield _frame(_announced(row["block"], bucket, w.hash, w.least), _ENTRIES)
 
@@ -303,10 +325,9 @@ def _removed(b: Block, triggers: tuple, windows: tuple) -> np.ndarray:
     edges = np.zeros(len(p.buffer) + 1, np.int32)
     np.add.at(edges, p.first[gone], 1)
     np.add.at(edges, p.last[gone] + WINDOW, -1)
-    start, owner = p.windows_of(np.flatnonzero(single))
-    w = Windows(p.buffer, start, b.doc[owner])
+    w = Windows(p, np.flatnonzero(single), b.doc)
     least = np.minimum(w.least, _look_up(w.hash, windows, _NO_ID))
-    start = start[least[w.of] < b.doc[owner]]
+    start = w.start[least[w.of] < w.doc]
     np.add.at(edges, start, 1)
     np.add.at(edges, start + WINDOW, -1)
     return np.cumsum(edges[:-1]) > 0
@@ -323,10 +344,10 @@ def _solved(docs: DataFrame, keep: list[str], block_bytes: int, bucket_bytes: in
     ship(docs.sparkSession)
     n_buckets = parts_for(text_bytes(docs), bucket_bytes)
     held = stage(blocks(docs, keep, block_bytes), "blocks", "none")
-    entries = held.mapInPandas(_announce_triggers(n_buckets), _ENTRIES)
+    entries = held.mapInPandas(frugal(_announce_triggers(n_buckets)), _ENTRIES)
     told = stage(entries.groupBy("bucket").applyInPandas(_compare_triggers, _ANSWERS), "triggers", "none")
     lists = _joined_lists(told, "t")
-    asked = held.join(lists, "block").mapInPandas(_announce_windows(n_buckets), _ENTRIES)
+    asked = held.join(lists, "block").mapInPandas(frugal(_announce_windows(n_buckets)), _ENTRIES)
     windows = stage(asked.groupBy("bucket").applyInPandas(_compare_windows, _ANSWERS), "windows", "none")
     both = lists.join(_joined_lists(windows, "w"), "block", "left")
     return held.join(both, "block", "left"), n_buckets
@@ -350,7 +371,7 @@ def _applied(docs: DataFrame, keep: list[str], schema: str, made, block_bytes: i
                 yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, *(n for n, _ in fields)])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(docs[c] for c in keep)).schema]
-    return solved.mapInArrow(batches, ", ".join([*kept, schema]))
+    return solved.mapInArrow(frugal(batches), ", ".join([*kept, schema]))
 
 
 def _digest(data: np.ndarray, gone: np.ndarray, null: bool) -> tuple:

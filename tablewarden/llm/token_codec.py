@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import frugal, ship
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECE_CHARS = 1 << 16
@@ -83,7 +83,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
             ids = [c.encode(t).astype("<u4").tobytes() if t else b"" for t in frame["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([frame["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(batches), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -96,7 +96,7 @@ def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenize
             texts = [c.decode_bytes(np.frombuffer(ids, "<u4")) for ids in frame["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(batches), "doc_id long, ids binary, decoded binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, shared_path, ship, stage, text_bytes
+from .common import frugal, parts_for, shared_path, ship, stage, text_bytes
 from .word_cache import byte_level
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -190,7 +190,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     rows = docs.select("doc_id", "text").repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
     rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("absent"), F.coalesce("text", F.lit("")).alias("text"))
     # The text writer puts a row's bytes into the file as they are, and a line break, which is padding.
-    rows.mapInPandas(batches, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    rows.mapInPandas(frugal(batches), "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -215,7 +215,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = stage(
-        files.mapInPandas(batches, "path string, doc_id long, absent boolean, inside long, n_tokens long, ids_crc32 long")
+        files.mapInPandas(frugal(batches), "path string, doc_id long, absent boolean, inside long, n_tokens long, ids_crc32 long")
         .select("path", F.when(~F.col("absent"), F.col("doc_id")).alias("doc_id"), "inside", "n_tokens", "ids_crc32"),
         "tokens",
     )

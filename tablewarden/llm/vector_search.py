@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import frugal, ship, stage
 
 SCALE = 256
 K = 5
 QUERY_EVERY = 50
 RESOLUTIONS = (1, 4, 16)
-BLOCK_ROWS = 2048
-QUERY_ROWS = 1024
+BLOCK_ROWS = 2000
+QUERY_ROWS = 1000
 BLOCKS_PER_TASK = 4
 
 
@@ -186,10 +186,10 @@ def top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K) -> DataFrame
         ),
         "vectors",
     )
-    blocks = stage(rows.mapInPandas(_packed(BLOCK_ROWS), _BLOCK), "candidates")
+    blocks = stage(rows.mapInPandas(frugal(_packed(BLOCK_ROWS)), _BLOCK), "candidates")
     asked = rows.where(F.col("vec_id") % every == 0)
     # Queries are spread over the files; dealing them out first makes full blocks.
-    asked = stage(asked.repartition(max(1, -(-asked.count() // QUERY_ROWS)), "uid").mapInPandas(_packed(QUERY_ROWS), _BLOCK), "queries")
+    asked = stage(asked.repartition(max(1, -(-asked.count() // QUERY_ROWS)), "uid").mapInPandas(frugal(_packed(QUERY_ROWS)), _BLOCK), "queries")
     n_parts = max(1, -(-blocks.count() // BLOCKS_PER_TASK))
     parts = F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))
     numbers = asked.select(F.col("block").alias("q"))

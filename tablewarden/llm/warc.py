@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, ship, stage
+from .common import frugal, shared_path, ship, stage
 
 MAGIC = "WARC/1.0\r\n"
 GAP = "\r\n\r\n"
@@ -218,7 +218,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Payloads that hold the magic lie in several segments; those few are read again and put together by record.
     """
     ship(spark)
-    found = stage(_segments(spark, path).mapInArrow(_candidates, _SEGMENT), "segments")
+    found = stage(_segments(spark, path).mapInArrow(frugal(_candidates), _SEGMENT), "segments")
     sizes = found.groupBy("path", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     bases = stage(sizes.select("path", "split", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base")), "bases")
@@ -271,7 +271,7 @@ def _put_together(spark: SparkSession, path: str, found: DataFrame, bases: DataF
         for p, split, nth, _, value in _numbered(batches):
             yield pa.RecordBatch.from_pydict({"path": [p], "split": [split], "nth": [nth], "value": [value]})
 
-    parts = _segments(spark, path).mapInArrow(numbered, "path string, split long, nth long, value binary")
+    parts = _segments(spark, path).mapInArrow(frugal(numbered), "path string, split long, nth long, value binary")
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         value = MAGIC.encode().join(frame.sort_values("at")["value"])
