@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.text import join_text
@@ -215,3 +215,31 @@ def key_violations(df: DataFrame, entity: Entity) -> dict[str, DataFrame]:
     if entity.unique_key:
         checks["unique_key"] = duplicate_keys(df, list(entity.unique_key))
     return checks
+
+
+def _first(rows: DataFrame, entity: Entity, key: list[str], rule: Column) -> DataFrame:
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in key])
+    return rows.select(F.lit(entity.name).alias("entity"), rule.alias("rule"), named.alias("key"))
+
+
+def publish_violations(
+    entity: Entity, added: DataFrame, known: DataFrame, parents: DataFrame | None = None
+) -> DataFrame:
+    """(entity, rule, key) of added rows that break a declared rule.
+
+    Missing values, sizes and value sets in one pass; keys by counting the added rows and by looking
+    the known ones up; the parent by one anti-join. Known rows are never checked again.
+    """
+    key = list(entity.primary_key)
+    rules = _first(declared_violations(added, entity), entity, key, F.concat_ws(" ", "column", "rule"))
+    for name, columns in (("primary key", key), ("unique key", list(entity.unique_key or ()))):
+        if columns:
+            repeated = duplicate_keys(added.dropna(subset=columns), columns)
+            taken = added.select(columns).join(known.select(columns), columns, "left_semi")
+            both = repeated.select(columns).unionByName(taken)
+            rules = rules.unionByName(_first(both, entity, columns, F.lit(name)))
+    if parents is not None and entity.parent:
+        column = entity.parent[1]
+        lost = orphans(added, parents, {column: column}, unique=True)
+        rules = rules.unionByName(_first(lost, entity, key, F.lit("foreign key")))
+    return rules

@@ -13,7 +13,7 @@ from tablewarden.operators.ids import last_id
 from tablewarden.operators.joins import in_set, resolve_ids
 from tablewarden.session import durable
 from tablewarden.sources.catalog import tidy_requests
-from tablewarden.sources.registry import publish, read_all
+from tablewarden.sources.registry import current_version, publish, read_all
 
 UNKNOWN_ACTOR = "UNKNOWN"
 OUT_OF_USE = "DEPRECATED"
@@ -185,12 +185,14 @@ def statements(good: DataFrame, steps: list[tuple[Column, Column]]) -> DataFrame
 
 
 def run_changes(spark: SparkSession, root: str, apply, requests: DataFrame, as_of, **options) -> Change:
-    """Apply one batch to the registry at ``root``; rows and history become visible together."""
-    main, history = read_all(spark, root)
+    """Apply one batch to the registry at ``root``; rows and history become visible together, or, where a new
+    row breaks a declared rule or another version was published meanwhile, not at all."""
+    version = current_version(spark, root)
+    main, history = read_all(spark, root, version)
     change = apply(main, requests, as_of, **options)
     numbered = {
         name: with_history_ids(rows, last_id(history[name], "HIST_ID"))
         for name, rows in change.history.items()
     }
-    publish(spark, root, as_of, change.append, change.replace, numbered)
+    publish(spark, root, as_of, change.append, change.replace, numbered, version.number, check=True)
     return change

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.operators.integrity import publish_violations
 from tablewarden.schemas import ENTITIES
 
 _MANIFEST = (
@@ -62,9 +64,11 @@ def read_history(spark: SparkSession, root: str, entity: str, version: Version |
     return _rows(spark, version.history.get(entity, []), ENTITIES[entity].history_schema)
 
 
-def read_all(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+def read_all(
+    spark: SparkSession, root: str, version: Version | None = None
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Main and history rows of every entity, all of one version."""
-    version = current_version(spark, root)
+    version = version or current_version(spark, root)
     return (
         {name: read_registry(spark, root, name, version) for name in ENTITIES},
         {name: read_history(spark, root, name, version) for name in ENTITIES},
@@ -77,6 +81,29 @@ def _write(df: DataFrame, schema, path: str, sort_by: list[str]) -> str:
     return path
 
 
+def _refuse_violations(
+    spark: SparkSession, old: Version, new: Version, appended: set[str], replaced: set[str], as_of
+) -> None:
+    """Fail if the rows just written break a declared rule. Rows of older versions are not checked again."""
+    found = []
+    for name in sorted(appended | replaced):
+        entity = ENTITIES[name]
+        parent = entity.parent and _rows(spark, new.main.get(entity.parent[0], []), ENTITIES[entity.parent[0]].schema)
+        if name in appended:
+            added = _rows(spark, new.main[name][-1:], entity.schema)
+            known = _rows(spark, new.main[name][:-1], entity.schema)
+        elif "UPDATED_AT" in entity.names:
+            added = _rows(spark, new.main[name], entity.schema).filter(F.col("UPDATED_AT") == F.lit(as_of).cast("timestamp"))
+            known = _rows(spark, [], entity.schema)
+        else:
+            continue
+        found.append(publish_violations(entity, added, known, parent))
+    if found:
+        broken = reduce(DataFrame.unionByName, found).take(5)
+        if broken:
+            raise ValueError("rows break declared rules, for example " + "; ".join(f"{r.entity} {r.key}: {r.rule}" for r in broken))
+
+
 def publish(
     spark: SparkSession,
     root: str,
@@ -84,9 +111,18 @@ def publish(
     append: dict[str, DataFrame] | None = None,
     replace: dict[str, DataFrame] | None = None,
     history: dict[str, DataFrame] | None = None,
+    base: int | None = None,
+    check: bool = False,
 ) -> Version:
-    """Write appended rows, replaced entities and history rows, then publish them together."""
+    """Write appended rows, replaced entities and history rows, then publish them together.
+
+    ``base`` is the version that the rows were computed from: if another one has been published since,
+    nothing becomes visible and the call fails. With ``check`` the same happens where an appended row, or a
+    replaced one that carries this time of change, breaks a declared rule.
+    """
     old = current_version(spark, root)
+    if base is not None and base != old.number:
+        raise RuntimeError(f"version {old.number} was published after version {base} had been read")
     batch = uuid.uuid4().hex
     new = Version(
         old.number + 1,
@@ -110,6 +146,8 @@ def publish(
             [*entity.primary_key, "HIST_AT"],
         )
         new.history.setdefault(name, []).append(path)
+    if check:
+        _refuse_violations(spark, old, new, set(append or {}), set(replace or {}), as_of)
     row = [(new.number, as_of, new.main, new.history)]
     spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").json(f"{root}/manifest")
     return new

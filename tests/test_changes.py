@@ -2,11 +2,13 @@ import datetime as dt
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewarden.operators import integrity
 from tablewarden.plans import changes
 from tablewarden.schemas import ENTITIES, REQUESTS
-from tablewarden.sources.registry import publish, read_all
+from tablewarden.sources.registry import current_version, publish, read_all
 
 AS_OF = dt.datetime(2024, 5, 1)
 
@@ -272,9 +274,46 @@ def test_requests_with_one_turn_go_by_their_id(ask, main):
     assert rows(done.append["sequence"], "CREATED_BY") == [("first",)]
 
 
+def complete(main):
+    """The rows with something in every required column."""
+    blank = {"text": "X", "flag": "N", "time": "2020-01-01", "id": 0, "int": 0, "number": 0}
+    done = {}
+    for name, df in main.items():
+        entity = ENTITIES[name]
+        for c in entity.columns:
+            if c.required:
+                value = c.default or entity.value_sets.get(c.name, (blank[c.kind],))[0]
+                df = df.withColumn(c.name, F.coalesce(c.name, F.lit(value).cast(c.spark_type)))
+        done[name] = df
+    return done
+
+
+def test_a_batch_that_breaks_a_rule_is_not_published(spark, ask, main, tmp_path):
+    root = str(tmp_path)
+    publish(spark, root, AS_OF, append=complete(main))
+    before = current_version(spark, root)
+    with pytest.raises(ValueError, match="INDEX_TYPE_CD null"):
+        changes.run_changes(spark, root, changes.index_create, ask("index_create", dict(tableName="a", indexColumns="x")), AS_OF)
+    assert current_version(spark, root) == before
+    with pytest.raises(RuntimeError):
+        publish(spark, root, AS_OF, base=before.number - 1)
+    assert current_version(spark, root) == before
+
+
+def test_violations_of_added_rows(frame, main):
+    known = complete(main)["column"]
+    twice = known.filter("COLUMN_ID = 1")
+    fresh = twice.withColumn("COLUMN_ID", F.lit(99).cast("long"))
+    added = twice.unionByName(fresh.withColumn("COLUMN_NAME", F.lit("NEW"))).unionByName(
+        fresh.withColumns({"TABLE_ID": F.lit(77).cast("long"), "PK_YN": F.lit("?"), "COLUMN_NAME": F.lit("N" * 200)}))
+    found = integrity.publish_violations(ENTITIES["column"], added, known, main["table"])
+    assert {(r.rule, r.key) for r in found.collect()} >= {
+        ("primary key", "1"), ("primary key", "99"), ("unique key", "1, X"), ("foreign key", "99"), ("COLUMN_NAME too long", "99")}
+
+
 def test_batch_is_published_with_its_history(spark, ask, main, tmp_path):
     root = str(tmp_path)
-    publish(spark, root, AS_OF, append=main)
+    publish(spark, root, AS_OF, append=complete(main))
     done = changes.run_changes(
         spark, root, changes.column_drop, ask("column_drop", dict(tableName="a", colName="x", mode="SOFT")), AS_OF)
     assert done.rejects.count() == 0
