@@ -5,7 +5,7 @@ from conftest import rows
 
 from tablewarden.operators import backfill, drift, integrity
 from tablewarden.operators.history import backfill_history, with_history_ids
-from tablewarden.plans.load import Stamp, new_indexes, run_initial_load
+from tablewarden.plans.load import Stamp, load_indexes, new_indexes, run_initial_load
 from tablewarden.schemas import ENTITIES, INDEX_COLUMN
 from tablewarden.sources.codes import TERMS_SEED, code_seed
 from tablewarden.sources.registry import current_version, publish, read_all, read_history, read_registry
@@ -166,3 +166,13 @@ def test_unpublished_rows_stay_invisible(spark, loaded):
         publish(spark, loaded, STAMP.as_of, append={"table": bad}, history={"table": bad.select("TABLE_ID")})
     assert current_version(spark, loaded) == before
     assert read_registry(spark, loaded, "table").count() == count
+
+
+def test_indexes_with_several_key_constraints_get_one_id_each(frame):
+    tables = frame("table", [dict(TABLE_ID=1, SCHEMA_NAME="S", TABLE_NAME="T")])
+    index = dict(TABLE_OWNER="S", TABLE_NAME="T", INDEX_TYPE="NORMAL", UNIQUENESS="UNIQUE")
+    keys = [dict(OWNER="S", CONSTRAINT_NAME=n, CONSTRAINT_TYPE="P", STATUS="ENABLED", INDEX_NAME="IX") for n in ("P1", "P2")]
+    found = load_indexes(
+        frame("indexes", [index | dict(INDEX_NAME="IX"), index | dict(INDEX_NAME="IY")]), tables,
+        frame("constraints", keys), frame("index", []), ["S"], STAMP)
+    assert rows(found, "INDEX_ID", "INDEX_NAME", "PURPOSE_CD") == [(1, "IX", "PK"), (2, "IY", "SEARCH")]
