@@ -327,6 +327,17 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("a_root <> b_root")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots (node, root) after some more links (a, b): components of components."""
+    open_links = stage(_rooted(links, roots).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "open")
+    if open_links.isEmpty():
+        return roots
+    upper = stage(components(open_links), "upper")
+    above = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stage(moved.unionByName(upper.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
@@ -348,16 +359,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     likely = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     links = stage(confirmed(likely, sets), "confirmed")
     roots = stage(components(links), "roots")
-    links = stage(links.unionByName(confirmed(stage(_rooted(pairs, roots), "open"), sets)), "confirmed")
-    roots = stage(components(links), "roots")
+    roots = _merged(roots, stage(confirmed(stage(_rooted(pairs, roots), "open"), sets), "confirmed"))
     far = towards_centres(classes, roots)
     ends = far.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     missing = stage(classes.join(ends.join(sets, "node", "left_anti"), "node").select("node", "least", "name"), "missing")
     if not missing.isEmpty():
         sets = sets.unionByName(stage(_sets(docs, missing), "sets", "none"))
-    links = stage(links.unionByName(confirmed(far, sets)), "confirmed")
-    linked = components(links)
-    known = classes.select("name", "node", "least").join(stage(linked, "linked"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = _merged(roots, stage(confirmed(far, sets), "confirmed"))
+    known = classes.select("name", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = stage(known, "known")
     ids = stage(known.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     named = stage(known.join(ids, "root").select("name", "component_id"), "named")
