@@ -7,8 +7,9 @@ parsed into zones, and only zones that differ around the same trigger need a loo
 
 * Documents stand in blocks of bounded size. For each distinct trigger a block announces its zone's hash (or
   that the zones differ within the block) and the smallest document with it.
-* Per trigger, blocks learn of a smaller document elsewhere with the same zone, or that zones differ.
-* For triggers whose zones differ, each block sorts the suffixes of its dictionary of zones that begin at a
+* Per trigger, blocks learn of a smaller document elsewhere with the same zone, which covers theirs; else whether
+  other zones have that trigger.
+* For those, each block, the first to hold its zone, sorts the suffixes of its dictionary of zones that begin at a
   window (a suffix array, which WINDOW bytes suffice to order), takes equal neighbours together, and announces
   each distinct window once, with the smallest document; smaller documents elsewhere come back.
 * A window is removed where its trigger's zone, or the window itself, has a smaller document.
@@ -259,18 +260,24 @@ def _answers(block: np.ndarray, key: np.ndarray, doc: np.ndarray) -> pd.DataFram
 
 
 def _compare_triggers(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: to each block the triggers with an equal zone in a smaller document, and those whose zones differ."""
+    """Of one bucket: to each block the triggers with an equal zone in a smaller document, which covers all of them
+    there; and of those whose zones differ, the ones whose zone the block is the first to hold."""
     bucket = np.uint64(frame["bucket"].iloc[0])
     key, doc, block = _gathered(frame)
     order = np.argsort(key, kind="stable")
     key, doc, block = key[order], doc[order], block[order]
     name, zone = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-    begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-    n = np.diff(np.append(begin, len(key)))
-    differ = (zone[begin] != zone[begin + n - 1]) | (zone[begin] == 0)
-    least = np.where(differ, _DIFFER, np.minimum.reduceat(doc, begin))
-    told = np.repeat(least, n)
-    tell = (np.repeat(n, n) > 1) & (told < doc)
+
+    def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        return begin, np.diff(np.append(begin, len(values)))
+
+    begin, n = runs(key)
+    least = np.repeat(np.minimum.reduceat(doc, begin), n)
+    covered = (zone != 0) & (least < doc)
+    begin, n = runs(name)
+    differ = np.repeat((zone[begin] != zone[begin + n - 1]) | (zone[begin] == 0), n) & (np.repeat(n, n) > 1)
+    told, tell = np.where(covered, least, _DIFFER), covered | differ
     return _answers(block[tell], bucket << np.uint64(32) | name[tell], told[tell])
 
 
