@@ -223,7 +223,7 @@ def _with_centres(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def towards_centres(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): for dense regions, at depths one and two, each class with those of the region's CENTRES most
+    """(a, b): for dense regions, each class with those of the region's CENTRES most
     central ones that it has no connection with yet. ``roots``: (node, root) of what is connected.
 
     A class is the more central, the more classes share its full labels. The centres of a region are a bounded
@@ -239,17 +239,16 @@ def towards_centres(classes: DataFrame, roots: DataFrame) -> DataFrame:
     )
     rows = stage(
         rows.join(weight, "node", "left").select(
-            "tree", "p1", "p2", "node", "brief", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("root", "node").alias("root")
+            "tree", "p1", "node", "brief", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("root", "node").alias("root")
         ),
         "weighed",
     )
-    found = None
-    for region in (["tree", "p1"], ["tree", "p1", "p2"]):
-        order = Window.partitionBy(*region).orderBy(F.desc("weight"), "node")
-        top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRES)
-        centres = stage(top.groupBy(*region).agg(F.collect_list(F.struct("node", "root", "brief")).alias("centres")), "centres")
-        pairs = rows.select(*region, "node", "root", "brief").join(centres, region).mapInPandas(frugal(_with_centres), "a long, b long")
-        found = pairs if found is None else found.unionByName(pairs)
+    order = Window.partitionBy("tree", "p1").orderBy(F.desc("weight"), "node")
+    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRES)
+    centres = stage(top.groupBy("tree", "p1").agg(F.collect_list(F.struct("node", "root", "brief")).alias("centres")), "centres")
+    found = rows.select("tree", "p1", "node", "root", "brief").join(centres, ["tree", "p1"]).mapInPandas(
+        frugal(_with_centres), "a long, b long"
+    )
     return stage(found.distinct(), "to-centres")
 
 
