@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import encoded, frugal, joined, mix64, parts_for, prefix_hash, ship, slices, stage, stretch_hash
@@ -206,6 +206,13 @@ def neighbours(classes: DataFrame) -> DataFrame:
     return stage(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
 
+def _shortened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The low byte of every minimum in place of the signature."""
+    for frame in frames:
+        brief = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in frame["signature"]]
+        yield frame[["node", "weight", "root"]].assign(brief=brief)
+
+
 def _with_centres(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         n = frame["centres"].map(len).to_numpy()
@@ -230,19 +237,20 @@ def towards_centres(classes: DataFrame, roots: DataFrame) -> DataFrame:
     list, which each of its rows meets by a join that may be split; the rows never meet each other.
     """
     labels = [f"p{d}" for d in range(1, DEPTH + 1)]
-    trees = _trees(classes)
+    trees = _trees(classes).select("tree", *labels, "node")
     dense = stage(trees.groupBy("tree", "p1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDTH + 1).select("tree", "p1"), "dense")
     rows = stage(trees.join(dense, ["tree", "p1"]), "dense-rows")
     like = stage(rows.groupBy("tree", *labels).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "like")
-    weight = stage(
-        rows.join(like, ["tree", *labels]).groupBy("node").agg(F.sum("n").alias("weight")).join(roots, "node", "full"), "weights"
-    )
-    rows = stage(
-        rows.join(weight, "node", "left").select(
-            "tree", "p1", "node", "brief", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("root", "node").alias("root")
+    weight = rows.join(like, ["tree", *labels], "left").groupBy("node").agg(F.sum(F.coalesce("n", F.lit(0))).alias("weight"))
+    # What belongs to a class and not to a row joins once, and wide rows move once.
+    known = stage(
+        weight.join(classes.select("node", "signature"), "node").join(roots, "node", "left")
+        .select("node", "weight", F.coalesce("root", "node").alias("root"), "signature").mapInPandas(
+            frugal(_shortened), "node long, weight long, root long, brief binary"
         ),
-        "weighed",
+        "weights",
     )
+    rows = stage(rows.select("tree", "p1", "node").join(known, "node"), "weighed")
     order = Window.partitionBy("tree", "p1").orderBy(F.desc("weight"), "node")
     top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRES)
     centres = stage(top.groupBy("tree", "p1").agg(F.collect_list(F.struct("node", "root", "brief")).alias("centres")), "centres")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, joined, mix64, parts_for, prefix_hash, ship, stage, stretch_hash, text_bytes
+from .common import frugal, mix64, parts_for, prefix_hash, ship, stage, stretch_hash, text_bytes
 
 WINDOW = 50
 K = 18
