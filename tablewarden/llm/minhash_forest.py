@@ -32,6 +32,8 @@ WIDTH = 8
 # true pair falls below it less than once in ten million.
 AGREEMENT = 30
 CENTRES = 24
+# Rows of one shingle that a task compares with the others at a time.
+ROWS_PER_KEY = 2000
 ROWS_PER_PART = 200_000
 
 
@@ -260,6 +262,71 @@ def towards_centres(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return stage(found.distinct(), "to-centres")
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """(node): the classes of any region, tree and first minimum, that is denser than the window reaches.
+
+    Two classes that share a smaller region were compared there; what the window can miss has both its ends here.
+    """
+    rows = _trees(classes).select("tree", "p1", "node")
+    dense = stage(rows.groupBy("tree", "p1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDTH + 1).select("tree", "p1"), "dense")
+    return stage(rows.join(dense, ["tree", "p1"]).select("node").distinct(), "crowded")
+
+
+def _elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        sets = [_from48(s) for s in frame["shingles"]]
+        n = [len(s) for s in sets]
+        yield pd.DataFrame({
+            "node": np.repeat(frame["node"].to_numpy(np.int64), n),
+            "root": np.repeat(frame["root"].to_numpy(np.int64), n),
+            "shingle": np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.int64),
+        })
+
+
+def by_rare_shingles(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): every pair of the sets (node, n, shingles) that may be similar and is not connected yet.
+
+    Each set is put in the order of its shingles' frequency, the rarest first. Of a similar pair with n and m
+    shingles, at least PERCENT * (n + m) / (100 + PERCENT) are common, so as many follow the first common one,
+    itself included, in both sets: only pairs with a common shingle at such places are candidates, and no similar
+    pair is missed. Shingles within one component make no pairs; of the others, rows of the component
+    that most of a shingle's rows belong to never meet each other, and a frequent one's rows are split over tasks.
+    """
+    known = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    elements = known.select("node", "root", "shingles").mapInPandas(frugal(_elements), "node long, root long, shingle long")
+    shared = elements.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("root") < F.max("root")).alias("mixed"))
+    shared = stage(shared.where("df > 1"), "shared")
+    held = elements.select("node", "shingle").join(shared, "shingle")
+    held = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", "mixed"))).alias("held"))
+    placed = held.join(known.select("node", "root", "n"), "node").select(
+        "node", "root", "n", (F.col("n") - F.size("held")).alias("alone"), F.posexplode("held").alias("k", "e")
+    ).where("e.mixed").select("node", "root", "n", (F.col("alone") + F.col("k")).alias("at"), "e.shingle")
+    # A set's first common place with one that is not smaller, and with any.
+    low = (100 + PERCENT) * (F.col("n") - F.col("at")) >= 2 * PERCENT * F.col("n")
+    postings = stage(placed.where(100 * (F.col("n") - F.col("at")) >= PERCENT * F.col("n")).withColumn("low", low), "postings")
+    counts = postings.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("rows"), F.max("low").alias("low"))
+    keys = counts.groupBy("shingle").agg(
+        F.max_by("root", "rows").alias("main"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("roots"), F.max("low").alias("low")
+    )
+    keys = stage(keys.where("roots > 1 AND low").select("shingle", "main", (F.col("rows") / ROWS_PER_KEY).cast("int").alias("cuts")), "keys")
+    postings = postings.join(keys, "shingle").withColumn("own", F.expr("IF(root = main, 1, 0)"))
+    first = postings.where("low").select(
+        "shingle", "own", F.expr("pmod(hash(node), cuts + 1)").alias("cut"), F.col("node").alias("u"), F.col("root").alias("u_root"),
+        F.col("n").alias("u_n"), F.col("at").alias("u_at"),
+    )
+    second = postings.select(
+        "shingle", F.explode(F.expr("IF(own = 1, array(0), array(0, 1))")).alias("own"), "cuts", F.col("node").alias("v"),
+        F.col("root").alias("v_root"), F.col("n").alias("v_n"), F.col("at").alias("v_at"),
+    ).withColumn("cut", F.explode(F.expr("sequence(0, cuts)"))).drop("cuts")
+    common = PERCENT * (F.col("u_n") + F.col("v_n"))
+    found = first.join(second, ["shingle", "own", "cut"]).where(
+        F.expr("u_root <> v_root AND (u_n < v_n OR u_n = v_n AND u < v)")
+        & ((100 + PERCENT) * (F.col("u_n") - F.col("u_at")) >= common)
+        & ((100 + PERCENT) * (F.col("v_n") - F.col("v_at")) >= common)
+    )
+    return stage(found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "by-rare-shingles")
+
+
 def _low48(hashes: np.ndarray) -> bytes:
     return np.unique(hashes & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -373,6 +440,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     if not missing.isEmpty():
         sets = sets.unionByName(stage(_sets(docs, missing), "sets", "none"))
     roots = _merged(roots, stage(confirmed(far, sets), "confirmed"))
+    # The window and the centres leave pairs of dense regions unseen: all that are not connected yet.
+    dense = crowded(classes)
+    missing = stage(classes.join(dense.join(sets, "node", "left_anti"), "node").select("node", "least", "name"), "missing")
+    if not missing.isEmpty():
+        sets = sets.unionByName(stage(_sets(docs, missing), "sets", "none"))
+    rest = by_rare_shingles(sets.join(dense, "node"), roots)
+    roots = _merged(roots, stage(confirmed(rest, sets), "confirmed"))
     known = classes.select("name", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = stage(known, "known")
     ids = stage(known.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
