@@ -202,7 +202,8 @@ class Block:
         self.parse = Parse(np.frombuffer(data, np.uint8), bounds)
         p = self.parse
         self.doc = self.ids[p.text] if len(p.text) else np.zeros(0, np.int64)
-        # Distinct triggers: bucket and 32 bits name one; the zone's hash is 0 where zones differ here.
+        # Distinct triggers: bucket and 32 bits name one, and another now and then, so that what is said about one
+        # goes by its zone as well; the zone's hash is 0 where zones differ here.
         order = np.lexsort((p.zone, p.key))
         key, zone, doc = p.key[order], p.zone[order], self.doc[order]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -216,6 +217,14 @@ class Block:
         self.least = np.minimum.reduceat(doc, begin) if len(key) else doc
         self.bucket = ((key[begin] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
         self.name = key[begin] & low
+        self.n_buckets = n_buckets
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and key under which each trigger is announced and told."""
+        return self.bucket, self.name << np.uint64(32) | self.zone
+
+    def of_windows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return ((hashes >> np.uint64(32)) % np.uint64(self.n_buckets)).astype(np.int64), hashes
 
 
 def _announced(block: int, bucket: np.ndarray, key: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
@@ -228,7 +237,7 @@ def _announced(block: int, bucket: np.ndarray, key: np.ndarray, doc: np.ndarray)
 
 
 _ENTRIES = "bucket long, block long, keys binary, docs binary"
-_ANSWERS = "block long, keys binary, docs binary"
+_ANSWERS = "block long, buckets long, keys binary, docs binary"
 
 
 def _frame(rows, schema: str) -> pd.DataFrame:
@@ -240,7 +249,7 @@ def _announce_triggers(n_buckets: int):
         for frame in frames:
             for row in frame.to_dict("records"):
                 b = Block(row, n_buckets)
-                yield _frame(_announced(row["block"], b.bucket, b.name << np.uint64(32) | b.zone, b.least), _ENTRIES)
+                yield _frame(_announced(row["block"], *b.asked(), b.least), _ENTRIES)
 
     return batches
 
@@ -251,18 +260,17 @@ def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(docs), np.repeat(frame["block"].to_numpy(np.int64), [len(k) for k in keys])
 
 
-def _answers(block: np.ndarray, key: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
-    """Rows (block, keys, docs) of entries sorted by key."""
+def _answers(bucket: int, block: np.ndarray, key: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
+    """Rows (block, buckets, keys, docs) of one bucket's entries sorted by key."""
     order = np.lexsort((key, block))
     block, key, doc = block[order], key[order], doc[order]
     edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else []
-    return _frame(((int(block[a]), key[a:b].tobytes(), _pack(doc[a:b])) for a, b in zip(edges[:-1], edges[1:])), _ANSWERS)
+    return _frame(((int(block[a]), bucket, key[a:b].tobytes(), _pack(doc[a:b])) for a, b in zip(edges[:-1], edges[1:])), _ANSWERS)
 
 
 def _compare_triggers(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: to each block the triggers with an equal zone in a smaller document, which covers all of them
     there; and of those whose zones differ, the ones whose zone the block is the first to hold."""
-    bucket = np.uint64(frame["bucket"].iloc[0])
     key, doc, block = _gathered(frame)
     order = np.argsort(key, kind="stable")
     key, doc, block = key[order], doc[order], block[order]
@@ -278,7 +286,7 @@ def _compare_triggers(frame: pd.DataFrame) -> pd.DataFrame:
     begin, n = runs(name)
     differ = np.repeat((zone[begin] != zone[begin + n - 1]) | (zone[begin] == 0), n) & (np.repeat(n, n) > 1)
     told, tell = np.where(covered, least, _DIFFER), covered | differ
-    return _answers(block[tell], bucket << np.uint64(32) | name[tell], told[tell])
+    return _answers(int(frame["bucket"].iloc[0]), block[tell], key[tell], told[tell])
 
 
 def _compare_windows(frame: pd.DataFrame) -> pd.DataFrame:
@@ -289,25 +297,31 @@ def _compare_windows(frame: pd.DataFrame) -> pd.DataFrame:
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     told = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, len(key))))
     tell = told < doc
-    return _answers(block[tell], key[tell], told[tell])
+    return _answers(int(frame["bucket"].iloc[0]), block[tell], key[tell], told[tell])
 
 
-def _told(keys: list | None, docs: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """What several buckets told a block, sorted by key."""
+def _told(buckets: list | None, keys: list | None, docs: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What several buckets told a block: bucket, key and document."""
     if keys is None or not len(keys):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    key = np.concatenate([np.frombuffer(k, np.uint64) for k in keys])
-    doc = np.concatenate([_unpack(d, np.int64) for d in docs])
-    order = np.argsort(key)
-    return key[order], doc[order]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key = [np.frombuffer(k, np.uint64) for k in keys]
+    bucket = np.repeat(np.array(buckets, np.int64), [len(k) for k in key])
+    return bucket, np.concatenate(key), np.concatenate([_unpack(d, np.int64) for d in docs])
 
 
-def _look_up(key: np.ndarray, told: tuple[np.ndarray, np.ndarray], missing: int) -> np.ndarray:
-    names, docs = told
-    if not len(names):
+def _look_up(bucket: np.ndarray, key: np.ndarray, told: tuple[np.ndarray, np.ndarray, np.ndarray], missing: int) -> np.ndarray:
+    """The document told for each bucket and key."""
+    n = len(told[1])
+    if not n or not len(key):
         return np.full(len(key), missing)
-    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
-    return np.where(names[at] == key, docs[at], missing)
+    buckets, keys = np.concatenate([told[0], bucket]), np.concatenate([told[1], key])
+    order = np.lexsort((keys, buckets))  # stable: what was told comes before who asks
+    buckets, keys = buckets[order], keys[order]
+    begin = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1])))
+    docs = np.append(told[2], np.full(len(key), missing))[order[begin]]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.repeat(docs, np.diff(np.append(begin, len(order))))
+    return out[n:]
 
 
 def _announce_windows(n_buckets: int):
@@ -315,10 +329,9 @@ def _announce_windows(n_buckets: int):
         for frame in frames:
             for row in frame.to_dict("records"):
                 b = Block(row, n_buckets)
-                told = _look_up(b.bucket.astype(np.uint64) << np.uint64(32) | b.name, _told(row["t_keys"], row["t_docs"]), _NO_ID)
+                told = _look_up(*b.asked(), _told(row["t_buckets"], row["t_keys"], row["t_docs"]), _NO_ID)
                 w = Windows(b.parse, np.flatnonzero((told == _DIFFER)[b.group]), b.doc)
-                bucket = ((w.hash >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-                yield _frame(_announced(row["block"], bucket, w.hash, w.least), _ENTRIES)
+                yield _frame(_announced(row["block"], *b.of_windows(w.hash), w.least), _ENTRIES)
 
     return batches
 
@@ -326,14 +339,14 @@ def _announce_windows(n_buckets: int):
 def _removed(b: Block, triggers: tuple, windows: tuple) -> np.ndarray:
     """For each byte of the block whether it goes."""
     p = b.parse
-    told = _look_up(b.bucket.astype(np.uint64) << np.uint64(32) | b.name, triggers, _NO_ID)
+    told = _look_up(*b.asked(), triggers, _NO_ID)
     single = (b.differ | (told == _DIFFER))[b.group]
     gone = ~single & (np.minimum(b.least, told)[b.group] < b.doc)
     edges = np.zeros(len(p.buffer) + 1, np.int32)
     np.add.at(edges, p.first[gone], 1)
     np.add.at(edges, p.last[gone] + WINDOW, -1)
     w = Windows(p, np.flatnonzero(single), b.doc)
-    least = np.minimum(w.least, _look_up(w.hash, windows, _NO_ID))
+    least = np.minimum(w.least, _look_up(*b.of_windows(w.hash), windows, _NO_ID))
     start = w.start[least[w.of] < w.doc]
     np.add.at(edges, start, 1)
     np.add.at(edges, start + WINDOW, -1)
@@ -342,8 +355,8 @@ def _removed(b: Block, triggers: tuple, windows: tuple) -> np.ndarray:
 
 def _joined_lists(answers: DataFrame, prefix: str) -> DataFrame:
     return answers.groupBy("block").agg(
-        F.collect_list(F.struct("keys", "docs")).alias("a")
-    ).select("block", F.col("a.keys").alias(f"{prefix}_keys"), F.col("a.docs").alias(f"{prefix}_docs"))
+        F.collect_list(F.struct("buckets", "keys", "docs")).alias("a")
+    ).select("block", *(F.col(f"a.{c}").alias(f"{prefix}_{c}") for c in ("buckets", "keys", "docs")))
 
 
 def _solved(docs: DataFrame, keep: list[str], block_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int]:
@@ -370,7 +383,7 @@ def _applied(docs: DataFrame, keep: list[str], schema: str, made, block_bytes: i
         for frame in frames:
             for row in frame.to_pylist():
                 b = Block(row, n_buckets)
-                gone = _removed(b, _told(*(row[c] for c in ("t_keys", "t_docs"))), _told(*(row[c] for c in ("w_keys", "w_docs"))))
+                gone = _removed(b, *(_told(*(row[f"{p}_{c}"] for c in ("buckets", "keys", "docs"))) for p in "tw"))
                 edges = zip(b.parse.bounds[:-1], b.parse.bounds[1:], b.null)
                 found = zip(*(made(b.parse.buffer[s:e], gone[s:e], null) for s, e, null in edges))
                 rest = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks().to_batches()[0]

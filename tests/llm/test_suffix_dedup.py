@@ -78,3 +78,46 @@ def test_rest_of_texts_and_empty_table(spark):
     assert got == {(1, "y" * 60, "a", None), (2, "zz", None, 5), (3, None, "c", 6), (None, "é" * 60, "d", 7)}
     assert suffix_dedup.replaced(docs).schema.simpleString() == docs.schema.simpleString()
     assert suffix_dedup.repeated(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_triggers_with_one_name(monkeypatch, seed):
+    """All triggers of a bucket get the same 32 bits: what is told about one must not hold for another."""
+    import numpy as np
+    import pandas as pd
+    import zstandard
+
+    made = suffix_dedup.Block.__init__
+
+    def init(self, row, n_buckets):
+        made(self, row, n_buckets)
+        self.name = np.zeros_like(self.name)
+
+    monkeypatch.setattr(suffix_dedup.Block, "__init__", init)
+    r = random.Random(seed)
+    texts = ["".join(r.choices("abcdefgh ", k=300)) for _ in range(6)]
+    texts += [texts[0][:150] + texts[1][150:], "zz" + texts[2], texts[3][20:200] + texts[4][:90] + "q" * 60]
+    held = []
+    for k in range(0, 9, 3):
+        data = [t.encode() for t in texts[k : k + 3]]
+        lengths, packed = np.array([len(t) for t in data]), zstandard.ZstdCompressor().compress(b"".join(data))
+        held.append({"block": k, "ids": np.arange(k, k + 3).tobytes(), "lengths": lengths.tobytes(), "texts": packed})
+
+    def exchanged(announce, compare, prefix):
+        entries = pd.concat(announce(1)(iter([pd.DataFrame(held)])))
+        answers = pd.concat([compare(g) for _, g in entries.groupby("bucket")])
+        columns = [c for c in answers.columns if c != "block"]
+        for row in held:
+            mine = answers[answers["block"] == row["block"]]
+            row |= {f"{prefix}_{c}": mine[c].tolist() for c in columns}
+        return [f"{prefix}_{c}" for c in columns]
+
+    t = exchanged(suffix_dedup._announce_triggers, suffix_dedup._compare_triggers, "t")
+    w = exchanged(suffix_dedup._announce_windows, suffix_dedup._compare_windows, "w")
+    got = []
+    for row in held:
+        b = suffix_dedup.Block(row, 1)
+        gone = suffix_dedup._removed(b, *(suffix_dedup._told(*(row[c] for c in columns)) for columns in (t, w)))
+        for i, s, e in zip(b.ids, b.parse.bounds[:-1], b.parse.bounds[1:]):
+            got.append((int(i), *suffix_dedup._digest(b.parse.buffer[s:e], gone[s:e], False)))
+    assert sorted(got, key=repr) == brute(list(enumerate(texts)))
