@@ -42,6 +42,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 
 SHORT_CHARS, LONG_CHARS = 70, 200
 LOW_STOPS, HIGH_STOPS = 0.10, 0.20
+FEW_STOPS = 0.03
 MOST_LINKS = 0.4
 
 _RAW = "script|style|textarea|title|noscript|iframe|template|svg|math|xmp"
@@ -152,29 +153,56 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _first_pass(block: Block) -> bool | None:
-    """True for content, False for the rest of the page, None where a block alone does not tell."""
+def _link_share(block: Block) -> float:
+    return block.link_chars / max(1, len("".join(block.text.split())))
+
+
+def _stops(text: str) -> tuple[int, int]:
+    words = [w.lower() for w in _WORD.findall(text)]
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _unlisted(blocks: list[Block]) -> bool:
+    """Whether the page's running text has hardly any listed stop word: its language is none of the listed ones."""
+    found = [_stops(b.text) for b in blocks if b.place != "left out" and _link_share(b) <= MOST_LINKS]
+    return sum(s for s, _ in found) < FEW_STOPS * max(1, sum(n for _, n in found))
+
+
+def _first_pass(block: Block, unlisted: bool = False) -> bool | None:
+    """True for content, False for the rest of the page, None where a block alone does not tell.
+
+    In an unlisted language the stop words tell nothing: long blocks with few links are content. Length is counted
+    in bytes there, as some scripts say more with a character.
+    """
     if block.place == "left out":
         return False
-    dense = block.link_chars / max(1, len("".join(block.text.split())))
+    dense = _link_share(block)
+    if block.place == "kept" and (dense < 1 or len(block.text) >= SHORT_CHARS):
+        return True
     if dense > MOST_LINKS and not block.heading:
         return False
     if block.place == "kept":
         return True
-    if block.heading or len(block.text) < SHORT_CHARS:
+    if block.heading or (len(block.text.encode()) if unlisted else len(block.text)) < SHORT_CHARS:
         return None
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= HIGH_STOPS or len(block.text) >= LONG_CHARS and stops >= LOW_STOPS:
+    if unlisted:
+        return True
+    stops, words = _stops(block.text)
+    share = stops / max(1, words)
+    if share >= HIGH_STOPS or len(block.text) >= LONG_CHARS and share >= LOW_STOPS:
         return True
-    return False if stops < LOW_STOPS else None
+    return False if share < LOW_STOPS else None
 
 
 def main_blocks(blocks: list[Block]) -> list[str]:
     """The texts of the content blocks. In the second pass an undecided block takes the label of the nearest
     decided one; of two equally near ones a heading takes the following, any other block the one before.
-    Without any decided block all count as content."""
-    first = [_first_pass(b) for b in blocks]
+    Without any decided block all count as content; so do all undecided ones of a page in an unlisted language
+    that has no block decided as content."""
+    unlisted = _unlisted(blocks)
+    first = [_first_pass(b, unlisted) for b in blocks]
+    if unlisted and True not in first:
+        first = [True if label is None else label for label in first]
     before, after, last = [], [], None
     for k, label in enumerate(first):
         last = k if label is not None else last

@@ -44,3 +44,21 @@ def test_frame(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (None, None, "<p>é", None)], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, extract(pages).collect()), key=repr) == [(1, "u", "", 0), (None, None, "é", 1)]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_pages_in_an_unlisted_language():
+    links = "<ul>" + "".join(f"<li><a href={k}>Ссылка {k}</a></li>" for k in range(9)) + "</ul>"
+    russian = "Однажды весной, в час небывало жаркого заката, в Москве, на Патриарших прудах, появились два гражданина. " * 3
+    chinese = "道可道，非常道。名可名，非常名。无名天地之始，有名万物之母。"
+    for prose in (russian, chinese, russian[:40]):
+        page = f"<div>{links}</div><h2>Глава</h2><p>{prose}</p><p>{prose}</p><table><tr><td>{prose}</td></tr></table><div>{links}</div>"
+        prose = " ".join(prose.split())
+        assert main_text(page) == "\n\n".join(["Глава", prose, prose, prose])
+
+
+def test_links_within_an_article():
+    long = "A linked sentence that is long enough to be no item of a menu at all, and so it stays"
+    page = f"""<article><p>{PROSE}</p><p>See <a href=1>the other report of the year</a>.</p><ul><li>Smith, <a href=2>A title of a paper</a>, 2020</li></ul>
+    <p><a href=3>{long}</a></p></article>"""
+    want = [" ".join(PROSE.split()), "See the other report of the year.", "Smith, A title of a paper, 2020", long]
+    assert main_text(page) == "\n\n".join(want)
