@@ -5,8 +5,8 @@ longest common prefix are candidates: each document is paired with the next WIDT
 it shares at least the first minimum, so the prefix that counts grows with the density of a region. Candidates
 whose signatures agree too little for the wanted similarity are dropped; the others are confirmed on full sets,
 first enough of them to connect what is connected, then all that still would join two components. Where more
-documents share a prefix than the window reaches, each is at last compared with the most central ones of its
-region that it is not connected with: copies of one text that differ too much from each other meet there.
+documents share a first minimum than the window reaches, an exact prefix-filter join over their shingles finds all
+pairs that are similar and not connected yet, at whatever depth they part.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ WIDTH = 8
 # Of the TREES * DEPTH minima so many agree at least. At a similarity of 0.75 each agrees with that chance, so a
 # true pair falls below it less than once in ten million.
 AGREEMENT = 30
-CENTRES = 24
 # Rows of one shingle that a task compares with the others at a time.
 ROWS_PER_KEY = 2000
 ROWS_PER_PART = 200_000
@@ -208,60 +207,6 @@ def neighbours(classes: DataFrame) -> DataFrame:
     return stage(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
 
-def _shortened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The low byte of every minimum in place of the signature."""
-    for frame in frames:
-        brief = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in frame["signature"]]
-        yield frame[["node", "weight", "root"]].assign(brief=brief)
-
-
-def _with_centres(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        n = frame["centres"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(frame)), n)
-        centres = [c for held in frame["centres"] for c in held]
-        node, root = (frame[c].to_numpy(np.int64)[row] for c in ("node", "root"))
-        other, other_root = (np.array([c[k] for c in centres], np.int64) for k in ("node", "root"))
-        far = np.flatnonzero((root != other_root) & (node != other))
-        if len(far):
-            mine = _briefs(frame["brief"])[row[far]]
-            agree = _agree(mine, _briefs(pd.Series([centres[k]["brief"] for k in far])))
-            far = far[agree >= AGREEMENT]
-            a, b = node[far], other[far]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def towards_centres(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): for dense regions, each class with those of the region's CENTRES most
-    central ones that it has no connection with yet. ``roots``: (node, root) of what is connected.
-
-    A class is the more central, the more classes share its full labels. The centres of a region are a bounded
-    list, which each of its rows meets by a join that may be split; the rows never meet each other.
-    """
-    labels = [f"p{d}" for d in range(1, DEPTH + 1)]
-    trees = _trees(classes).select("tree", *labels, "node")
-    dense = stage(trees.groupBy("tree", "p1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDTH + 1).select("tree", "p1"), "dense")
-    rows = stage(trees.join(dense, ["tree", "p1"]), "dense-rows")
-    like = stage(rows.groupBy("tree", *labels).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "like")
-    weight = rows.join(like, ["tree", *labels], "left").groupBy("node").agg(F.sum(F.coalesce("n", F.lit(0))).alias("weight"))
-    # What belongs to a class and not to a row joins once, and wide rows move once.
-    known = stage(
-        weight.join(classes.select("node", "signature"), "node").join(roots, "node", "left")
-        .select("node", "weight", F.coalesce("root", "node").alias("root"), "signature").mapInPandas(
-            frugal(_shortened), "node long, weight long, root long, brief binary"
-        ),
-        "weights",
-    )
-    rows = stage(rows.select("tree", "p1", "node").join(known, "node"), "weighed")
-    order = Window.partitionBy("tree", "p1").orderBy(F.desc("weight"), "node")
-    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRES)
-    centres = stage(top.groupBy("tree", "p1").agg(F.collect_list(F.struct("node", "root", "brief")).alias("centres")), "centres")
-    found = rows.select("tree", "p1", "node", "root", "brief").join(centres, ["tree", "p1"]).mapInPandas(
-        frugal(_with_centres), "a long, b long"
-    )
-    return stage(found.distinct(), "to-centres")
-
-
 def crowded(classes: DataFrame) -> DataFrame:
     """(node): the classes of any region, tree and first minimum, that is denser than the window reaches.
 
@@ -434,13 +379,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = stage(confirmed(likely, sets), "confirmed")
     roots = stage(components(links), "roots")
     roots = _merged(roots, stage(confirmed(stage(_rooted(pairs, roots), "open"), sets), "confirmed"))
-    far = towards_centres(classes, roots)
-    ends = far.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    missing = stage(classes.join(ends.join(sets, "node", "left_anti"), "node").select("node", "least", "name"), "missing")
-    if not missing.isEmpty():
-        sets = sets.unionByName(stage(_sets(docs, missing), "sets", "none"))
-    roots = _merged(roots, stage(confirmed(far, sets), "confirmed"))
-    # The window and the centres leave pairs of dense regions unseen: all that are not connected yet.
+    # The window leaves pairs of dense regions unseen: all of them that are not connected yet.
     dense = crowded(classes)
     missing = stage(classes.join(dense.join(sets, "node", "left_anti"), "node").select("node", "least", "name"), "missing")
     if not missing.isEmpty():

@@ -98,3 +98,16 @@ def test_pairs_within_one_template(spark):
         texts += [" ".join([start, *(f"x{k}{end}{j}" for j in range(13))]) for end in "ab"]
     r.shuffle(texts)
     same_components(spark, list(enumerate(texts)))
+
+
+def test_pairs_beside_large_groups_in_one_region(spark):
+    """Groups of near-equal texts are the heaviest of every dense region; pairs there have no weight."""
+    r = random.Random(8)
+    template = " ".join(f"t{k}" for k in range(88))
+    texts = []
+    for g in range(26):
+        texts += [" ".join([template, *(f"g{g}w{j}" for j in range(15)), f"m{member}"]) for member in range(10)]
+    for k in range(150):
+        texts += [" ".join([template, f"s{k} s{k}a s{k}b", *(f"x{k}{end}{j}" for j in range(13))]) for end in "ab"]
+    r.shuffle(texts)
+    same_components(spark, list(enumerate(texts)))
