@@ -29,7 +29,7 @@ TREES = 16
 DEPTH = 4
 WIDTH = 8
 # Of the TREES * DEPTH minima so many agree at least. At a similarity of 0.75 each agrees with that chance, so a
-# true pair falls below it less than once in ten million.
+# true pair falls below it about four times in ten million.
 AGREEMENT = 30
 # Rows of one shingle that a task compares with the others at a time.
 ROWS_PER_KEY = 2000
