@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, main_text, merkle_manifest, minhash_forest, packing, quality_rules, suffix_dedup, token_codec, token_store, vector_search, warc
+from . import conversation_repair, exact_dedup, language_id, main_text, merkle_manifest, minhash_forest, packing, quality_rules, suffix_dedup, token_codec, token_store, vector_search, warc
 
 QUERIES = {
     "op1_token_store": token_store.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_language_id": language_id.query,
     "op11_quality_rules": quality_rules.query,
+    "op12_conversation_repair": conversation_repair.query,
     "op13_merkle_manifest": merkle_manifest.query,
 }
 
@@ -22,5 +23,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op11_quality_rules": quality_rules.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
     "op13_merkle_manifest": merkle_manifest.SQL,
 }
