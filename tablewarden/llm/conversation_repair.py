@@ -400,8 +400,8 @@ broken AS (
     unnest(CASE WHEN act = 3 THEN [0, 1] ELSE [0] END) AS copy
   FROM given WHERE act <> 0),
 placed AS (
-  SELECT *, row_number() OVER c AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen, role[1] AS ini
-  FROM broken WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, role[1] AS ini FROM broken)),
 r AS (
   SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'B' WHEN seen THEN 'D'
     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'T' ELSE '' END AS fault,
