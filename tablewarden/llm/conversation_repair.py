@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import sha256
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,38 +40,11 @@ def kept_state(state: int, initial: str) -> int | None:
     return ASSISTANT if initial == "a" and state == USER else None
 
 
-def lower_bounds(rows: list[tuple[str, str]]) -> list[int]:
-    """For each place, what the rows from there on cost at least, whatever stands before and follows.
-
-    Blank and repeated rows cost their deletion, truncated ones no less, other roles than s, u and a no less than a new
-    role. Two sound rows of one role with only such rows between them cost one more: one of them is changed, or
-    something stands between them, which costs no less. Each row counts in one such pair at most.
-    """
-    n = len(rows)
-    out = [0] * (n + 1)
-    following: tuple[str, int, int] | None = None  # role and place of the next sound row, cost of the rows before it
-    for i in range(n - 1, -1, -1):
-        initial, fault = rows[i]
-        if fault:
-            out[i] = out[i + 1] + DELETE
-            if following:
-                following = following[0], following[1], following[2] + DELETE
-        elif initial not in ("u", "a"):
-            out[i] = out[i + 1] + (initial != "s")
-            following = None
-        else:
-            out[i] = out[i + 1]
-            if following and following[0] == initial:
-                out[i] = max(out[i], 1 + following[2] + out[following[1] + 1])
-            following = initial, i, 0
-    return out
-
-
-def moves(row: tuple[str, str] | None, state: int) -> list[tuple[str, int, int, int]]:
+@lru_cache(maxsize=None)
+def moves(initial: str | None, fault: str, state: int) -> tuple[tuple[str, int, int, int], ...]:
     """(letter, cost, rows consumed, state after) of each edit that may come next; None: no row is left."""
     found = [("I", INSERT, 0, _NEXT[state])]
-    if row is not None:
-        initial, fault = row
+    if initial is not None:
         found.append(("D", DELETE, 1, state))
         if fault not in (BLANK, DUPLICATE):
             extra = UNENDED if fault else 0
@@ -77,10 +52,33 @@ def moves(row: tuple[str, str] | None, state: int) -> list[tuple[str, int, int,
             if kept is not None:
                 found.append(("K", extra, 1, kept))
             found.append(("R", RETYPE + extra, 1, _NEXT[state]))
-    return found
+    return tuple(found)
+
+
+def _known(initial: str) -> str:
+    """The initial, or one for all that cannot be kept."""
+    return initial if initial in ("s", "u", "a") else "?"
+
+
+def lower_bounds(rows: list[tuple[str, str]], goals: tuple[int, ...]) -> list[list[float]]:
+    """For each place and state, what the rows from there on cost at least until a goal, audits left aside.
+
+    Bounds that know the state are tight: with looser ones a search through hundreds of rows improves the same prefixes
+    again and again, as the incumbent does not rule them out.
+    """
+    def inserted(costs: list[float]) -> list[float]:
+        for _ in range(2):  # never more insertions in a row than it takes from nothing to an assistant's turn
+            costs = [min(costs[s], INSERT + costs[_NEXT[s]]) for s in range(4)]
+        return costs
+
+    out = [inserted([0 if s in goals else inf for s in range(4)])]
+    for initial, fault in reversed(rows):
+        kind = _known(initial)
+        out.append(inserted([min(price + out[-1][to] for _, price, step, to in moves(kind, fault, s) if step) for s in range(4)]))
+    return out[::-1]
 
 
-def search(rows: list[tuple[str, str]], start: int, goals: tuple[int, ...], bounds: list[int]) -> tuple[int, str] | None:
+def search(rows: list[tuple[str, str]], start: int, goals: tuple[int, ...], bounds: list[list[float]]) -> tuple[int, str] | None:
     """The least (cost, audit) that leads from state ``start`` over all rows to one of the ``goals``.
 
     Depth first with a stack of its own, most promising move first. A prefix is dropped if its cost and the bound of
@@ -99,16 +97,17 @@ def search(rows: list[tuple[str, str]], start: int, goals: tuple[int, ...], boun
             continue  # dominated meanwhile
         cost, audit = prefix
         if best is not None:
-            least = cost + bounds[i]
+            least = cost + bounds[i][state]
             if least > best[0] or (least == best[0] and audit > best[1][: len(audit)]):
                 continue
         if i == n and state in goals and (best is None or prefix < best):
             best = prefix
         open_moves = []
-        for letter, price, step, after in moves(rows[i] if i < n else None, state):
+        initial, fault = rows[i] if i < n else (None, "")
+        for letter, price, step, after in moves(None if initial is None else _known(initial), fault, state):
             total = cost + price
-            least = total + bounds[i + step]
-            if best is not None and least > best[0]:
+            least = total + bounds[i + step][after]
+            if least == inf or (best is not None and least > best[0]):
                 continue
             reaching = (total, audit + letter)
             held = reached[i + step][after]
@@ -126,11 +125,11 @@ _WAYS = [(a, b) for a in range(4) for b in range(4) if not (b == START and a !=
 def ways(rows: list[tuple[str, str]], first: bool, last: bool) -> list[tuple[int, int, int, str]]:
     """(state before, state after, cost, audit) of a stretch of rows. Of a conversation's first stretch only ways from
     the start count, of one that is first and last only the best one to an end."""
-    bounds = lower_bounds(rows)
     if first and last:
-        found = search(rows, START, ENDS, bounds)
+        found = search(rows, START, ENDS, lower_bounds(rows, ENDS))
         return [(START, ASSISTANT, *found)]
-    found = ((a, b, search(rows, a, (b,), bounds)) for a, b in _WAYS if not first or a == START)
+    bounds = [lower_bounds(rows, (b,)) for b in range(4)]
+    found = ((a, b, search(rows, a, (b,), bounds[b])) for a, b in _WAYS if not first or a == START)
     return [(a, b, *way) for a, b, way in found if way is not None]
 
 

@@ -48,18 +48,31 @@ def test_search_against_all_edits():
     r = random.Random(1)
     for n in [0, 1, 2, 3, 4] * 60 + [5] * 15:
         rows = some_rows(r, n)
-        assert repair.search(rows, repair.START, repair.ENDS, repair.lower_bounds(rows)) == cheapest(rows), rows
+        assert repair.search(rows, repair.START, repair.ENDS, repair.lower_bounds(rows, repair.ENDS)) == cheapest(rows), rows
 
 
 def test_bounds_never_exceed_what_follows():
     r = random.Random(2)
     for _ in range(400):
         rows = some_rows(r, r.randint(1, 9))
-        bounds = repair.lower_bounds(rows)
-        for i in range(len(rows) + 1):
-            for a in range(4):
-                way = repair.search(rows[i:], a, (repair.START, repair.SYSTEM, repair.USER, repair.ASSISTANT), [0] * (len(rows) - i + 1))
-                assert way[0] >= bounds[i]
+        for goals in [(s,) for s in range(4)] + [repair.ENDS]:
+            bounds = repair.lower_bounds(rows, goals)
+            for i in range(len(rows) + 1):
+                for a in range(4):
+                    if a == repair.SYSTEM or repair.SYSTEM not in goals and repair.START not in goals:
+                        way = repair.search(rows[i:], a, goals, [[0] * 4] * (len(rows) - i + 1))
+                        assert way is None or way[0] >= bounds[i][a]
+
+
+def test_a_long_conversation_takes_few_steps():
+    import time
+
+    r = random.Random(3)
+    rows = some_rows(r, 3000)
+    began = time.process_time()
+    bounds = repair.lower_bounds(rows, repair.ENDS)
+    assert repair.search(rows, repair.START, repair.ENDS, bounds)[0] == bounds[0][repair.START]
+    assert time.process_time() - began < 20
 
 
 @pytest.mark.parametrize("size", [1, 2, 5])
@@ -70,7 +83,7 @@ def test_stretches_join_to_the_best_of_all(size):
         parts = [rows[i : i + size] for i in range(0, len(rows), size)]
         found = [repair.ways(p, k == 0, k == len(parts) - 1 and k == 0) for k, p in enumerate(parts)]
         cost, audits = repair.joined_ways(found)
-        assert (cost, "".join(a for _, a in audits)) == repair.search(rows, repair.START, repair.ENDS, [0] * (len(rows) + 1))
+        assert (cost, "".join(a for _, a in audits)) == repair.search(rows, repair.START, repair.ENDS, repair.lower_bounds(rows, repair.ENDS))
 
 
 def conversations():
