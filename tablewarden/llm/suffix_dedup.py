@@ -202,41 +202,40 @@ class Block:
         self.parse = Parse(np.frombuffer(data, np.uint8), bounds)
         p = self.parse
         self.doc = self.ids[p.text] if len(p.text) else np.zeros(0, np.int64)
-        # Distinct triggers: bucket and 32 bits name one, and another now and then, so that what is said about one
-        # goes by its zone as well; the zone's hash is 0 where zones differ here.
+        # Distinct triggers, each named by its whole hash; the zone's hash is 0 where zones differ here.
         order = np.lexsort((p.zone, p.key))
         key, zone, doc = p.key[order], p.zone[order], self.doc[order]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         end = np.append(begin[1:], len(key))
         self.group = np.zeros(len(key), np.int64)
         self.group[order] = np.repeat(np.arange(len(begin)), end - begin)
-        low = np.uint64(0xFFFFFFFF)
         differ = zone[begin] != zone[end - 1] if len(key) else np.zeros(0, bool)
         self.differ = differ
-        self.zone = np.where(differ, np.uint64(0), np.maximum(zone[begin] & low, np.uint64(1)))
+        self.zone = np.where(differ, np.uint64(0), np.maximum(zone[begin], np.uint64(1)))
         self.least = np.minimum.reduceat(doc, begin) if len(key) else doc
         self.bucket = ((key[begin] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-        self.name = key[begin] & low
+        self.name = key[begin]
         self.n_buckets = n_buckets
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """Bucket and key under which each trigger is announced and told."""
-        return self.bucket, self.name << np.uint64(32) | self.zone
+        return self.bucket, self.name
 
     def of_windows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return ((hashes >> np.uint64(32)) % np.uint64(self.n_buckets)).astype(np.int64), hashes
 
 
-def _announced(block: int, bucket: np.ndarray, key: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
-    """Rows (bucket, block, keys, docs) with each bucket's entries, in the order of their documents."""
+def _announced(block: int, bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, zone: np.ndarray | None = None) -> Iterator[tuple]:
+    """Rows (bucket, block, keys, zones, docs) with each bucket's entries, in the order of their documents."""
     order = np.lexsort((key, doc, bucket))
     bucket, key, doc = bucket[order], key[order], doc[order]
+    zone = np.zeros(0, np.uint64) if zone is None else zone[order]
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else []
     for a, b in zip(edges[:-1], edges[1:]):
-        yield int(bucket[a]), block, key[a:b].tobytes(), _pack(np.diff(doc[a:b], prepend=0))
+        yield int(bucket[a]), block, key[a:b].tobytes(), zone[a:b].tobytes(), _pack(np.diff(doc[a:b], prepend=0))
 
 
-_ENTRIES = "bucket long, block long, keys binary, docs binary"
+_ENTRIES = "bucket long, block long, keys binary, zones binary, docs binary"
 _ANSWERS = "block long, buckets long, keys binary, docs binary"
 
 
@@ -249,7 +248,7 @@ def _announce_triggers(n_buckets: int):
         for frame in frames:
             for row in frame.to_dict("records"):
                 b = Block(row, n_buckets)
-                yield _frame(_announced(row["block"], *b.asked(), b.least), _ENTRIES)
+                yield _frame(_announced(row["block"], *b.asked(), b.least, b.zone), _ENTRIES)
 
     return batches
 
@@ -272,18 +271,19 @@ def _compare_triggers(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: to each block the triggers with an equal zone in a smaller document, which covers all of them
     there; and of those whose zones differ, the ones whose zone the block is the first to hold."""
     key, doc, block = _gathered(frame)
-    order = np.argsort(key, kind="stable")
-    key, doc, block = key[order], doc[order], block[order]
-    name, zone = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
+    zone = np.concatenate([np.frombuffer(z, np.uint64) for z in frame["zones"]])
+    order = np.lexsort((zone, key))
+    key, zone, doc, block = key[order], zone[order], doc[order], block[order]
 
-    def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-        return begin, np.diff(np.append(begin, len(values)))
+    def runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.flatnonzero(np.append(True, new))
+        return begin, np.diff(np.append(begin, len(key)))
 
-    begin, n = runs(key)
+    other = key[1:] != key[:-1]
+    begin, n = runs(other | (zone[1:] != zone[:-1]))
     least = np.repeat(np.minimum.reduceat(doc, begin), n)
     covered = (zone != 0) & (least < doc)
-    begin, n = runs(name)
+    begin, n = runs(other)
     differ = np.repeat((zone[begin] != zone[begin + n - 1]) | (zone[begin] == 0), n) & (np.repeat(n, n) > 1)
     told, tell = np.where(covered, least, _DIFFER), covered | differ
     return _answers(int(frame["bucket"].iloc[0]), block[tell], key[tell], told[tell])
