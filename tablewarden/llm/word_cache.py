@@ -122,35 +122,59 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[\x20\x09-\x0d]+")
 
 
-class ByteLevel:
+class _Encoder:
+    """Ids of texts. The vocabulary's special strings are tokens of their own wherever they stand, and what is between
+    them is encoded as texts are."""
+
+    def __init__(self, library: Tokenizer):
+        self._special = {}
+        for i, t in library.get_added_tokens_decoder().items():
+            if t.lstrip or t.rstrip or t.single_word or t.normalized:
+                raise ValueError(f"special string {t.content!r} takes more than itself")
+            self._special[t.content] = struct.pack("<I", i)
+        longest_first = sorted(self._special, key=len, reverse=True)
+        self._split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
+
+    def _between(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def encode(self, text: str) -> bytes:
+        if not any(s in text for s in self._special):
+            return self._between(text)
+        parts = self._split.split(text)
+        return b"".join(self._special[p] if k % 2 else self._between(p) for k, p in enumerate(parts) if p)
+
+
+class ByteLevel(_Encoder):
     """Byte-level BPE: a match begins before every single space that a visible character follows."""
 
     def __init__(self, path: str, kept: int):
         library = _library(path)
+        super().__init__(library)
         self._starts = _Starts(library, kept)
         self._spaced = _Spaced(library, kept, self._starts)
 
-    def encode(self, text: str) -> bytes:
+    def _between(self, text: str) -> bytes:
         words = _SAFE.split(text) if _ODD.search(text) or text.endswith(" ") else text.split(" ")
         return self._starts[words[0]] + b"".join(map(self._spaced.__getitem__, words[1:]))
 
 
-class WordLevel:
+class WordLevel(_Encoder):
     """BPE with word ends: white space only separates."""
 
     def __init__(self, path: str, kept: int):
-        self._words = _Bare(_library(path), kept)
+        library = _library(path)
+        super().__init__(library)
+        self._words = _Bare(library, kept)
 
-    def encode(self, text: str) -> bytes:
+    def _between(self, text: str) -> bytes:
         words = _BLANKS.split(text) if _CONTROL.search(text) else text.split()
         return b"".join(map(self._words.__getitem__, words))
 
 
 def _library(path: str) -> Tokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True  # their strings in a text are ordinary text
-    return library
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(maxsize=4)

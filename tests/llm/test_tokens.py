@@ -13,14 +13,13 @@ from tablewarden.llm import token_codec, token_store, word_cache
 from tablewarden.llm.common import shared_path
 
 PARTS = [" ", "  ", "\n", "\n\n", "\t", "a", "don't", "'s", "it's,", "a.", "Ünder", "É.", "é", "é", "12", "..", ",", " ", " ",
-         "\x1c", "\u0085", "中文", "🙂", "ς", "Σ", "İ", "İ,", "ß.", "the", "The", "<|endoftext|>", "ﬁ", "̀", "\r\n", "x.\ny", "\x0b", "\0"]
-TEXTS = [None, "", " ", "plain words here", "a" * 70_000, " " * 3000 + "x", "x" + "\n" * 5000, "ab cd " * 20_000, "é" * 200, "same", "same"]
+         "\x1c", "\u0085", "中文", "🙂", "ς", "Σ", "İ", "İ,", "ß.", "the", "The", "<|endoftext|>", "<|startoftext|>", "<|END", "<|", "ﬁ", "̀", "\r\n", "x.\ny", "\x0b", "\0"]
+TEXTS = [None, "", " ", "plain words here", "a" * 70_000, " " * 3000 + "x", "x" + "\n" * 5000, "ab cd " * 20_000, "é" * 200, "same", "same",
+         "x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|startoftext|>b  <|endoftext|> c", "e<|endoftext|>\u0301"]
 
 
 def library(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def mixed(seed, n):
@@ -31,7 +30,7 @@ def mixed(seed, n):
 @pytest.mark.parametrize("name, made", [("byte_bpe_50k.json", word_cache.byte_level), ("word_bpe_49k.json", word_cache.word_level)])
 def test_cached_words_give_what_the_library_gives(name, made):
     t, encode = library(name), made(public_tokenizers.path(name), 50).encode
-    for text in mixed(1, 4000):
+    for text in [t for t in TEXTS if t] + mixed(1, 4000):
         assert encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
