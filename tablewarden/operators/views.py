@@ -118,12 +118,22 @@ def masked_view_ddl(tables: DataFrame, columns: DataFrame, view_name: str | None
 
 
 def _column_list(df: DataFrame, meta: DataFrame) -> list:
-    """The active described columns that the table has, in order: a projection's names are in the driver anyway."""
+    """The active described columns that the table has, in order: a projection's names are in the driver anyway.
+
+    Of several descriptions of one column, whatever the case of its name, the strictest holds: it is free of personal
+    data only if all say so, masked if one says so, and masked by a rule that none names if their rules differ.
+    """
     own = [c.upper() for c in df.columns]
+    rule = F.when((F.col("MASKING_YN") == "Y") & ~is_blank(F.col("MASKING_RULE_CD")), F.col("MASKING_RULE_CD"))
     return (
         meta.filter((F.col("STATUS_CD") == "ACTIVE") & F.upper("COLUMN_NAME").isin(own))
-        .select("COLUMN_NAME", "COLUMN_ORDER", "PCI_YN", "MASKING_YN", "MASKING_RULE_CD")
-        .dropDuplicates(["COLUMN_NAME"])
+        .groupBy(F.upper("COLUMN_NAME").alias("COLUMN_NAME"))
+        .agg(
+            F.min("COLUMN_ORDER").alias("COLUMN_ORDER"),
+            F.min(F.coalesce(F.col("PCI_YN") == "N", F.lit(False))).alias("open"),
+            F.min(rule).alias("rule"),
+            (F.min(rule) != F.max(rule)).alias("differ"),
+        )
         .orderBy("COLUMN_ORDER", "COLUMN_NAME")
         .collect()
     )
@@ -141,13 +151,12 @@ def masked_view(df: DataFrame, meta: DataFrame) -> DataFrame:
     have = _actual(df)
     shown = []
     for c in _column_list(df, meta):
-        name = have[c.COLUMN_NAME.upper()]
-        flagged = c.MASKING_YN == "Y" and c.MASKING_RULE_CD
-        shown.append((mask(F.col(name), c.MASKING_RULE_CD) if flagged else F.col(name)).alias(name))
+        name = have[c.COLUMN_NAME]
+        shown.append((mask(F.col(name), "" if c.differ else c.rule) if c.rule else F.col(name)).alias(name))
     return df.select(shown)
 
 
 def restricted_view(df: DataFrame, meta: DataFrame) -> DataFrame:
     """The data table without its columns that hold personal data."""
     have = _actual(df)
-    return df.select([have[c.COLUMN_NAME.upper()] for c in _column_list(df, meta) if c.PCI_YN == "N"])
+    return df.select([have[c.COLUMN_NAME] for c in _column_list(df, meta) if c.open])

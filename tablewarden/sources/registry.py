@@ -118,8 +118,12 @@ def publish(
 
     ``base`` is the version that the rows were computed from: if another one has been published since,
     nothing becomes visible and the call fails. With ``check`` the same happens where an appended row, or a
-    replaced one that carries this time of change, breaks a declared rule.
+    replaced one that carries this time of change, breaks a declared rule. The version is compared once more when all
+    rows are written, so that a version published meanwhile is not lost from the manifest.
     """
+    both = sorted(set(append or {}) & set(replace or {}))
+    if both:
+        raise ValueError(f"rows both appended to and replacing {', '.join(both)}")
     old = current_version(spark, root)
     if base is not None and base != old.number:
         raise RuntimeError(f"version {old.number} was published after version {base} had been read")
@@ -148,6 +152,9 @@ def publish(
         new.history.setdefault(name, []).append(path)
     if check:
         _refuse_violations(spark, old, new, set(append or {}), set(replace or {}), as_of)
+    now = current_version(spark, root).number
+    if now != old.number:
+        raise RuntimeError(f"version {now} was published while rows on version {old.number} were being written")
     row = [(new.number, as_of, new.main, new.history)]
     spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").json(f"{root}/manifest")
     return new

@@ -300,6 +300,32 @@ def test_a_batch_that_breaks_a_rule_is_not_published(spark, ask, main, tmp_path)
     assert current_version(spark, root) == before
 
 
+def test_a_version_published_meanwhile_is_not_lost(spark, main, tmp_path, monkeypatch):
+    from tablewarden.sources import registry
+
+    root = str(tmp_path)
+    publish(spark, root, AS_OF, append=complete(main))
+    wrote = registry._write
+
+    def interrupted(*given):
+        monkeypatch.setattr(registry, "_write", wrote)
+        publish(spark, root, AS_OF)  # another batch, while this one writes
+        return wrote(*given)
+
+    monkeypatch.setattr(registry, "_write", interrupted)
+    with pytest.raises(RuntimeError, match="version 2 was published"):
+        publish(spark, root, AS_OF, replace={"table": complete(main)["table"].limit(0)})
+    assert current_version(spark, root).number == 2
+    assert registry.read_registry(spark, root, "table").count() == main["table"].count()
+
+
+def test_rows_are_appended_or_replaced_not_both(spark, main, tmp_path):
+    table = complete(main)["table"]
+    with pytest.raises(ValueError, match="table"):
+        publish(spark, str(tmp_path), AS_OF, append={"table": table}, replace={"table": table})
+    assert current_version(spark, str(tmp_path)).number == 0
+
+
 def test_violations_of_added_rows(frame, main):
     known = complete(main)["column"]
     twice = known.filter("COLUMN_ID = 1")

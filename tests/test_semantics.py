@@ -115,3 +115,16 @@ def test_declared_rules(frame):
     assert rows(found) == sorted([
         (10**12, "TABLE_ID", "too large"), (10**12, "SERVICE_CD", "null"),
         (10**12, "STATUS_CD", "too long"), (10**12, "VIEW_YN", "value")], key=repr)
+
+
+def test_views_take_the_strictest_of_several_descriptions(spark, frame):
+    def told(name, pci, masking="N", rule=None, order=1):
+        return dict(TABLE_ID=1, COLUMN_NAME=name, COLUMN_ORDER=order, PCI_YN=pci, MASKING_YN=masking, MASKING_RULE_CD=rule, STATUS_CD="ACTIVE")
+
+    given = [told("SSN", "N"), told("ssn", "Y"), told("B", None, order=2), told("c", "N", "Y", "NAME", 3), told("C", "N", order=4),
+             told("D", "N", "Y", "CARD", 5), told("d", "N", "Y", "NAME", 5), told("E", "N", "Y", "", 6)]
+    meta = frame("column", [dict(COLUMN_ID=i, **row) for i, row in enumerate(given)])
+    data = spark.createDataFrame([("s", "b", "Kim", "Lee", "e")], "ssn string, b string, c string, d string, e string")
+    for order in (meta, meta.orderBy("COLUMN_ID"), meta.orderBy(meta["COLUMN_ID"].desc())):
+        assert views.restricted_view(data, order).columns == ["c", "d", "e"]
+        assert rows(views.masked_view(data, order)) == [("s", "b", "K**", "********", "e")]
