@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.text import join_text
 from tablewarden.operators.history import INITIAL_LOAD
-from tablewarden.operators.joins import not_in
+from tablewarden.operators.joins import in_set, not_in
 from tablewarden.schemas import HISTORY_RULES, HISTORY_TYPES, Entity
 from tablewarden.sources.codes import CODE_SEED
 
@@ -243,3 +243,14 @@ def publish_violations(
         lost = orphans(added, parents, {column: column}, unique=True)
         rules = rules.unionByName(_first(lost, entity, key, F.lit("foreign key")))
     return rules
+
+
+def children_of(rows: DataFrame, entity: Entity, gone: DataFrame) -> DataFrame:
+    """(entity, rule, key) of an entity's rows whose parent is among the removed keys.
+
+    A semi-join: few removed keys are broadcast by their bytes, and more of them reach the scan of the rows as a
+    Bloom filter where Spark's runtime filters are on, so that the rows of other parents are not shuffled.
+    """
+    column = entity.parent[1]
+    left = in_set(rows, gone, {column: column})
+    return _first(left, entity, list(entity.primary_key), F.lit("parent removed"))

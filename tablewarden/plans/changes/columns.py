@@ -15,8 +15,8 @@ from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id, next_ordinals
 from tablewarden.operators.joins import in_set, not_in
 from tablewarden.plans.changes.common import (
-    OUT_OF_USE, Change, audit, begin, changed, find_object, find_table, patch,
-    reject_repeats, settle, statements, with_errors, with_request,
+    OUT_OF_USE, Change, audit, begin, find_object, find_table, fold_patches, patch,
+    reject_after_removal, reject_repeats, reject_same_turns, settle, statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, ENTITIES
 
@@ -188,16 +188,18 @@ def _patches() -> dict:
 
 def column_modify(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """Columns patched field by field. The flags and the sensitivity are always written, so a
-    request must state them."""
+    request must state them. Several requests for one column take effect in the order of their turns,
+    each with its own history row."""
     stated = [*ALWAYS_WRITTEN.values(), "sensitivityCd"]
     rows = with_errors(
         _named(requests, "column_modify"),
         [*_name_checks(), _size_check(), *[check_present(f, F.col(f).cast("string")) for f in stated]],
     )
-    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"])
+    rows = find_table(reject_same_turns(rows), main["table"])
     batch = settle(find_object(rows, main["column"], _KEY, "colName", expected=True))
     good = batch.good
-    patched = patch(main["column"], good, _KEY, _patches(), as_of)
+    folded = fold_patches(good, _KEY, _patches())
+    images = patch(main["column"], folded, _KEY, as_of, "every")
     alter, default, comment, primary, unique, foreign = _pieces()
     kind = F.when(~is_blank(F.col("dataType")), F.concat(F.lit(" "), _type())).otherwise(F.lit(""))
     modify = F.concat(
@@ -213,10 +215,9 @@ def column_modify(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Cha
             ],
         ),
         rejects=batch.rejects,
-        replace={"column": patched.select(*COLUMN.names)},
-        history={
-            "column": snapshot(changed(patched), COLUMN, "U", F.col("_reason"), F.col("_actor"), as_of)
-        },
+        replace={"column": patch(main["column"], folded, _KEY, as_of).select(*COLUMN.names)},
+        history={"column": snapshot(images, COLUMN, "U", F.col("_reason"), F.col("_actor"), as_of)},
+        update={"column": patch(main["column"], folded, _KEY, as_of, "changed").select(*COLUMN.names)},
     )
 
 
@@ -273,26 +274,30 @@ def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_his
     """Columns put out of use (SOFT), or removed with their index entries and the indexes that
     are left without any (HARD). Remaining index positions keep their numbers.
 
-    Index entries get no history unless ``full_history`` asks for it.
+    Index entries get no history unless ``full_history`` asks for it. A column may be put out of use and removed
+    later in the same batch; what comes after its removal finds it no more.
     """
     rows = _named(requests, "column_drop")
     known_mode = F.coalesce(F.col("mode").isin("SOFT", "HARD"), F.lit(False))
     rows = with_errors(rows, [*_name_checks(), F.when(~known_mode, problem("mode", F.col("mode"), "value"))])
-    rows = find_table(reject_repeats(rows, ["_schema", "_table", "_column"]), main["table"])
+    is_soft = F.coalesce(F.col("mode") == "SOFT", F.lit(False))
+    rows = reject_after_removal(rows, ["_schema", "_table", "_column"], ~is_soft, "colName")
+    rows = find_table(rows, main["table"])
     batch = settle(find_object(rows, main["column"], _KEY, "colName", expected=True))
     good = batch.good
-    is_soft = F.coalesce(F.col("mode") == "SOFT", F.lit(False))
     soft, hard = good.filter(is_soft), good.filter(~is_soft)
-    patched = patch(
-        main["column"], soft, _KEY, {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of
-    )
-    updated = snapshot(changed(patched), COLUMN, "U", F.col("_reason"), F.col("_actor"), as_of)
-    replace, history = {"column": patched.select(*COLUMN.names)}, {"column": updated}
+    folded = fold_patches(soft, _KEY, {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))})
+    patched = patch(main["column"], folded, _KEY, as_of).select(*COLUMN.names)
+    images = patch(main["column"], folded, _KEY, as_of, "every")
+    updated = snapshot(images, COLUMN, "U", F.col("_reason"), F.col("_actor"), as_of)
+    replace, history = {"column": patched}, {"column": updated}
+    update = {"column": patch(main["column"], folded, _KEY, as_of, "changed").select(*COLUMN.names)}
+    remove = {}
     if not hard.isEmpty():
         dropped = hard.select(
             "TABLE_ID", F.col("_column").alias("COLUMN_NAME"), "request_seq", "reason", "_actor"
         )
-        removed, rest = _removal(main, dropped)
+        removed, rest = _removal(main | {"column": patched}, dropped)
         deleted = {
             n: snapshot(rows, ENTITIES[n], "D", F.col("reason"), F.col("_actor"), as_of)
             for n, rows in removed.items() if full_history or n != "index_column"
@@ -302,6 +307,8 @@ def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_his
         replace = rest | {
             "column": not_in(replace["column"], dropped, same, unique=True)
         }
+        update = {"column": not_in(update["column"], dropped, same, unique=True)}
+        remove = removed
     drop = F.concat(
         F.lit("ALTER TABLE "), F.concat_ws(".", "_schema", "_table"),
         F.lit(" DROP COLUMN "), "_column", F.lit(";"),
@@ -311,4 +318,6 @@ def column_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_his
         rejects=batch.rejects,
         replace=replace,
         history=history,
+        update=update,
+        remove=remove,
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.names import ERROR_TYPE, check_present, errors, problem
+from tablewarden.operators.fold import fold_in_order
 from tablewarden.operators.history import with_history_ids
 from tablewarden.operators.ids import last_id
 from tablewarden.operators.joins import in_set, resolve_ids
@@ -22,14 +23,18 @@ _ON_TABLE = {"_schema": "SCHEMA_NAME", "_table": "TABLE_NAME"}
 
 @dataclass
 class Change:
-    """Effect of a batch: added rows and whole new versions per entity, history rows without ids,
-    statements (request_id, step, statement), and rejected requests with all their errors."""
+    """Effect of a batch: added rows, changed rows and rows that go per entity, history rows without ids,
+    statements (request_id, step, statement), and rejected requests with all their errors.
+
+    ``replace`` shows whole entities as they are after the batch; publishing needs ``update`` and ``remove`` only."""
 
     ddl: DataFrame
     rejects: DataFrame
     append: dict[str, DataFrame] = field(default_factory=dict)
     replace: dict[str, DataFrame] = field(default_factory=dict)
     history: dict[str, DataFrame] = field(default_factory=dict)
+    update: dict[str, DataFrame] = field(default_factory=dict)
+    remove: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def begin(requests: DataFrame, kind: str) -> DataFrame:
@@ -62,26 +67,39 @@ def add_error(rows: DataFrame, failed: Column, field_name: str, value: Column, r
     return rows.withColumn("errors", F.when(failed, F.concat("errors", one)).otherwise(F.col("errors")))
 
 
-def reject_repeats(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Only the earliest good request per object goes on; a batch changes an object once. Requests that
-    share their id and turn are all in error, so the earliest is one request."""
-    turn = F.struct("request_seq", "request_id")
+def reject_same_turns(rows: DataFrame) -> DataFrame:
+    """Requests that share their id and turn are all in error, so that turns order the others."""
     met = rows.groupBy(F.col("request_id").alias("_id"), F.col("request_seq").alias("_seq")).agg(F.count(F.lit(1)).alias("_n"))
     names = rows.columns
     rows = rows.join(met.where("_n > 1"), (F.col("request_id") == F.col("_id")) & (F.col("request_seq") == F.col("_seq")), "left")
-    rows = add_error(rows, F.col("_n").isNotNull(), "request_id", F.col("request_id"), "duplicate").select(*names)
+    return add_error(rows, F.col("_n").isNotNull(), "request_id", F.col("request_id"), "duplicate").select(*names)
+
+
+def _reject_later(rows: DataFrame, key: list[str], ends: Column, failed: tuple[str, str]) -> DataFrame:
+    """An error for good requests that come after their object's earliest good one for which ``ends`` holds."""
+    turn = F.struct("request_seq", "request_id")
     # The test stays inside the aggregate: as a filter it would be pushed below the error list
     # and evaluate all the checks twice.
     earliest = rows.groupBy(*[F.col(k).alias(f"_of{k}") for k in key]).agg(
-        F.min(F.when(F.size("errors") == 0, turn)).alias("_earliest")
+        F.min(F.when((F.size("errors") == 0) & ends, turn)).alias("_earliest")
     )
     same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in key]
     joined = rows.join(earliest, same, "left")
-    later = (F.size("errors") == 0) & (turn > F.col("_earliest"))
-    marked = add_error(joined, later, "request", F.col(key[-1]), "duplicate")
+    later = F.coalesce((F.size("errors") == 0) & (turn > F.col("_earliest")), F.lit(False))
+    marked = add_error(joined, later, failed[0], F.col(key[-1]), failed[1])
     return marked.select(*rows.columns)
 
 
+def reject_repeats(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Only the earliest good request per object goes on, where a batch can make an object once."""
+    return _reject_later(reject_same_turns(rows), key, F.lit(True), ("request", "duplicate"))
+
+
+def reject_after_removal(rows: DataFrame, key: list[str], removes: Column, field_name: str) -> DataFrame:
+    """Requests take effect one after the other: those behind the one that removes their object find it no more."""
+    return _reject_later(reject_same_turns(rows), key, F.coalesce(removes, F.lit(False)), (field_name, "unknown"))
+
+
 def find_table(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Rows with the TABLE_ID of the table they name; an unknown table is an error."""
     found = resolve_ids(rows, asked_for(tables, rows, _ON_TABLE), _ON_TABLE, "TABLE_ID")
@@ -140,41 +158,44 @@ def with_request(rows: DataFrame, entity) -> DataFrame:
     )
 
 
-def patch(
-    main: DataFrame,
-    good: DataFrame,
-    on: dict[str, str],
-    fields: dict[str, tuple[Column, Column]],
-    as_of,
-) -> DataFrame:
-    """Main rows, rewritten where a request names them.
+def fold_patches(good: DataFrame, on: dict[str, str], fields: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Requests with what they and the earlier ones of their object write together, in the order of their turns.
+
+    ``on`` maps request columns to the registry's. ``fields`` maps a registry column to (when to write it, its
+    value), both over the request's columns; of several requests that write a field, the latest holds.
+    ``_is_last`` marks the request after which the object is done. Written once: rows and history go back to it.
+    """
+    new = {f"_new_{c}": F.when(cond, F.struct(value.alias("v"))) for c, (cond, value) in fields.items()}
+    named = good.select(
+        *[F.col(k).alias(f"_of{k}") for k in on], "request_seq", "request_id", F.col("reason").alias("_reason"), "_actor",
+        *[value.alias(name) for name, value in new.items()],
+    )
+    key = [f"_of{k}" for k in on]
+    return durable(fold_in_order(named, key, ["request_seq", "request_id"], list(new), "_is_last"))
 
-    ``fields`` maps a column to (when to write it, its value), both over the request's columns.
-    The rows keep ``_reason`` and ``_actor`` of their request, NULL where there was none.
+
+def patch(main: DataFrame, folded: DataFrame, on: dict[str, str], as_of, how: str = "left") -> DataFrame:
+    """Main rows with the patches of ``fold_patches`` written into them.
+
+    The default gives every row, as it is after its last request, and keeps ``_reason`` and ``_actor`` of that
+    request, NULL where there was none. ``"every"`` gives one image of the row per request instead, for the
+    history, and ``"changed"`` only the rows that have a request.
     """
-    key = list(on)
-    new = good.select(
-        *[F.col(k).alias(f"_of{k}") for k in key],
-        F.col("reason").alias("_reason"),
-        F.col("_actor"),
-        *[F.when(cond, F.struct(value.alias("v"))).alias(f"_new_{c}") for c, (cond, value) in fields.items()],
+    new = folded if how == "every" else folded.filter("_is_last")
+    joined = main.join(
+        new, [F.col(b) == F.col(f"_of{a}") for a, b in on.items()], "left" if how == "left" else "inner"
     )
-    joined = main.join(new, [F.col(on[k]) == F.col(f"_of{k}") for k in key], "left")
     hit = F.col("_actor").isNotNull()
     types = {f.name: f.dataType for f in main.schema.fields}
     changes = {
         c: F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.v").cast(types[c])).otherwise(F.col(c))
-        for c in fields
+        for c in [n.removeprefix("_new_") for n in folded.columns if n.startswith("_new_")]
     }
     changes["UPDATED_BY"] = F.when(hit, F.col("_actor")).otherwise(F.col("UPDATED_BY"))
     changes["UPDATED_AT"] = F.when(hit, F.lit(as_of).cast("timestamp")).otherwise(F.col("UPDATED_AT"))
     return joined.withColumns(changes).select(*main.columns, "_reason", "_actor")
 
 
-def changed(patched: DataFrame) -> DataFrame:
-    return patched.filter(F.col("_actor").isNotNull())
-
-
 def statements(good: DataFrame, steps: list[tuple[Column, Column]]) -> DataFrame:
     """One row per statement of each request: those steps whose condition holds, numbered."""
     all_steps = F.array(
@@ -194,5 +215,8 @@ def run_changes(spark: SparkSession, root: str, apply, requests: DataFrame, as_o
         name: with_history_ids(rows, last_id(history[name], "HIST_ID"))
         for name, rows in change.history.items()
     }
-    publish(spark, root, as_of, change.append, change.replace, numbered, version.number, check=True)
+    publish(
+        spark, root, as_of, append=change.append, history=numbered, base=version.number, check=True,
+        update=change.update, remove=change.remove,
+    )
     return change

@@ -11,7 +11,7 @@ from tablewarden.functions.types import parse_index_columns
 from tablewarden.operators.filters import conform
 from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id
-from tablewarden.operators.joins import not_in
+from tablewarden.operators.joins import in_set, not_in
 from tablewarden.plans.changes.common import (
     Change, add_error, asked_for, audit, begin, find_object, find_table, reject_repeats,
     settle, statements, with_errors, with_request,
@@ -179,4 +179,5 @@ def index_drop(main: dict[str, DataFrame], requests: DataFrame, as_of, full_hist
             "index": not_in(main["index"], gone, same, unique=True),
         },
         history=history,
+        remove={"index": removed, "index_column": in_set(main["index_column"], gone, same, unique=True)},
     )

@@ -12,7 +12,7 @@ from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id
 from tablewarden.operators.joins import not_in
 from tablewarden.plans.changes.common import (
-    Change, audit, begin, changed, find_object, patch, reject_repeats, settle,
+    Change, audit, begin, find_object, fold_patches, patch, reject_repeats, reject_same_turns, settle,
     statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, SEQUENCE
@@ -110,10 +110,11 @@ DDL_FIELDS = ["incrementBy", "minValue", "maxValue", "cacheSize", "cycleYn", "or
 def sequence_alter(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """Sequences with the stated fields overwritten; a field left empty keeps its value.
 
-    The two switches are written when touched, the statement when any of its fields was.
+    The two switches are written when touched, the statement when any of its fields was. Several requests for one
+    sequence take effect in the order of their turns, each with its own history row.
     """
     rows = with_errors(_named(requests, "sequence_alter"), [*_name_checks(), *_use_checks()])
-    rows = reject_repeats(rows, ["_schema", "_sequence"])
+    rows = reject_same_turns(rows)
     rows = find_object(rows, main["sequence"], _KEY, "seqName", expected=True)
     touched = F.coalesce(F.col("touched"), F.array().cast("array<string>"))
     rows = rows.withColumns(
@@ -142,16 +143,14 @@ def sequence_alter(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Ch
     fields["CYCLE_YN"] = (F.array_contains(touched, "cycleYn"), yes_no(F.col("cycleYn")))
     fields["ORDER_YN"] = (F.array_contains(touched, "orderYn"), yes_no(F.col("orderYn")))
     fields["CREATE_DDL"] = (F.col("_ddl_changed"), F.col("_ddl"))
-    patched = patch(main["sequence"], good, _KEY, fields, as_of)
+    folded = fold_patches(good, _KEY, fields)
+    images = patch(main["sequence"], folded, _KEY, as_of, "every")
     return Change(
         ddl=statements(good, [(F.col("_ddl_changed"), F.col("_ddl"))]),
         rejects=batch.rejects,
-        replace={"sequence": patched.select(*SEQUENCE.names)},
-        history={
-            "sequence": snapshot(
-                changed(patched), SEQUENCE, "U", F.col("_reason"), F.col("_actor"), as_of
-            )
-        },
+        replace={"sequence": patch(main["sequence"], folded, _KEY, as_of).select(*SEQUENCE.names)},
+        history={"sequence": snapshot(images, SEQUENCE, "U", F.col("_reason"), F.col("_actor"), as_of)},
+        update={"sequence": patch(main["sequence"], folded, _KEY, as_of, "changed").select(*SEQUENCE.names)},
     )
 
 
@@ -172,4 +171,5 @@ def sequence_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Cha
         rejects=batch.rejects,
         replace={"sequence": not_in(main["sequence"], gone, same, unique=True)},
         history={"sequence": snapshot(removed, SEQUENCE, "D", F.col("reason"), F.col("_actor"), as_of)},
+        remove={"sequence": removed},
     )

@@ -16,8 +16,8 @@ from tablewarden.operators.history import snapshot
 from tablewarden.operators.ids import assign_ids, last_id
 from tablewarden.operators.joins import not_in
 from tablewarden.plans.changes.common import (
-    OUT_OF_USE, Change, add_error, audit, begin, changed, find_object, find_table, patch,
-    reject_repeats, settle, statements, with_errors, with_request,
+    OUT_OF_USE, Change, add_error, audit, begin, find_object, find_table, fold_patches,
+    patch, reject_after_removal, reject_repeats, settle, statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, ENTITIES, SEQUENCE, TABLE
 
@@ -302,7 +302,8 @@ def _removal(main: dict[str, DataFrame], hard: DataFrame):
 def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change:
     """Tables put out of use (SOFT), or removed with columns, indexes and index columns (HARD).
 
-    Sequences stay: they name their table but do not belong to it.
+    Sequences stay: they name their table but do not belong to it. A table may be put out of use and removed
+    later in the same batch; what comes after its removal finds it no more.
     """
     rows = begin(requests, "table_drop").withColumns(
         {"_schema": F.upper("schema"), "_table": ensure_prefix(F.col("tableName"), "TB")}
@@ -316,18 +317,22 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
             F.when(~known_mode, problem("mode", F.col("mode"), "value")),
         ],
     )
-    rows = find_table(reject_repeats(rows, ["_schema", "_table"]), main["table"])
-    batch = settle(rows)
+    rows = reject_after_removal(rows, ["_schema", "_table"], F.col("mode") == "HARD", "tableName")
+    batch = settle(find_table(rows, main["table"]))
     good = batch.good
     soft, hard = good.filter("mode = 'SOFT'"), good.filter("mode = 'HARD'")
-    patched = patch(
-        main["table"], soft, {"TABLE_ID": "TABLE_ID"},
-        {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))}, as_of,
-    )
-    updated = snapshot(changed(patched), TABLE, "U", F.col("_reason"), F.col("_actor"), as_of)
-    replace, history = {"table": patched.select(*TABLE.names)}, {"table": updated}
+    key = {"TABLE_ID": "TABLE_ID"}
+    folded = fold_patches(soft, key, {"STATUS_CD": (F.lit(True), F.lit(OUT_OF_USE))})
+    patched = patch(main["table"], folded, key, as_of).select(*TABLE.names)
+    images = patch(main["table"], folded, key, as_of, "every")
+    updated = snapshot(images, TABLE, "U", F.col("_reason"), F.col("_actor"), as_of)
+    replace, history = {"table": patched}, {"table": updated}
+    update = {"table": patch(main["table"], folded, key, as_of, "changed").select(*TABLE.names)}
+    remove = {}
     if not hard.isEmpty():
-        removed, rest = _removal(main, hard)
+        removed, rest = _removal(main | {"table": patched}, hard)
+        update = {"table": not_in(update["table"], hard, key, unique=True)}
+        remove = removed
         deleted = {
             n: snapshot(rows, ENTITIES[n], "D", F.col("reason"), F.col("_actor"), as_of)
             for n, rows in removed.items()
@@ -341,7 +346,7 @@ def table_drop(main: dict[str, DataFrame], requests: DataFrame, as_of) -> Change
     drop = F.concat(F.lit("DROP TABLE "), F.concat_ws(".", "_schema", "_table"), F.lit(";"))
     return Change(
         ddl=statements(good, [(F.col("mode") == "HARD", drop)]),
-        rejects=batch.rejects, replace=replace, history=history,
+        rejects=batch.rejects, replace=replace, history=history, update=update, remove=remove,
     )
 
 

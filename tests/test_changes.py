@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tablewarden.operators import integrity
 from tablewarden.plans import changes
 from tablewarden.schemas import ENTITIES, REQUESTS
-from tablewarden.sources.registry import current_version, publish, read_all
+from tablewarden.sources.registry import current_version, part_of, publish, read_all
 
 AS_OF = dt.datetime(2024, 5, 1)
 
@@ -305,14 +305,14 @@ def test_a_version_published_meanwhile_is_not_lost(spark, main, tmp_path, monkey
 
     root = str(tmp_path)
     publish(spark, root, AS_OF, append=complete(main))
-    wrote = registry._write
+    wrote = registry._write_parts
 
     def interrupted(*given):
-        monkeypatch.setattr(registry, "_write", wrote)
+        monkeypatch.setattr(registry, "_write_parts", wrote)
         publish(spark, root, AS_OF)  # another batch, while this one writes
         return wrote(*given)
 
-    monkeypatch.setattr(registry, "_write", interrupted)
+    monkeypatch.setattr(registry, "_write_parts", interrupted)
     with pytest.raises(RuntimeError, match="version 2 was published"):
         publish(spark, root, AS_OF, replace={"table": complete(main)["table"].limit(0)})
     assert current_version(spark, root).number == 2
@@ -391,3 +391,81 @@ def test_table_create_refuses_repeated_columns_and_sequence_clashes(ask, main):
         1: [("columns", "duplicate")], 2: [("pkSeqGenYn", "exists")], 4: [("tableName", "exists")],
         7: [("pkSeqGenYn", "duplicate")]}
     assert rows(done.append["sequence"], "SEQUENCE_NAME") == [("SEQ_A2_K",), ("SEQ_A_B_C",), ("SEQ_N_B_C_D",)]
+
+
+def test_several_requests_for_one_column_fold_in_their_order(ask, main):
+    flags = dict(nullableYn=False, pciYn=True, sensitivityCd="HIGH", encryptionYn=False, maskingYn=True)
+    done = changes.column_modify(main, ask(
+        "column_modify",
+        dict(tableName="a", colName="x", request_seq=9, emp_id="late", touched=["dataLength"], dataLength="9", **flags | {"pciYn": False}),
+        dict(tableName="a", colName="x", request_seq=2, emp_id="early", touched=["logicalName", "dataLength"],
+             logicalName="first", dataLength="5", **flags),
+        dict(tableName="a", colName="y", request_seq=1, touched=["logicalName"], **flags)), AS_OF)
+    assert done.rejects.count() == 0
+    after = {r.COLUMN_ID: r for r in done.update["column"].collect()}
+    assert sorted(after) == [1, 2]
+    x = after[1]
+    assert (x.LOGICAL_NAME, x.DATA_LENGTH, x.PCI_YN, x.UPDATED_BY) == ("first", 9, "N", "late")
+    # A field that was touched and empty is NULL, not the value before.
+    assert after[2].LOGICAL_NAME is None
+    images = done.history["column"].filter("COLUMN_ID = 1")
+    assert rows(images, "HIST_BY", "LOGICAL_NAME", "DATA_LENGTH", "PCI_YN") == [
+        ("early", "first", 5, "Y"), ("late", "first", 9, "N")]
+    assert done.history["column"].count() == 3
+    whole = {r.COLUMN_ID: r for r in done.replace["column"].collect()}
+    assert len(whole) == 4 and whole[1] == x
+
+
+def test_a_table_is_put_out_of_use_and_then_removed(ask, main):
+    done = changes.table_drop(main, ask(
+        "table_drop", dict(tableName="a", mode="SOFT", emp_id="s1"), dict(tableName="a", mode="SOFT", emp_id="s2"),
+        dict(tableName="a", mode="HARD", emp_id="h"), dict(tableName="a", mode="SOFT")), AS_OF)
+    assert reasons(done) == {4: [("tableName", "unknown")]}
+    assert done.update["table"].count() == 0
+    assert rows(done.remove["table"], "TABLE_ID") == [(1,)]
+    assert rows(done.history["table"], "HIST_TYPE", "HIST_BY", "STATUS_CD", "UPDATED_BY") == [
+        ("D", "h", "DEPRECATED", "s2"), ("U", "s1", "DEPRECATED", "s1"), ("U", "s2", "DEPRECATED", "s2")]
+    done = changes.column_drop(main, ask(
+        "column_drop", dict(tableName="a", colName="x", mode="SOFT"), dict(tableName="a", colName="x", mode="HARD")), AS_OF)
+    assert rows(done.history["column"], "HIST_TYPE", "STATUS_CD") == [("D", "DEPRECATED"), ("U", "DEPRECATED")]
+    assert rows(done.remove["column"], "COLUMN_ID") == [(1,)]
+
+
+def test_a_batch_writes_only_the_parts_it_touches(spark, ask, main, tmp_path):
+    root = str(tmp_path)
+    many = spark.range(200).select(
+        F.lit(None).cast("string").alias("_"), (F.col("id") + 100).alias("COLUMN_ID"), F.lit(2).cast("long").alias("TABLE_ID"),
+        F.concat(F.lit("M"), "id").alias("COLUMN_NAME"), F.lit("CHAR").alias("DATA_TYPE"), F.lit("ACTIVE").alias("STATUS_CD")).drop("_")
+    filled = complete(main | {"column": main["column"].unionByName(many, allowMissingColumns=True)})
+    publish(spark, root, AS_OF, append=filled, parts=8)
+    before = current_version(spark, root)
+    assert before.parts == 8 and len(before.main["column"]) == 8
+    changes.run_changes(spark, root, changes.column_drop, ask("column_drop", dict(tableName="a", colName="x", mode="SOFT")), AS_OF)
+    soft = current_version(spark, root)
+    kept = set(before.main["column"]) & set(soft.main["column"])
+    assert len(kept) == 7 and len(soft.main["column"]) == 8
+    assert all(soft.main[n] == before.main[n] for n in before.main if n != "column")
+    found = rows(read_all(spark, root)[0]["column"], "COLUMN_ID", "STATUS_CD")
+    assert found == sorted((
+        (r.COLUMN_ID, "DEPRECATED" if r.COLUMN_ID == 1 else r.STATUS_CD) for r in filled["column"].collect()), key=repr)
+    # Removing every row of a part leaves no folder for it; nothing else is written.
+    key = part_of(ENTITIES["column"], 8)
+    gone = filled["column"].filter(key == 3)
+    publish(spark, root, AS_OF, remove={"column": gone})
+    last = current_version(spark, root)
+    assert [p for p in soft.main["column"] if not p.endswith("part=3")] == last.main["column"]
+    publish(spark, root, AS_OF, remove={"column": gone.limit(0)}, update={"column": gone.limit(0)})
+    assert current_version(spark, root).main["column"] == last.main["column"]
+
+
+def test_a_parent_with_children_is_not_removed(spark, main, tmp_path):
+    root = str(tmp_path)
+    publish(spark, root, AS_OF, append=complete(main))
+    gone = main["table"].filter("TABLE_ID = 1")
+    with pytest.raises(ValueError, match="parent removed"):
+        publish(spark, root, AS_OF, remove={"table": gone}, check=True)
+    assert current_version(spark, root).number == 1
+    publish(spark, root, AS_OF, check=True, remove={
+        "table": gone, "column": main["column"].filter("TABLE_ID = 1"), "index": main["index"].filter("TABLE_ID = 1"),
+        "index_column": main["index_column"].join(main["index"].filter("TABLE_ID = 1"), "INDEX_ID", "left_semi")})
+    assert rows(read_all(spark, root)[0]["table"], "TABLE_ID") == [(2,)]

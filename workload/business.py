@@ -14,11 +14,11 @@ from tablewarden.operators import history, integrity
 from tablewarden.operators.backfill import phase_counts
 from tablewarden.operators.drift import Attribute, attr_diff
 from tablewarden.operators.filters import exclude_kinds, exclude_like, with_defaults
-from tablewarden.operators.ids import assign_ids, last_id, next_ordinals
+from tablewarden.operators.ids import assign_ids, last_id, next_ordinals, ordinal_in_parent
 from tablewarden.operators.joins import in_set, membership_flags, not_in
 from tablewarden.operators.text_lists import ordered_text
 from tablewarden.operators.views import masked_view
-from tablewarden.plans.changes.common import patch
+from tablewarden.plans.changes.common import fold_patches, patch
 from tablewarden.plans.load import index_type
 from tablewarden.schemas import Column, Entity
 from workload.derived import collector, given
@@ -362,17 +362,54 @@ def apply_patch(spark, sf_dir):
         F.lit(None).cast("string").alias("status"),
         (F.col("o_totalprice") * 2).alias("price"),
         F.lit("why").alias("reason"), F.lit("E1").alias("_actor"),
+        F.col("o_orderkey").alias("request_id"), F.lit(1).alias("request_seq"),
     )
     touched = F.col("touched")
-    patched = patch(
-        orders, asked, {"key": "o_orderkey"},
+    key = {"key": "o_orderkey"}
+    folded = fold_patches(
+        asked, key,
         {
             "o_orderstatus": (F.array_contains(touched, "status"), F.col("status")),
             "o_totalprice": (F.array_contains(touched, "price"), F.col("price")),
         },
-        AS_OF,
     )
-    return patched.select("o_orderkey", "o_orderstatus", "o_totalprice", "UPDATED_BY")
+    return patch(orders, folded, key, AS_OF).select("o_orderkey", "o_orderstatus", "o_totalprice", "UPDATED_BY")
+
+
+@query("""
+    WITH asked AS (
+        SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS turn,
+               l_returnflag, l_linestatus, l_discount, l_extendedprice FROM {lineitem})
+    SELECT o_orderkey, turn, 'L' || l_returnflag AS UPDATED_BY,
+           coalesce(last_value(CASE WHEN l_returnflag <> 'N' THEN l_linestatus END IGNORE NULLS) OVER upto, o_orderstatus) AS o_orderstatus,
+           coalesce(last_value(CASE WHEN l_discount > 0.05 THEN l_extendedprice END IGNORE NULLS) OVER upto, o_totalprice) AS o_totalprice
+    FROM asked JOIN {orders} ON o_orderkey = l_orderkey
+    WINDOW upto AS (PARTITION BY l_orderkey ORDER BY turn)""")
+def apply_patches_in_turn(spark, sf_dir):
+    """Every line of an order is a request that changes it: one image of the order per line."""
+    orders = given(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice",
+        F.lit(None).cast("string").alias("UPDATED_BY"), F.lit(None).cast("timestamp").alias("UPDATED_AT"),
+    )
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    turns = ordinal_in_parent(given(spark, sf_dir, "lineitem"), ["l_orderkey"], order, "request_seq")
+    asked = turns.withColumns(
+        {
+            "request_id": F.col("l_orderkey"), "reason": F.col("request_seq").cast("string"),
+            "_actor": F.concat(F.lit("L"), "l_returnflag"),
+        }
+    )
+    key = {"l_orderkey": "o_orderkey"}
+    folded = fold_patches(
+        asked, key,
+        {
+            "o_orderstatus": (F.col("l_returnflag") != "N", F.col("l_linestatus")),
+            "o_totalprice": (F.col("l_discount") > 0.05, F.col("l_extendedprice")),
+        },
+    )
+    return patch(orders, folded, key, AS_OF, "every").select(
+        "o_orderkey", F.col("_reason").cast("bigint").alias("turn"), "UPDATED_BY", "o_orderstatus", "o_totalprice"
+    )
 
 
 @query("""

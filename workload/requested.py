@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.operators.filters import conform
+from tablewarden.operators.integrity import children_of
 from tablewarden.plans import changes
 from tablewarden.schemas import ENTITIES
+from tablewarden.session import durable
 from workload.business import AS_OF
 from workload.derived import collector, relation
 
@@ -175,6 +177,18 @@ def change_table_drop(spark, sf_dir):
     return done.replace["table"].select("TABLE_ID", "SCHEMA_NAME", "TABLE_NAME", "STATUS_CD", "UPDATED_BY")
 
 
+@query(f"""
+    WITH {_GOOD_DROPS}, gone AS (SELECT TABLE_ID FROM good WHERE mode = 'HARD')
+    SELECT 'column' AS entity, 'parent removed' AS rule, CAST(COLUMN_ID AS VARCHAR) AS key FROM {{meta_column}} WHERE TABLE_ID IN (SELECT TABLE_ID FROM gone)
+    UNION ALL SELECT 'index', 'parent removed', CAST(INDEX_ID AS VARCHAR) FROM {{meta_index}} WHERE TABLE_ID IN (SELECT TABLE_ID FROM gone)""")
+def governed_removed_parents(spark, sf_dir):
+    """Columns and indexes that stand in the way if tables alone were removed."""
+    known = registry(spark, sf_dir, "table", "column", "index", "index_column")
+    gone = changes.table_drop(known, relation(spark, sf_dir, "req_table_drop"), AS_OF).remove["table"]
+    keys = durable(gone.select("TABLE_ID"))
+    return children_of(known["column"], ENTITIES["column"], keys).unionByName(children_of(known["index"], ENTITIES["index"], keys))
+
+
 # Columns
 
 def _good_columns(request: str, extra: str, known: bool | None) -> str:
@@ -233,6 +247,45 @@ def change_column_modify(spark, sf_dir):
     )
 
 
+@query(f"""
+    WITH asked AS (
+        SELECT request_seq, emp_id, reason, schema, tableName, colName, CAST(dataLength AS INTEGER) AS dataLength, nullableYn, sensitivityCd,
+               maskingRuleCd, tax = 1 AS sized, tax = 2 AS ruled, statusCd
+        FROM {{req_column_modify}} WHERE sensitivityCd IS NOT NULL
+        UNION ALL SELECT request_seq + 1000000000, 'E2', 'again', schema, tableName, colName, CAST(dataLength AS INTEGER) + 1, true, 'LOW',
+               NULL, tax >= 4, tax <= 2, NULL
+        FROM {{req_column_modify}} WHERE NOT nullableYn),
+    good AS (
+        SELECT asked.*, t.TABLE_ID, upper(colName) AS COLUMN_NAME FROM asked
+        JOIN {{meta_table}} t ON t.SCHEMA_NAME = upper(schema) AND t.TABLE_NAME = {_TABLE_OF} WHERE {_NAME.format(_TABLE_OF)})
+    SELECT m.TABLE_ID, m.COLUMN_NAME, emp_id AS HIST_BY, g.reason AS CHANGE_REASON, CASE WHEN g.nullableYn THEN 'Y' ELSE 'N' END AS NULLABLE_YN,
+           sensitivityCd AS SENSITIVITY_CD, coalesce(last_value(CASE WHEN sized THEN g.dataLength END IGNORE NULLS) OVER upto, m.DATA_LENGTH) AS DATA_LENGTH,
+           CASE WHEN coalesce(max(CASE WHEN ruled THEN 1 END) OVER upto, 0) = 1
+                THEN nullif(last_value(CASE WHEN ruled THEN coalesce(g.maskingRuleCd, '') END IGNORE NULLS) OVER upto, '')
+                ELSE m.MASKING_RULE_CD END AS MASKING_RULE_CD,
+           coalesce(last_value(statusCd IGNORE NULLS) OVER upto, m.STATUS_CD) AS STATUS_CD
+    FROM {{meta_column}} m JOIN good g ON g.TABLE_ID = m.TABLE_ID AND g.COLUMN_NAME = m.COLUMN_NAME
+    WINDOW upto AS (PARTITION BY m.TABLE_ID, m.COLUMN_NAME ORDER BY request_seq)""")
+def change_column_modify_twice(spark, sf_dir):
+    """History of columns that are modified up to twice in one batch: an image after each request."""
+    known = registry(spark, sf_dir, "table", "column")
+    first = relation(spark, sf_dir, "req_column_modify")
+    size, rule = F.array(F.lit("dataLength")), F.array(F.lit("maskingRuleCd"))
+    second = first.filter(~F.col("nullableYn")).withColumns(
+        {
+            "request_seq": F.col("request_seq") + 1000000000, "emp_id": F.lit("E2"), "reason": F.lit("again"),
+            "dataLength": (F.col("dataLength").cast("int") + 1).cast("string"), "nullableYn": F.lit(True),
+            "sensitivityCd": F.lit("LOW"), "maskingRuleCd": F.lit(None).cast("string"), "statusCd": F.lit(None).cast("string"),
+            "touched": F.when(F.col("tax") >= 4, size).when(F.col("tax") <= 2, rule),
+        }
+    )
+    first = first.withColumn("touched", F.when(F.col("tax") == 1, size).when(F.col("tax") == 2, rule))
+    done = changes.column_modify(known, first.unionByName(second), AS_OF)
+    return done.history["column"].select(
+        "TABLE_ID", "COLUMN_NAME", "HIST_BY", "CHANGE_REASON", "NULLABLE_YN", "SENSITIVITY_CD", "DATA_LENGTH", "MASKING_RULE_CD", "STATUS_CD"
+    )
+
+
 _DROPPED_COLUMNS = _good_columns("req_column_drop", "true", True) + """,
     hard AS (SELECT * FROM good WHERE mode = 'HARD'),
     entries AS (
