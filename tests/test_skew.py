@@ -94,12 +94,17 @@ def test_fold_of_a_hot_key_spans_pieces(spark):
 
     asked = [(k, i, value(k, i, 7), value(k, i, 113)) for k, n in ((1, 4000), (2, 3), (3, 1000)) for i in range(1, n + 1)]
     frame = spark.createDataFrame(asked, "k long, turn long, a string, b string").repartition(5)
-    found = fold_in_order(frame, ["k"], ["turn"], ["a", "b"], "done").collect()
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        found = fold_in_order(frame, ["k"], ["turn"], ["a", "b"], "done").collect()
+        spread = frame.repartitionByRange("k", "turn").filter("k = 1").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset(merging)
     expected, latest, last = set(), {}, {k: i for k, i, _, _ in asked}
     for k, i, a, b in asked:
         before = latest.get(k, (None, None))
         latest[k] = (a or before[0], b or before[1])
         expected.add((k, i, *latest[k], i == last[k]))
     assert len(found) == len(asked) and set(map(tuple, found)) == expected
-    spread = frame.repartitionByRange("k", "turn").filter("k = 1").select(F.spark_partition_id()).distinct().count()
     assert spread > 1
