@@ -6,8 +6,10 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import wraps
 from pathlib import Path
 
@@ -77,9 +79,46 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     row positions stay as they are, and Spark knows the size of what it joins."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
+    blocks = getattr(_PASSING, "blocks", [])
+    if blocks:
+        blocks[-1].append((name, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_PASSING = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Remove the tables staged within, but for those named, once the block is done: what goes on from it may read
+    only these, and they are removed by a block around this one, if there is one. After a failure all stay."""
+    blocks = _PASSING.blocks = getattr(_PASSING, "blocks", [])
+    blocks.append([])
+    done = False
+    try:
+        yield
+        done = True
+    finally:
+        made = blocks.pop()
+        if done:
+            if blocks:
+                blocks[-1].extend(m for m in made if m[0] in kept)
+            for name, path in made:
+                if name not in kept:
+                    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]

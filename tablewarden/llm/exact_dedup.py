@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, frugal, joined, ship, slices, stage
+from .common import encoded, frugal, joined, own_names, passing, ship, slices, stage
 
 # A fingerprint is a polynomial in the bytes, modulo two primes; values stay below 2**31.
 PRIMES = (2147483647, 2147483629)
@@ -171,12 +171,16 @@ def without_copies(docs: DataFrame) -> DataFrame:
     Decisions are carried by (doc_id, digest); rows repeated with the same id and text are told apart by
     numbering just those.
     """
-    found = exact_groups(docs)
-    kept = stage(found.where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("sha"), (F.col("group_size") > 1).alias("copied")), "kept")
-    sha = F.sha2(normalised(F.col("text")), 256)
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["keep"]) & (sha == kept["sha"]))
-    single = rows.where("NOT copied").select(docs["*"])
-    first = rows.where("copied").dropDuplicates(["keep", "sha"]).select(docs["*"])
+    keep, sha, copied = own_names(docs, "keep", "sha", "copied")
+    with passing(docs.sparkSession, "kept"):
+        found = exact_groups(docs).where("kept")
+        kept = stage(
+            found.select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(sha), (F.col("group_size") > 1).alias(copied)), "kept"
+        )
+    same = docs["doc_id"].cast("long").eqNullSafe(kept[keep]) & (F.sha2(normalised(docs["text"]), 256) == kept[sha])
+    rows = docs.join(kept, same)
+    single = rows.where(~kept[copied]).select(docs["*"])
+    first = rows.where(kept[copied]).dropDuplicates([keep, sha]).select(docs["*"])
     return single.unionByName(first)
 
 

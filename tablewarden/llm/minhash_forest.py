@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoded, frugal, joined, mix64, parts_for, prefix_hash, ship, slices, stage, stretch_hash
+from .common import encoded, frugal, joined, mix64, parts_for, passing, prefix_hash, ship, slices, stage, stretch_hash
 
 WORDS = 5
 PERCENT = 75
@@ -102,6 +102,7 @@ _SIGNED = "doc_id long, n_shingles long, name binary, signature binary"
 
 def _sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
+        more = [n for n in frame.schema.names if n not in ("doc_id", "text")]
         sets = shingle_sets(encoded(frame["text"].to_pylist()))
         full = [k for k, s in enumerate(sets) if len(s)]
         signed = signatures([sets[k] for k in full]) if full else np.zeros((0, TREES * DEPTH), np.uint32)
@@ -109,8 +110,8 @@ def _sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, row in zip(full, signed):
             signature[k] = row.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [frame["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_names(sets), pa.binary()), pa.array(signature, pa.binary())],
-            ["doc_id", "n_shingles", "name", "signature"],
+            [frame["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_names(sets), pa.binary()), pa.array(signature, pa.binary()), *map(frame.column, more)],
+            ["doc_id", "n_shingles", "name", "signature", *more],
         )
 
 
@@ -357,42 +358,69 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.unionByName(upper.join(roots.select("node"), "node", "left_anti")), "roots")
 
 
+def _rooted_rows(docs: DataFrame, more: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """(doc_id, n_shingles, root, component_id) and the columns ``more`` (expression and type by name) for each row
+    of ``docs`` (doc_id, text). Rows without shingles have no root and their own id."""
+    ship(docs.sparkSession)
+    more = more or {}
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *[F.expr(e).alias(n) for n, (e, _) in more.items()])
+    schema = ", ".join([_SIGNED, *[f"{n} {t}" for n, (_, t) in more.items()]])
+    with passing(docs.sparkSession, "signed", "named"):
+        signed = stage(rows.mapInArrow(frugal(_sign), schema), "signed")
+        classes = stage(
+            signed.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.min("signature").alias("signature"))
+            .select(F.monotonically_increasing_id().alias("node"), "name", "least", "signature"),
+            "classes",
+        )
+        pairs = neighbours(classes)
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = stage(_sets(docs, classes.join(nodes, "node").select("node", "least", "name")), "sets", "none")
+        # First the likeliest pair of every node; then whatever would still join two components.
+        ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("node"))
+        likely = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        links = stage(confirmed(likely, sets), "confirmed")
+        roots = stage(components(links), "roots")
+        roots = _merged(roots, stage(confirmed(stage(_rooted(pairs, roots), "open"), sets), "confirmed"))
+        # The window leaves pairs of dense regions unseen: all of them that are not connected yet.
+        dense = crowded(classes)
+        missing = stage(classes.join(dense.join(sets, "node", "left_anti"), "node").select("node", "least", "name"), "missing")
+        if not missing.isEmpty():
+            sets = sets.unionByName(stage(_sets(docs, missing), "sets", "none"))
+        rest = by_rare_shingles(sets.join(dense, "node"), roots)
+        roots = _merged(roots, stage(confirmed(rest, sets), "confirmed"))
+        known = classes.select("name", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = stage(known, "known")
+        ids = stage(known.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+        named = stage(known.join(ids, "root").select("name", "root", "component_id"), "named")
+    found = signed.where("n_shingles > 0").join(named, "name").select("doc_id", "n_shingles", "root", "component_id", *more)
+    none = signed.where("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"), *more
+    )
+    return found.unionByName(none)
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     Rows with equal sets form one class; null, empty and blank texts have no shingles and no links. A
-    component's id is its smallest doc_id (null ids count only where there is no other).
+    component's id is its smallest doc_id (null ids count only where there is no other). Repeated rows each get a
+    row; other columns of ``docs`` play no part.
     """
-    ship(docs.sparkSession)
-    signed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(_sign), _SIGNED), "signed")
-    classes = stage(
-        signed.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.min("signature").alias("signature"))
-        .select(F.monotonically_increasing_id().alias("node"), "name", "least", "signature"),
-        "classes",
-    )
-    pairs = neighbours(classes)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stage(_sets(docs, classes.join(nodes, "node").select("node", "least", "name")), "sets", "none")
-    # First the likeliest pair of every node; then whatever would still join two components.
-    ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("node"))
-    likely = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = stage(confirmed(likely, sets), "confirmed")
-    roots = stage(components(links), "roots")
-    roots = _merged(roots, stage(confirmed(stage(_rooted(pairs, roots), "open"), sets), "confirmed"))
-    # The window leaves pairs of dense regions unseen: all of them that are not connected yet.
-    dense = crowded(classes)
-    missing = stage(classes.join(dense.join(sets, "node", "left_anti"), "node").select("node", "least", "name"), "missing")
-    if not missing.isEmpty():
-        sets = sets.unionByName(stage(_sets(docs, missing), "sets", "none"))
-    rest = by_rare_shingles(sets.join(dense, "node"), roots)
-    roots = _merged(roots, stage(confirmed(rest, sets), "confirmed"))
-    known = classes.select("name", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = stage(known, "known")
-    ids = stage(known.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    named = stage(known.join(ids, "root").select("name", "component_id"), "named")
-    found = signed.where("n_shingles > 0").join(named, "name").select("doc_id", "n_shingles", "component_id")
-    none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = _rooted_rows(docs).drop("root")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """Of each component one row, with all its columns: that with the smallest doc_id, null last, and of repeated ids
+    the one with the smallest digest of its text. Rows without shingles all stay, and rows repeated with the same
+    id and text count as one, so all of them stay or go; exact deduplication leaves no such rows."""
+    with passing(docs.sparkSession, "kept"):
+        rows = _rooted_rows(docs, {"digest": ("unhex(sha2(coalesce(text, ''), 256))", "binary")})
+        order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest")
+        first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.digest")
+        kept = stage(first.unionByName(rows.where("root IS NULL").select("doc_id", "digest")).distinct(), "kept")
+    digest = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (digest == kept["digest"]), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from compare import connect, differences  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
-from tablewarden.llm import registry  # noqa: E402
+from tablewarden.llm import exact_dedup, minhash_forest, registry  # noqa: E402
+from tablewarden.llm.common import shared_path  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +62,32 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == [
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+CLASHING = "doc_id long, text string, copied int, keep int, _KEEP int, sha int, kept int, root int, digest int, name int, node int, uid int, first int"
+
+
+def test_stages_with_clashing_columns_and_repeated_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (2, words + " end"), (2, "quite another text, and no copy at all"), (2, "  "), (3, words),
+            (3, words), (None, words + " end more"), (None, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, *range(k, k + 11)) for k, (i, t) in enumerate(rows)], CLASHING)
+    exact = exact_dedup.without_copies(docs)
+    assert exact.schema == docs.schema
+    first = sorted(((r.doc_id, r.text) for r in exact.collect()), key=repr)
+    assert first == sorted([(1, words), *rows[1:4], rows[6], rows[8]], key=repr)
+    near = minhash_forest.without_near_copies(exact.cache())
+    assert near.schema == docs.schema
+    # Of the two rows with id 2 only the near copy of document 1 goes.
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=repr) == sorted([(1, words), *rows[2:4], rows[8]], key=repr)
+    for made in (exact_dedup.without_copies, minhash_forest.without_near_copies):
+        assert made(docs.limit(0)).count() == 0
+
+
+def test_staged_tables_go_when_nothing_reads_them(spark):
+    base = Path(shared_path(spark, "x")).parent
+    held = {p.name for p in base.iterdir()} if base.is_dir() else set()
+    docs = spark.createDataFrame([(i, f"text {i % 3} of many words and more") for i in range(9)], "doc_id long, text string")
+    found = minhash_forest.without_near_copies(exact_dedup.without_copies(docs))
+    assert {p.name.rsplit("-", 1)[0] for p in base.iterdir() if p.name not in held} == {"kept"}
+    assert found.count() == 3
