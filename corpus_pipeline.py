@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.llm import exact_dedup, language_id, minhash_forest, packing, suffix_dedup
-from tablewarden.llm.common import shared_path, stage
+from tablewarden.llm.common import shared_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal texts the document with the smallest doc_id stays."""
-    found = minhash_forest.near_groups(docs)
-    kept = stage(found.where("kept").select(F.col("doc_id").alias("keep")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["keep"]), "left_semi")
+    """Of each component of near-equal texts one document stays, that with the smallest doc_id."""
+    return minhash_forest.without_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
