@@ -6,12 +6,14 @@ it shares at least the first minimum, so the prefix that counts grows with the d
 whose signatures agree too little for the wanted similarity are dropped; the others are confirmed on full sets,
 first enough of them to connect what is connected, then all that still would join two components. Where more
 documents share a first minimum than the window reaches, an exact prefix-filter join over their shingles finds all
-pairs that are similar and not connected yet, at whatever depth they part.
+pairs that are similar and not connected yet, at whatever depth they part. What no other row can meet is left out
+where it is made: first minima of one document alone, texts of which no set is wanted, places outside a prefix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +36,12 @@ AGREEMENT = 30
 # Rows of one shingle that a task compares with the others at a time.
 ROWS_PER_KEY = 2000
 ROWS_PER_PART = 200_000
+# Bits of a table of marks, 16 for each marked value, 8 MB at most: with more values it lets more rows pass in vain.
+MOST_BITS = 1 << 26
+# Counters of shingles, 16 MB: with more shingles to a counter, rare ones are told apart less well. And how many
+# bits or counters are a row while the tables are made.
+COUNTERS = 1 << 22
+BLOCK = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -115,23 +123,76 @@ def _sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def marks(hashes: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test for tasks: true for every value of the column ``hash`` (long), and for few others.
+
+    One bit for each value, at the place that its low bits name; the table is bounded and sent to all tasks.
+    """
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(BLOCK.bit_length() - 1, (16 * hashes.count()).bit_length()))
+
+    def block(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(BLOCK, bool)
+        bits[frame["hash"].to_numpy(np.int64) & (BLOCK - 1)] = True
+        return pd.DataFrame({"block": frame["block"].head(1), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    blocks = hashes.select("hash", F.expr(f"(hash & {size - 1}L) div {BLOCK}").alias("block"))
+    table = np.zeros(size // 8, np.uint8)
+    for row in blocks.groupBy("block").applyInPandas(block, "block long, bits binary").collect():
+        table[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
+    sent = hashes.sparkSession.sparkContext.broadcast(table)
+
+    def marked(values: np.ndarray) -> np.ndarray:
+        place = values & (size - 1)
+        return (sent.value[place >> 3] >> (place & 7) & 1).astype(bool)
+
+    return marked
+
+
 _TREE_ROW = "tree int, " + ", ".join(f"p{d} int" for d in range(1, DEPTH + 1)) + ", node long, brief binary"
 
 
-def _grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per tree for each class: its label, and the low byte of every minimum."""
+def _minima(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The minima of each class, by tree, and a number for each region, tree and first minimum."""
+    s = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), TREES, DEPTH)
+    return s, mix64(np.arange(TREES, dtype=np.uint64) << np.uint64(32) | s[:, :, 0]).view(np.int64).ravel()
+
+
+def _in_regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        if not len(frame):
-            continue
-        s = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), TREES, DEPTH)
-        brief = [row.tobytes() for row in s.reshape(len(frame), -1).astype(np.uint8)]
-        labels = s.reshape(-1, DEPTH).view(np.int32)
-        yield pd.DataFrame({
-            "tree": np.tile(np.arange(TREES, dtype=np.int32), len(frame)),
-            **{f"p{d + 1}": labels[:, d] for d in range(DEPTH)},
-            "node": np.repeat(frame["node"].to_numpy(np.int64), TREES),
-            "brief": np.repeat(np.array(brief, object), TREES),
-        })
+        if len(frame):
+            yield pd.DataFrame({"region": _minima(frame)[1], "node": np.repeat(frame["node"].to_numpy(np.int64), TREES)})
+
+
+def in_regions(classes: DataFrame) -> DataFrame:
+    """(region, node): a row per tree for each class."""
+    return classes.select("node", "signature").mapInPandas(frugal(_in_regions), "region long, node long")
+
+
+def regions(classes: DataFrame) -> DataFrame:
+    """(region, n): the regions, tree and first minimum, of n classes, more than one."""
+    return stage(in_regions(classes).groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "regions")
+
+
+def _trees(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """A row per tree for each class that shares the region there, with its labels and the low byte of every minimum."""
+    marked = marks(shared.select(F.col("region").alias("hash")))
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            s, region = _minima(frame)
+            rows = np.flatnonzero(marked(region))
+            brief = [row.tobytes() for row in s.reshape(len(frame), -1).astype(np.uint8)]
+            labels = s.reshape(-1, DEPTH).view(np.int32)[rows]
+            yield pd.DataFrame({
+                "tree": (rows % TREES).astype(np.int32),
+                **{f"p{d + 1}": labels[:, d] for d in range(DEPTH)},
+                "node": frame["node"].to_numpy(np.int64)[rows // TREES],
+                "brief": np.array(brief, object)[rows // TREES],
+            })
+
+    return classes.select("node", "signature").mapInPandas(frugal(batches), _TREE_ROW)
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,58 +259,98 @@ def _along(trees: DataFrame, n_parts: int) -> DataFrame:
     return found.where("part < 0").select("a", "b", "agree").unionByName(seams)
 
 
-def _trees(classes: DataFrame) -> DataFrame:
-    return classes.select("node", "signature").mapInPandas(frugal(_grow), _TREE_ROW)
-
-
-def neighbours(classes: DataFrame) -> DataFrame:
-    """(a, b, agree), a < b: neighbouring classes (node, signature) of all trees, each pair once."""
-    pairs = _along(_trees(classes), parts_for(classes.count() * TREES, ROWS_PER_PART))
+def neighbours(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(a, b, agree), a < b: neighbouring classes (node, signature) of all trees, each pair once; ``shared`` are the regions."""
+    rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    pairs = _along(_trees(classes, shared), parts_for(rows, ROWS_PER_PART))
     return stage(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
 
-def crowded(classes: DataFrame) -> DataFrame:
-    """(node): the classes of any region, tree and first minimum, that is denser than the window reaches.
+def crowded(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node): the classes of any of the regions that is denser than the window reaches.
 
     Two classes that share a smaller region were compared there; what the window can miss has both its ends here.
     """
-    rows = _trees(classes).select("tree", "p1", "node")
-    dense = stage(rows.groupBy("tree", "p1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDTH + 1).select("tree", "p1"), "dense")
-    return stage(rows.join(dense, ["tree", "p1"]).select("node").distinct(), "crowded")
+    dense = stage(shared.where(F.col("n") > WIDTH + 1).select("region"), "dense")
+    return stage(in_regions(classes).join(dense, "region").select("node").distinct(), "crowded")
 
 
-def _elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(COUNTERS, np.uint32)
     for frame in frames:
-        sets = [_from48(s) for s in frame["shingles"]]
-        n = [len(s) for s in sets]
-        yield pd.DataFrame({
-            "node": np.repeat(frame["node"].to_numpy(np.int64), n),
-            "root": np.repeat(frame["root"].to_numpy(np.int64), n),
-            "shingle": np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.int64),
-        })
-
-
-def by_rare_shingles(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): every pair of the sets (node, n, shingles) that may be similar and is not connected yet.
-
-    Each set is put in the order of its shingles' frequency, the rarest first. Of a similar pair with n and m
-    shingles, at least PERCENT * (n + m) / (100 + PERCENT) are common, so as many follow the first common one,
-    itself included, in both sets: only pairs with a common shingle at such places are candidates, and no similar
-    pair is missed. Shingles within one component make no pairs; of the others, rows of the component
-    that most of a shingle's rows belong to never meet each other, and a frequent one's rows are split over tasks.
+        for i, j in slices([len(s) for s in frame["shingles"]]):
+            values = np.concatenate([_from48(s) for s in frame["shingles"][i:j]])
+            counts += np.bincount(values.view(np.int64) & (COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
+    if counts.any():
+        blocks = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(-1, BLOCK)]
+        yield pd.DataFrame({"block": np.arange(len(blocks)), "counts": blocks})
+
+
+def _counts(blocks: pd.Series) -> Iterator[np.ndarray]:
+    return (np.frombuffer(zlib.decompress(b), np.uint32) for b in blocks)
+
+
+def _sum_counts(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(BLOCK, np.uint64)
+    for counts in _counts(frame["counts"]):
+        total += counts
+    total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+    return pd.DataFrame({"block": frame["block"].head(1), "counts": [zlib.compress(total.tobytes(), 1)]})
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets have each remainder modulo COUNTERS: a bound on how often one of them occurs."""
+    schema = "block long, counts binary"
+    rows = sets.select("shingles").mapInPandas(frugal(_count), schema).groupBy("block").applyInPandas(_sum_counts, schema).collect()
+    out = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint32)
+    for row, counts in zip(rows, _counts([r.counts for r in rows])):
+        out[row.block] = counts
+    return out.ravel()
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(shingle, node, root, n, at, low): the places of each set (node, root, n, shingles) where the first common
+    shingle of a similar pair can stand, those of low counts first; ``low`` where the other set may be as small or larger.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = sent.value
+        for frame in frames:
+            held, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for n, data in zip(frame["n"], frame["shingles"]):
+                s = _from48(data).view(np.int64)
+                order = s[np.lexsort((s, counts[s & (COUNTERS - 1)]))[: n - (PERCENT * n + 99) // 100 + 1]]
+                at = np.arange(len(order))
+                if wanted is not None:
+                    at = np.flatnonzero(wanted(order))
+                held.append(order[at])
+                places.append(at)
+            rows = [len(h) for h in held[1:]]
+            n, at = np.repeat(frame["n"].to_numpy(np.int64), rows), np.concatenate(places)
+            yield pd.DataFrame({
+                "shingle": np.concatenate(held), "node": np.repeat(frame["node"].to_numpy(np.int64), rows),
+                "root": np.repeat(frame["root"].to_numpy(np.int64), rows), "n": n, "at": at,
+                "low": (100 + PERCENT) * (n - at) >= 2 * PERCENT * n,
+            })
+
+    return sets.select("node", "root", "n", "shingles").mapInPandas(frugal(batches), "shingle long, node long, root long, n long, at long, low boolean")
+
+
+def by_rare_shingles(sets: DataFrame) -> DataFrame:
+    """(a, b): every pair of the sets (node, root, n, shingles) that may be similar and is not connected yet.
+
+    Each set is put in the order of its shingles' counters, the least first; any order that is the same for all sets
+    does. Of a similar pair with n and m shingles, at least PERCENT * (n + m) / (100 + PERCENT) are common, so as
+    many follow the first common one, itself included, in both sets: only pairs with a common shingle at such places
+    are candidates, and no similar pair is missed. Shingles within one component make no pairs; of the others, rows
+    of the component that most of a shingle's rows belong to never meet each other, and a frequent one's rows are
+    split over tasks.
     """
-    known = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    elements = known.select("node", "root", "shingles").mapInPandas(frugal(_elements), "node long, root long, shingle long")
-    shared = elements.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("root") < F.max("root")).alias("mixed"))
-    shared = stage(shared.where("df > 1"), "shared")
-    held = elements.select("node", "shingle").join(shared, "shingle")
-    held = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", "mixed"))).alias("held"))
-    placed = held.join(known.select("node", "root", "n"), "node").select(
-        "node", "root", "n", (F.col("n") - F.size("held")).alias("alone"), F.posexplode("held").alias("k", "e")
-    ).where("e.mixed").select("node", "root", "n", (F.col("alone") + F.col("k")).alias("at"), "e.shingle")
-    # A set's first common place with one that is not smaller, and with any.
-    low = (100 + PERCENT) * (F.col("n") - F.col("at")) >= 2 * PERCENT * F.col("n")
-    postings = stage(placed.where(100 * (F.col("n") - F.col("at")) >= PERCENT * F.col("n")).withColumn("low", low), "postings")
+    counts = shingle_counts(sets)
+    spans = prefixes(sets, counts).groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("low").alias("low"))
+    mixed = stage(spans.where("least < most AND low").select(F.col("shingle").alias("hash")), "mixed")
+    postings = stage(prefixes(sets, counts, marks(mixed)), "postings")
     counts = postings.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("rows"), F.max("low").alias("low"))
     keys = counts.groupBy("shingle").agg(
         F.max_by("root", "rows").alias("main"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("roots"), F.max("low").alias("low")
@@ -284,20 +385,22 @@ def _from48(data: bytes) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, shingles): the full sets of the wanted classes (node, least, name), 48 bits of each hash."""
+    """(node, n, shingles) and further columns of ``wanted``: the full sets of the wanted classes (node, least, name),
+    48 bits of each hash. Sets are made where the texts are read, only of rows that can be wanted; texts are not shuffled."""
+    marked = marks(wanted.select(F.xxhash64("least").alias("hash")))
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
+            frame = frame.filter(pa.array(marked(frame["hash"].to_numpy())))
             sets = shingle_sets(encoded(frame["text"].to_pylist()))
-            rows = [k for k, (have, name) in enumerate(zip(set_names(sets), frame["name"].to_pylist())) if have == name]
             yield pa.RecordBatch.from_arrays(
-                [frame["node"].take(pa.array(rows, pa.int64())), pa.array([len(sets[k]) for k in rows], pa.int64()), pa.array([_low48(sets[k]) for k in rows], pa.binary())],
-                ["node", "n", "shingles"],
+                [pa.array(set_names(sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_low48(s) for s in sets], pa.binary())],
+                ["name", "n", "shingles"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["least"])).select("node", "name", "text")
-    return found.mapInArrow(frugal(batches), "node long, n long, shingles binary").dropDuplicates(["node"])
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), "text")
+    found = texts.mapInArrow(frugal(batches), "name binary, n long, shingles binary")
+    return found.join(wanted.drop("least"), "name").dropDuplicates(["name"]).drop("name")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -311,8 +414,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * common >= PERCENT * (n + m - common))
             yield frame.loc[good, ["a", "b"]]
 
-    first = sets.select(F.col("node").alias("a"), F.col("n"), F.col("shingles").alias("s"))
-    second = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("t"))
+    first = sets.select(F.col("node").alias("a"), F.col("n"), F.col("shingles").alias("s")).join(pairs, "a", "left_semi")
+    second = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("t")).join(pairs, "b", "left_semi")
     return pairs.select("a", "b").join(first, "a").join(second, "b").mapInPandas(frugal(batches), "a long, b long")
 
 
@@ -372,22 +475,24 @@ def _rooted_rows(docs: DataFrame, more: dict[str, tuple[str, str]] | None = None
             .select(F.monotonically_increasing_id().alias("node"), "name", "least", "signature"),
             "classes",
         )
-        pairs = neighbours(classes)
+        shared = regions(classes)
+        pairs = neighbours(classes, shared)
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = stage(_sets(docs, classes.join(nodes, "node").select("node", "least", "name")), "sets", "none")
+        wanted = stage(classes.join(nodes, "node").select("node", "least", "name"), "wanted")
+        sets = stage(_sets(docs, wanted), "sets", "none")
         # First the likeliest pair of every node; then whatever would still join two components.
         ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("node"))
         likely = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        links = stage(confirmed(likely, sets), "confirmed")
+        links = stage(confirmed(stage(likely, "likely"), sets), "confirmed")
         roots = stage(components(links), "roots")
         roots = _merged(roots, stage(confirmed(stage(_rooted(pairs, roots), "open"), sets), "confirmed"))
         # The window leaves pairs of dense regions unseen: all of them that are not connected yet.
-        dense = crowded(classes)
-        missing = stage(classes.join(dense.join(sets, "node", "left_anti"), "node").select("node", "least", "name"), "missing")
-        if not missing.isEmpty():
-            sets = sets.unionByName(stage(_sets(docs, missing), "sets", "none"))
-        rest = by_rare_shingles(sets.join(dense, "node"), roots)
-        roots = _merged(roots, stage(confirmed(rest, sets), "confirmed"))
+        dense = classes.join(crowded(classes, shared), "node").join(roots, "node", "left")
+        wanted = stage(dense.select("node", F.coalesce("root", "node").alias("root"), "least", "name"), "wanted")
+        if not wanted.isEmpty():
+            sets = stage(_sets(docs, wanted), "sets", "none")
+            rest = by_rare_shingles(sets)
+            roots = _merged(roots, stage(confirmed(rest, sets), "confirmed"))
         known = classes.select("name", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         known = stage(known, "known")
         ids = stage(known.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")

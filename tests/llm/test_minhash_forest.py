@@ -111,3 +111,30 @@ def test_pairs_beside_large_groups_in_one_region(spark):
         texts += [" ".join([template, f"s{k} s{k}a s{k}b", *(f"x{k}{end}{j}" for j in range(13))]) for end in "ab"]
     r.shuffle(texts)
     same_components(spark, list(enumerate(texts)))
+
+
+def test_texts_and_whole_sets_are_not_shuffled(spark, capsys):
+    """Where tables are too large for a broadcast, only wanted sets and the prefixes of sets go through an exchange."""
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choices([f"w{j}" for j in range(500)], k=40 + k))) for k in range(60)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = minhash_forest.shingle_sets([t.encode() for _, t in rows])
+    names = minhash_forest.set_names(sets)
+    wanted = [(k, rows[k][0], bytearray(names[k])) for k in (*range(0, 60, 7), 60)]
+    wanted = spark.createDataFrame(wanted, "node long, least long, name binary")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = minhash_forest._sets(docs.unionByName(docs), wanted)
+        found.explain("formatted")
+        plan = capsys.readouterr().out
+        exchanges = re.findall(r"\) Exchange[^\n]*\nInput[^\n]*", plan)
+        assert exchanges and not any("text#" in e for e in exchanges)
+        got = {row.node: (row.n, bytes(row.shingles)) for row in found.collect()}
+        assert got == {k: (len(sets[k]), minhash_forest._low48(sets[k])) for k in (*range(0, 60, 7), 60)}
+        made = spark.createDataFrame([(k, k, len(s), minhash_forest._low48(s)) for k, s in enumerate(sets)], "node long, root long, n long, shingles binary")
+        sent = minhash_forest.prefixes(made, minhash_forest.shingle_counts(made)).groupBy("node").count().collect()
+        assert {row.node: row["count"] for row in sent} == {k: len(s) // 4 + 1 for k, s in enumerate(sets)}
+        same_components(spark, [(k, t) for k, (_, t) in enumerate(rows)] + [(100 + k, f"{t} end") for k, (_, t) in enumerate(rows)])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
