@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +36,14 @@ AGREEMENT = 30
 # Rows of one shingle that a task compares with the others at a time.
 ROWS_PER_KEY = 2000
 ROWS_PER_PART = 200_000
-# Bits of a table of marks, 16 for each marked value, 8 MB at most: with more values it lets more rows pass in vain.
+# Bits of a table of marks, 64 for each marked value, 8 MB at most: with more values it lets more rows pass in vain.
 MOST_BITS = 1 << 26
 # Counters of shingles, 16 MB: with more shingles to a counter, rare ones are told apart less well. And how many
 # bits or counters are a row while the tables are made.
 COUNTERS = 1 << 22
 BLOCK = 1 << 16
+# Counters that sketch a set, one byte each.
+SKETCH = 256
 
 
 @lru_cache(maxsize=1)
@@ -128,7 +130,7 @@ def marks(hashes: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
 
     One bit for each value, at the place that its low bits name; the table is bounded and sent to all tasks.
     """
-    size = 1 << min(MOST_BITS.bit_length() - 1, max(BLOCK.bit_length() - 1, (16 * hashes.count()).bit_length()))
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(BLOCK.bit_length() - 1, (64 * hashes.count()).bit_length()))
 
     def block(frame: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(BLOCK, bool)
@@ -298,21 +300,20 @@ def _sum_counts(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"].head(1), "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
-def shingle_counts(sets: DataFrame) -> np.ndarray:
+def shingle_counts(sets: DataFrame) -> Broadcast[np.ndarray]:
     """How many shingles of the sets have each remainder modulo COUNTERS: a bound on how often one of them occurs."""
     schema = "block long, counts binary"
     rows = sets.select("shingles").mapInPandas(frugal(_count), schema).groupBy("block").applyInPandas(_sum_counts, schema).collect()
     out = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint32)
     for row, counts in zip(rows, _counts([r.counts for r in rows])):
         out[row.block] = counts
-    return out.ravel()
+    return sets.sparkSession.sparkContext.broadcast(out.ravel())
 
 
-def prefixes(sets: DataFrame, counts: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def prefixes(sets: DataFrame, sent: Broadcast[np.ndarray], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(shingle, node, root, n, at, low): the places of each set (node, root, n, shingles) where the first common
     shingle of a similar pair can stand, those of low counts first; ``low`` where the other set may be as small or larger.
     """
-    sent = sets.sparkSession.sparkContext.broadcast(counts)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sent.value
@@ -403,8 +404,31 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.drop("least"), "name").dropDuplicates(["name"]).drop("name")
 
 
+def _sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each set, how many elements begin with each of SKETCH values, up to 255."""
+    for frame in frames:
+        counts = [np.bincount((_from48(s) >> np.uint64(40)).astype(np.int64), minlength=SKETCH) for s in frame["shingles"]]
+        yield frame[["node", "n"]].assign(sketch=[np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts])
+
+
+def _possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs that can be similar: no more elements are common than the lesser counts say, unless a count is full."""
+    for frame in frames:
+        s, t = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(len(frame), SKETCH) for c in ("s", "t"))
+        most = np.minimum(s, t)
+        common = most.sum(axis=1, dtype=np.int64)
+        yield frame.loc[(100 * common >= PERCENT * (frame["n"] + frame["m"] - common)) | (most == 255).any(axis=1), ["a", "b"]]
+
+
+def _with_ends(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """(a, b, n, s, m, t): the pairs with size and ``column`` of either end, from the rows (node, n, column)."""
+    first = rows.select(F.col("node").alias("a"), F.col("n"), F.col(column).alias("s")).join(pairs, "a", "left_semi")
+    second = rows.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col(column).alias("t")).join(pairs, "b", "left_semi")
+    return pairs.select("a", "b").join(first, "a").join(second, "b")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those with 100 * intersection >= PERCENT * union."""
+    """Of the pairs (a, b) those with 100 * intersection >= PERCENT * union; full sets meet where sketches leave it open."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -414,9 +438,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * common >= PERCENT * (n + m - common))
             yield frame.loc[good, ["a", "b"]]
 
-    first = sets.select(F.col("node").alias("a"), F.col("n"), F.col("shingles").alias("s")).join(pairs, "a", "left_semi")
-    second = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("t")).join(pairs, "b", "left_semi")
-    return pairs.select("a", "b").join(first, "a").join(second, "b").mapInPandas(frugal(batches), "a long, b long")
+    sketches = stage(sets.select("node", "n", "shingles").mapInPandas(frugal(_sketch), "node long, n long, sketch binary"), "sketches")
+    possible = stage(_with_ends(pairs, sketches, "sketch").mapInPandas(frugal(_possible), "a long, b long"), "possible")
+    return _with_ends(possible, sets, "shingles").mapInPandas(frugal(batches), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

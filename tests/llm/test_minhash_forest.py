@@ -138,3 +138,20 @@ def test_texts_and_whole_sets_are_not_shuffled(spark, capsys):
         same_components(spark, [(k, t) for k, (_, t) in enumerate(rows)] + [(100 + k, f"{t} end") for k, (_, t) in enumerate(rows)])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sketches_keep_every_similar_pair_also_of_full_counters(spark, monkeypatch):
+    met, ends = [], minhash_forest._with_ends
+    monkeypatch.setattr(minhash_forest, "_with_ends", lambda pairs, rows, column: met.append(pairs.count()) or ends(pairs, rows, column))
+    r = random.Random(10)
+    rows, pairs = [], []
+    for size, common in [(90_000, 0.9), (300, 0.9), (300, 0.858), (300, 0.6), (4, 0.75), (1, 1)]:
+        base = [r.getrandbits(48) for _ in range(2 * size)]
+        shared = round(common * size)
+        for part in (base[:size], base[:shared] + base[size : 2 * size - shared]):
+            rows.append((len(rows), size, b"".join(e.to_bytes(6, "little") for e in part)))
+        pairs.append((len(rows) - 2, len(rows) - 1))
+    sets = spark.createDataFrame(rows, "node long, n long, shingles binary")
+    links = minhash_forest.confirmed(spark.createDataFrame(pairs, "a long, b long"), sets)
+    assert sorted(map(tuple, links.collect())) == [(0, 1), (2, 3), (10, 11)]
+    assert met[0] == 6 and 3 <= met[1] <= 5
