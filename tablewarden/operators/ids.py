@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tablewarden.session import durable
+from tablewarden.session import durable, shuffles_dropped
 
 _ROW_BITS = 33
 
@@ -37,7 +37,8 @@ def _numbered(df: DataFrame, name: str, order_by: list[Column] | None, start: Co
 
 def last_id(registry: DataFrame, id_column: str) -> int:
     """Highest id in use, 0 for an empty registry."""
-    return registry.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("last")).first().last
+    with shuffles_dropped(registry.sparkSession):
+        return registry.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("last")).first().last
 
 
 def assign_ids(

@@ -19,6 +19,7 @@ from tablewarden.plans.changes.common import (
     reject_after_removal, reject_repeats, reject_same_turns, settle, statements, with_errors, with_request,
 )
 from tablewarden.schemas import AUDIT_COLUMNS, COLUMN, ENTITIES
+from tablewarden.session import durable
 
 _KEY = {"TABLE_ID": "TABLE_ID", "_column": "COLUMN_NAME"}
 
@@ -251,15 +252,17 @@ def emptied_indexes(
 
 def _removal(main: dict[str, DataFrame], dropped: DataFrame):
     """Columns, index entries and emptied indexes that go, with reason and actor, and the index
-    rows that stay."""
+    rows that stay.
+
+    The indexes of the tables concerned, their entries, and what goes of both are written one after the other, because
+    removal, history and the rest all go back to them, and together their shuffles would need the disk at once."""
     by_column = dropped.select("TABLE_ID", "COLUMN_NAME", "reason", "_actor")
-    concerned = in_set(main["index"], dropped, {"TABLE_ID": "TABLE_ID"})
-    lost = main["index_column"].join(concerned.select("INDEX_ID", "TABLE_ID"), "INDEX_ID").join(
-        by_column, ["TABLE_ID", "COLUMN_NAME"]
-    )
+    concerned = durable(in_set(main["index"], dropped, {"TABLE_ID": "TABLE_ID"}))
+    entries = durable(main["index_column"].join(concerned.select("INDEX_ID", "TABLE_ID"), "INDEX_ID"))
+    lost = durable(entries.join(by_column, ["TABLE_ID", "COLUMN_NAME"]))
     removed = {
         "column": main["column"].join(by_column, ["TABLE_ID", "COLUMN_NAME"]),
-        "index": emptied_indexes(main["index"], main["index_column"], dropped),
+        "index": durable(emptied_indexes(concerned, entries.select(main["index_column"].columns), dropped)),
         "index_column": lost,
     }
     entry = {"INDEX_ID": "INDEX_ID", "COLUMN_POS": "COLUMN_POS"}

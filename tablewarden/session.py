@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,27 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(session: SparkSession) -> Iterator[None]:
+    """What a job within shuffles leaves the disks when the job is done. Else it stays until the driver happens to
+    collect its garbage, and the shuffles of all jobs of a load or a batch lie there together."""
+    before = session.conf.get(_DROP_SHUFFLES, "false")
+    session.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        session.conf.set(_DROP_SHUFFLES, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet and go on from the written rows.
 
     Needed where two branches must see the same row positions, also after an executor is lost; and
-    Spark knows the bytes of what it reads back, and chooses joins with it by them. The folder is in
+    Spark knows the bytes of what it reads back, and chooses joins with it by them. It also ends a phase:
+    the shuffles before it need no disk any more. The folder is in
     the one the cluster names in ``spark.checkpoint.dir``; only a local session without one gets a
     folder of its own.
     """
@@ -40,5 +58,6 @@ def durable(df: DataFrame) -> DataFrame:
         shared = tempfile.mkdtemp(prefix="tablewarden-")
         session.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/work/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(session):
+        df.write.option("compression", "zstd").parquet(path)
     return session.read.schema(df.schema).parquet(path)
