@@ -68,23 +68,29 @@ def add_error(rows: DataFrame, failed: Column, field_name: str, value: Column, r
 
 
 def reject_same_turns(rows: DataFrame) -> DataFrame:
-    """Requests that share their id and turn are all in error, so that turns order the others."""
+    """Requests that share their id and turn are all in error, so that turns order the others.
+
+    These are few, as a rule, and written once: Spark knows their bytes then, and the requests are not shuffled for them."""
     met = rows.groupBy(F.col("request_id").alias("_id"), F.col("request_seq").alias("_seq")).agg(F.count(F.lit(1)).alias("_n"))
     names = rows.columns
-    rows = rows.join(met.where("_n > 1"), (F.col("request_id") == F.col("_id")) & (F.col("request_seq") == F.col("_seq")), "left")
+    rows = rows.join(durable(met.where("_n > 1")), (F.col("request_id") == F.col("_id")) & (F.col("request_seq") == F.col("_seq")), "left")
     return add_error(rows, F.col("_n").isNotNull(), "request_id", F.col("request_id"), "duplicate").select(*names)
 
 
 def _reject_later(rows: DataFrame, key: list[str], ends: Column, failed: tuple[str, str]) -> DataFrame:
-    """An error for good requests that come after their object's earliest good one for which ``ends`` holds."""
+    """An error for good requests that come after their object's earliest good one for which ``ends`` holds.
+
+    Only objects with such requests meet the batch again. They are written once, so that Spark knows their bytes."""
     turn = F.struct("request_seq", "request_id")
     # The test stays inside the aggregate: as a filter it would be pushed below the error list
     # and evaluate all the checks twice.
+    good = F.size("errors") == 0
     earliest = rows.groupBy(*[F.col(k).alias(f"_of{k}") for k in key]).agg(
-        F.min(F.when((F.size("errors") == 0) & ends, turn)).alias("_earliest")
+        F.min(F.when(good & ends, turn)).alias("_earliest"), F.max(F.when(good, turn)).alias("_latest")
     )
+    ended = durable(earliest.where("_latest > _earliest").drop("_latest"))
     same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in key]
-    joined = rows.join(earliest, same, "left")
+    joined = rows.join(ended, same, "left")
     later = F.coalesce((F.size("errors") == 0) & (turn > F.col("_earliest")), F.lit(False))
     marked = add_error(joined, later, failed[0], F.col(key[-1]), failed[1])
     return marked.select(*rows.columns)
@@ -101,9 +107,11 @@ def reject_after_removal(rows: DataFrame, key: list[str], removes: Column, field
 
 
 def find_table(rows: DataFrame, tables: DataFrame) -> DataFrame:
-    """Rows with the TABLE_ID of the table they name; an unknown table is an error."""
+    """Rows with the TABLE_ID of the table they name; an unknown table is an error.
+
+    Written once: the next lookup needs them by another key, and so starts with free disks."""
     found = resolve_ids(rows, asked_for(tables, rows, _ON_TABLE), _ON_TABLE, "TABLE_ID")
-    return add_error(found, F.col("TABLE_ID").isNull(), "tableName", F.col("_table"), "unknown")
+    return durable(add_error(found, F.col("TABLE_ID").isNull(), "tableName", F.col("_table"), "unknown"))
 
 
 def find_object(

@@ -126,6 +126,22 @@ def test_written_rows_leave_no_shuffles(spark):
     assert shuffled(spark) <= before
 
 
+@pytest.mark.parametrize("kind", ["add", "drop"])
+def test_screening_moves_whole_requests_by_one_key_at_a_time(spark, frame, made, big, kind):
+    main = registered(frame, made, "table", "column")
+    asked = made["asked"].withColumns(
+        {"dataType": F.lit("DATE"), "columnOrder": F.lit("9")} if kind == "add" else {"mode": F.lit("SOFT")})
+    whole = once(spark, asked)
+    with most_at_once(spark) as seen:
+        if kind == "add":
+            done = column_requests.column_add(main, asked, "2024-01-01")
+            assert done.rejects.count() == TABLES * EACH * 9 // 10
+        else:
+            done = column_requests.column_drop(main, asked, "2024-01-01")
+            assert done.rejects.count() == TABLES * EACH // 10
+    assert seen[0] < 2.2 * whole
+
+
 def test_dropping_columns_joins_the_registry_step_by_step(spark, frame, made, big):
     main = registered(frame, made, "table", "column", "index", "index_column")
     asked = made["asked"].withColumn("mode", F.lit("HARD"))
