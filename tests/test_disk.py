@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewarden.plans.changes import columns as column_requests
 from tablewarden.schemas import ENTITIES
 from tablewarden.session import durable
+from workload.derived import relation
 
 TABLES, EACH = 4000, 5
 
@@ -142,6 +143,20 @@ def test_screening_moves_whole_requests_by_one_key_at_a_time(spark, frame, made,
     assert seen[0] < 2.2 * whole
 
 
+def test_lines_are_shuffled_once_for_their_groups_and_orders(spark, tmp_path, big):
+    i = F.col("id")
+    spark.range(100_000).select(
+        (i % 30_000).alias("l_orderkey"), i.alias("l_partkey"), F.lit(1).alias("l_linenumber"), F.lit("A").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"), F.lit(3.0).alias("l_quantity"), F.lit(0.1).alias("l_discount"), F.lit(0.1).alias("l_tax"),
+        F.lit("1996-03-01").cast("timestamp").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(30_000).select(
+        i.alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority"),
+        F.lit("1996-03-01").cast("timestamp").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("req_column",):
+        text = relation(spark, str(tmp_path), name)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 2
+
+
 def test_dropping_columns_joins_the_registry_step_by_step(spark, frame, made, big):
     main = registered(frame, made, "table", "column", "index", "index_column")
     asked = made["asked"].withColumn("mode", F.lit("HARD"))

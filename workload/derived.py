@@ -260,12 +260,19 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given or derived relation as a DataFrame."""
+# Relations that join lines, grouped within an order, to their orders.
+ON_ORDERS = {"req_column"}
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str, by_order: bool = False) -> DataFrame:
+    """A given or derived relation as a DataFrame. Lines that are dealt out ``by_order`` beforehand are shuffled once
+    for the groups and the join to the orders."""
     if name in GIVEN:
-        return given(spark, sf_dir, name)
+        rows = given(spark, sf_dir, name)
+        return rows.repartition("l_orderkey") if by_order and name == "lineitem" else rows
     text = RELATIONS[name]
-    return spark.sql(text, **{n: relation(spark, sf_dir, n) for n in _needs(text)})
+    by_order = by_order or name in ON_ORDERS
+    return spark.sql(text, **{n: relation(spark, sf_dir, n, by_order) for n in _needs(text)})
 
 
 def _collect(name: str, seen: dict[str, str]) -> None:
