@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from tablewarden.plans import load
 from tablewarden.plans.changes import columns as column_requests
 from tablewarden.schemas import ENTITIES
 from tablewarden.session import durable
@@ -127,6 +128,32 @@ def test_written_rows_leave_no_shuffles(spark):
     assert shuffled(spark) <= before
 
 
+def test_loading_columns_shuffles_whole_rows_of_new_ones_only(spark, frame, made, big):
+    main = registered(frame, made, "table", "column")
+    whole = once(spark, made["tab_columns"])
+    with most_at_once(spark) as seen:
+        rows = load.load_columns(
+            made["tab_columns"], main["table"], made["col_comments"], made["constraints"], made["cons_columns"],
+            made["encrypted"], main["column"], load.Stamp("2024-01-01"))
+        found = rows.select("COLUMN_ORDER", "TABLE_ID", "PK_YN", "ENCRYPTION_YN", "DESCRIPTION").collect()
+    new = [i for i in range(TABLES * EACH) if i % 10 == 0]
+    assert sorted(found) == [
+        (i, i % TABLES, "Y" if i % 20 == 0 else "N", "Y" if i % 30 == 0 else "N", "why") for i in new]
+    assert seen[0] < 1.8 * whole
+
+
+def test_a_column_without_a_name_is_loaded_with_the_names_that_repeat(frame):
+    tables = frame("table", [dict(TABLE_ID=t, SCHEMA_NAME="S", TABLE_NAME="A") for t in (1, 2)])
+    names = ["X", "X", None, "Y"]
+    listed = frame("tab_columns", [dict(OWNER="S", TABLE_NAME="A", COLUMN_NAME=n, COLUMN_ID=i) for i, n in enumerate(names)])
+    known = frame("column", [dict(COLUMN_ID=7, TABLE_ID=2, COLUMN_NAME="Y")])
+    none = [frame(n, []) for n in ("col_comments", "constraints", "cons_columns", "encrypted_columns")]
+    found = load.load_columns(listed, tables, *none, known, load.Stamp("2024-01-01")).collect()
+    # Each row for both tables of the name; Y is known by its name, whichever of them has it.
+    assert sorted((r.TABLE_ID, r.COLUMN_ORDER) for r in found) == [(t, o) for t in (1, 2) for o in (0, 1, 2)]
+    assert sorted(r.COLUMN_ID for r in found) == list(range(8, 14))
+
+
 @pytest.mark.parametrize("kind", ["add", "drop"])
 def test_screening_moves_whole_requests_by_one_key_at_a_time(spark, frame, made, big, kind):
     main = registered(frame, made, "table", "column")
@@ -152,7 +179,7 @@ def test_lines_are_shuffled_once_for_their_groups_and_orders(spark, tmp_path, bi
     spark.range(30_000).select(
         i.alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority"),
         F.lit("1996-03-01").cast("timestamp").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
-    for name in ("req_column",):
+    for name in ("req_column", "real_columns"):
         text = relation(spark, str(tmp_path), name)._jdf.queryExecution().executedPlan().toString()
         assert text.count("Exchange hashpartitioning") == 2
 
