@@ -8,9 +8,10 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from tablewarden.operators.history import snapshot
 from tablewarden.plans import load
 from tablewarden.plans.changes import columns as column_requests
-from tablewarden.schemas import ENTITIES
+from tablewarden.schemas import COLUMN, ENTITIES
 from tablewarden.session import durable
 from workload.derived import relation
 
@@ -193,4 +194,16 @@ def test_dropping_columns_joins_the_registry_step_by_step(spark, frame, made, bi
     dropped = TABLES * 9 // 10
     assert gone == [TABLES * EACH * 9 // 10, dropped, dropped]
     assert done.replace["index"].count() == TABLES - dropped
-    assert seen[0] < 2 * once(spark, asked)
\ No newline at end of file
+    assert seen[0] < 2 * once(spark, asked)
+
+
+def test_a_load_writes_its_entities_one_after_the_other(spark, frame, made, big):
+    catalog = {n: frame(n, []) for n in ("tables", "views", "tab_comments", "indexes", "ind_columns", "sequences")}
+    catalog |= {n: made[n] for n in ("tab_columns", "col_comments", "constraints", "cons_columns")}
+    catalog["encrypted_columns"] = made["encrypted"]
+    main = registered(frame, made, "table", "column")
+    added = load.load_objects(catalog, main, ["SVC1"], frame("code", []), load.Stamp("2024-01-01"))
+    with most_at_once(spark) as seen:
+        assert snapshot(added["column"], COLUMN, "I", "why", "me", "2024-01-01").count() == TABLES * EACH // 10
+    # Counted from what is written: one number per task meets, and no row is joined again.
+    assert seen[0] < 2000
