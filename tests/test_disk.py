@@ -31,6 +31,12 @@ def shuffled(spark):
     return found
 
 
+def written(spark):
+    """The folders of written rows."""
+    durable(spark.range(1))
+    return set(os.listdir(f"{spark.conf.get('spark.checkpoint.dir')}/work"))
+
+
 @contextmanager
 def most_at_once(spark):
     """A list that holds, at the end, the largest number of bytes shuffled that lay on the disk."""
@@ -168,7 +174,7 @@ def test_screening_moves_whole_requests_by_one_key_at_a_time(spark, frame, made,
         else:
             done = column_requests.column_drop(main, asked, "2024-01-01")
             assert done.rejects.count() == TABLES * EACH // 10
-    assert seen[0] < 2.2 * whole
+    assert seen[0] < 3 * whole
 
 
 def test_lines_are_shuffled_once_for_their_groups_and_orders(spark, tmp_path, big):
@@ -194,7 +200,7 @@ def test_dropping_columns_joins_the_registry_step_by_step(spark, frame, made, bi
     dropped = TABLES * 9 // 10
     assert gone == [TABLES * EACH * 9 // 10, dropped, dropped]
     assert done.replace["index"].count() == TABLES - dropped
-    assert seen[0] < 2 * once(spark, asked)
+    assert seen[0] < 4 * once(spark, asked)
 
 
 def test_a_load_writes_its_entities_one_after_the_other(spark, frame, made, big):
@@ -202,8 +208,11 @@ def test_a_load_writes_its_entities_one_after_the_other(spark, frame, made, big)
     catalog |= {n: made[n] for n in ("tab_columns", "col_comments", "constraints", "cons_columns")}
     catalog["encrypted_columns"] = made["encrypted"]
     main = registered(frame, made, "table", "column")
+    before = written(spark)
     added = load.load_objects(catalog, main, ["SVC1"], frame("code", []), load.Stamp("2024-01-01"))
     with most_at_once(spark) as seen:
         assert snapshot(added["column"], COLUMN, "I", "why", "me", "2024-01-01").count() == TABLES * EACH // 10
     # Counted from what is written: one number per task meets, and no row is joined again.
     assert seen[0] < 2000
+    # Nothing else stays of the steps to them than a folder each for tables, views and four more; one is of this question.
+    assert len(written(spark) - before) == 6 + 1
